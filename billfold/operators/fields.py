@@ -41,9 +41,9 @@ def with_fields(docs: DataFrame) -> DataFrame:
 
 
 def stamp_rows(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """Gives rows their document's invoice number and file name."""
-    stale = [c for c in ("invoice_number", "file_name") if c in rows.columns]
-    return rows.drop(*stale).join(fields.select("doc_id", "invoice_number", "file_name"), "doc_id", "inner")
+    """Gives rows their document's invoice number, file name and file path."""
+    stamps = ("invoice_number", "file_name", "file_path")
+    return rows.drop(*stamps).join(fields.select("doc_id", *stamps), "doc_id", "inner")
 
 
 def row_counts(docs: DataFrame, rows: DataFrame) -> DataFrame:
