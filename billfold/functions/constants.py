@@ -53,23 +53,18 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 # --- character classes ---------------------------------------------------------
 # The characters Unicode-aware text tools strip and split on.
-SPACE_CODES = (
-    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
-    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+SPACE_CHARS = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 )
-LINE_END_CODES = (*range(0x0A, 0x0E), *range(0x1C, 0x1F), 0x85, 0x2028, 0x2029)
-
-
-def _set(codes: tuple[int, ...]) -> str:
-    return "".join(rf"\x{{{c:X}}}" for c in codes)
-
-
-SPACE_CHARS = "".join(map(chr, SPACE_CODES))
-SPACE_SET = _set(SPACE_CODES)
+# The same as a class. Few members, as every one is a test per character.
+SPACE_SET = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\p{Z}"
 SPACE = f"[{SPACE_SET}]"
 NOT_SPACE = f"[^{SPACE_SET}]"
-WORD_SET = r"\p{L}\p{N}_"
+WORD_SET = r"_\p{L}\p{N}"
 WORD = f"[{WORD_SET}]"
 DIGIT = r"\p{Nd}"
-LINE_END_SET = _set(LINE_END_CODES)
+# The characters that end a line, and the white space within one.
+LINE_END_SET = r"\n\x0B\f\r\x1C\x1D\x1E\x85\x{2028}\x{2029}"
 LINE_END = rf"\r\n|[{LINE_END_SET}]"
+INLINE_SPACE_SET = r"\t\x1F \p{Zs}"

@@ -8,7 +8,7 @@ digits or blanks must not turn a regex quadratic.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +16,30 @@ from pyspark.sql import functions as F
 from billfold.functions import constants as K
 
 
+# Stands between cells while a row is split; a code point that no text may use.
+_MARK = chr(0xFFFF)
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it.
+
+    Column expressions are trees: a sub-expression used twice is written twice, and
+    inside conditions and lambdas nothing merges the copies again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Cut Unicode white space off both ends (SQL ``trim`` cuts blanks only)."""
     return F.btrim(col, F.lit(K.SPACE_CHARS))
 
 
 def fold_spaces(col: Column) -> Column:
-    """Every run of white space becomes one blank; both ends are stripped."""
-    return strip(F.regexp_replace(col, f"{K.SPACE}+", " "))
+    """Every run of white space becomes one blank; both ends are stripped.
+
+    Single blanks are not matched, so most text is passed on as it is.
+    """
+    return strip(F.regexp_replace(col, f"{K.SPACE}{{2,}}|[{K.SPACE_SET}&&[^ ]]", " "))
 
 
 def is_blank(col: Column) -> Column:
@@ -45,18 +61,28 @@ def has_digit(col: Column) -> Column:
 
 
 def text_lines(text: Column) -> Column:
-    """array<string>: the non-blank lines, white space folded."""
-    folded = F.transform(F.split(text, K.LINE_END, -1), fold_spaces)
-    return F.filter(folded, lambda line: line != "")
+    """array<string>: the non-blank lines, white space folded.
+
+    The text is folded as a whole and then split at line ends with the blanks around
+    them, which costs two passes per text instead of two per line.
+    """
+    inline = K.INLINE_SPACE_SET
+    folded = strip(F.regexp_replace(text, f"[{inline}]{{2,}}|[{inline}&&[^ ]]", " "))
+    lines = F.split(folded, f" ?[{K.LINE_END_SET}][ {K.LINE_END_SET}]*+", -1)
+    return F.filter(lines, lambda line: line != "")
 
 
 # --- labelled values ------------------------------------------------------------
 
 def _whole_word(keyword: str) -> str:
-    """Pattern of the keyword between word boundaries on both of its sides."""
-    before = f"(?<!{K.WORD})" if keyword[0].isalnum() else f"(?<={K.WORD})"
-    after = f"(?!{K.WORD})" if keyword[-1].isalnum() else f"(?={K.WORD})"
-    return before + re.escape(keyword) + after
+    """Pattern of the keyword between word boundaries on both of its sides.
+
+    The test before the keyword looks back over it, so that it runs on hits only.
+    """
+    word = re.escape(keyword)
+    before = "!" if keyword[0].isalnum() else "="
+    after = "!" if keyword[-1].isalnum() else "="
+    return f"{word}(?<{before}{K.WORD}{word})(?{after}{K.WORD})"
 
 
 def _labelled(low: Column, keyword: str) -> Column:
@@ -66,8 +92,10 @@ def _labelled(low: Column, keyword: str) -> Column:
     hit" and a blank one means "hit without a value" (which ends the search with '').
     """
     pattern = rf"{_whole_word(keyword)}{K.SPACE}*[:\-]?{K.SPACE}*([^\n]+)"
-    raw = F.regexp_extract(low, pattern, 1)
-    return F.when(low.contains(keyword) & (raw != ""), strip(raw))
+    value = bind(
+        F.regexp_extract(low, pattern, 1), lambda raw: F.when(raw != "", strip(raw))
+    )
+    return F.when(low.contains(keyword), value)
 
 
 def _trailing(text: Column, keywords: Sequence[str]) -> Column:
@@ -109,7 +137,8 @@ def street_address(text: Column) -> Column:
     only then is the start looked for: the first start fits nearly always.
     """
     plain = rf"{K.WORD_SET}{K.SPACE_SET}.,\-"
-    street = "(?:" + "|".join(K.STREET_WORDS) + ")"
+    initials = "".join(dict.fromkeys(w[0] for w in K.STREET_WORDS))
+    street = f"(?=[{initials}])(?:" + "|".join(K.STREET_WORDS) + ")"
     runs = F.filter(
         F.split(text, f"[^{plain}]+", -1), lambda run: run.rlike(rf"{K.DIGIT}{K.SPACE}")
     )
@@ -122,12 +151,12 @@ def street_address(text: Column) -> Column:
             run, rf"(?iu){K.DIGIT}{{1,5}}{K.SPACE}+[{plain}]+{street}\z", 0
         ),
     )
-    return strip(F.get(F.filter(found, lambda hit: hit != ""), F.lit(0)))
+    first = strip(F.get(F.filter(found, lambda hit: hit != ""), F.lit(0)))
+    return F.when(text.rlike(rf"{K.DIGIT}{K.SPACE}"), first)
 
 
 def _first_match(text: Column, pattern: str) -> Column:
-    raw = F.regexp_extract(text, pattern, 0)
-    return F.when(raw != "", strip(raw))
+    return bind(F.regexp_extract(text, pattern, 0), lambda raw: F.when(raw != "", strip(raw)))
 
 
 def post_box(text: Column) -> Column:
@@ -137,16 +166,19 @@ def post_box(text: Column) -> Column:
 def place_with_code(text: Column) -> Column:
     """Words, a comma, a place and a 5-6 digit code; tried at starts of word runs only."""
     word_or_space = f"[{K.WORD_SET}{K.SPACE_SET}]"
-    return _first_match(
-        text,
-        rf"(?iu)(?<!{word_or_space}){word_or_space}++,{K.SPACE}*[A-Za-z]{{2,}}{K.SPACE}*{K.DIGIT}{{5,6}}",
-    )
+    code = rf",{K.SPACE}*[A-Za-z]{{2,}}{K.SPACE}*{K.DIGIT}{{5,6}}"
+    place = _first_match(text, rf"(?iu)(?<!{word_or_space}){word_or_space}++{code}")
+    return F.when(text.rlike(f"(?iu){code}"), place)
+
+
+def _or_else(value: Column, *others: Column) -> Column:
+    """The value unless it is '', else the first of the others that is not null."""
+    return bind(value, lambda v: F.coalesce(F.when(v != "", v), *others))
 
 
 def address(text: Column, low: Column | None = None) -> Column:
-    labelled = value_after_keywords(text, K.ADDRESS_KEYWORDS, low)
-    return F.coalesce(
-        F.when(labelled != "", labelled),
+    return _or_else(
+        value_after_keywords(text, K.ADDRESS_KEYWORDS, low),
         street_address(text),
         post_box(text),
         place_with_code(text),
@@ -159,21 +191,27 @@ def address(text: Column, low: Column | None = None) -> Column:
 def clean_invoice_number(raw: Column) -> Column:
     """One leading label cut, white space to '_', other signs dropped, 120 characters."""
     labels = "|".join(re.escape(p) for p in K.INVOICE_NUMBER_PREFIXES)
+
+    def tidy(cut: Column) -> Column:
+        plain = F.regexp_replace(
+            F.regexp_replace(cut, f"{K.SPACE}+", "_"), r"[^A-Za-z0-9\-_#]", ""
+        )
+        return _or_else(F.substring(plain, 1, K.INVOICE_NUMBER_LENGTH), cut, F.lit(""))
+
     cut = F.regexp_replace(strip(raw), rf"(?iu)\A(?:{labels})[:{K.SPACE_SET}\-]*", "")
-    plain = F.regexp_replace(F.regexp_replace(cut, f"{K.SPACE}+", "_"), r"[^A-Za-z0-9\-_#]", "")
-    kept = F.substring(plain, 1, K.INVOICE_NUMBER_LENGTH)
-    return F.coalesce(F.when(kept != "", kept), cut, F.lit(""))
+    return bind(cut, tidy)
 
 
 def invoice_number(text: Column, file_stem: Column, low: Column | None = None) -> Column:
     """Labelled number, else the first 'INV-123' in the text, else 'INV_<file stem>'."""
     labelled = clean_invoice_number(value_after_keywords(text, K.INVOICE_NUMBER_KEYWORDS, low))
-    bare = F.regexp_extract(
-        text, rf"(?iu)(?<!{K.WORD})INV[\-{K.SPACE_SET}_]*{K.DIGIT}+(?!{K.WORD})", 0
-    )
-    return F.coalesce(
-        F.when(labelled != "", labelled),
-        F.when(bare != "", clean_invoice_number(bare)),
+    bare = rf"(?iu)INV(?<!{K.WORD}INV)[\-{K.SPACE_SET}_]*{K.DIGIT}+(?!{K.WORD})"
+    return _or_else(
+        labelled,
+        bind(
+            F.regexp_extract(text, bare, 0),
+            lambda hit: F.when(hit != "", clean_invoice_number(hit)),
+        ),
         F.concat(F.lit("INV_"), file_stem),
     )
 
@@ -184,32 +222,56 @@ def is_header_line(line: Column) -> Column:
     return contains_any(F.lower(line), K.HEADER_WORDS)
 
 
-def is_footer_line(line: Column) -> Column:
+def _is_footer(low: Column) -> Column:
     """A line that closes an open table. Header words are tested first everywhere."""
     starts = "|".join(re.escape(s) for s in K.FOOTER_STARTS)
-    return F.lower(line).rlike(rf"\A(?:{starts})(?!{K.WORD})")
+    return low.rlike(rf"\A(?:{starts})(?!{K.WORD})")
+
+
+def _numbers_peeled(folded: Column) -> Column:
+    """[description, number, ...]: the numeric words at the end of a line and the rest.
+
+    The numeric tail is looked for on the reversed line, where it is a prefix that ends
+    before a blank, so the search stays linear.
+    """
+
+    def parts(line: Column, tail: Column) -> Column:
+        head = F.rtrim(line.substr(F.lit(1), F.length(line) - F.length(tail)))
+        return F.concat(F.array(head), F.filter(F.split(tail, " ", -1), lambda t: t != ""))
+
+    tail = rf"\A[{K.DIGIT}.,\-() ]*(?![^ ])"
+    return bind(
+        folded,
+        lambda line: bind(
+            F.reverse(F.regexp_extract(F.reverse(line), tail, 0)), lambda t: parts(line, t)
+        ),
+    )
+
+
+def _cells(row: Column, marked: Column, folded: Column) -> Column:
+    return bind(
+        F.split(marked, _MARK, -1),
+        lambda tokens: F.when(
+            F.size(tokens) >= 3, F.filter(F.transform(tokens, strip), lambda t: t != "")
+        ).otherwise(_numbers_peeled(folded)),
+    )
 
 
 def row_cells(row: Column) -> Column:
     """array<string>: the cells of one table line.
 
     Wide gaps, tabs and ' | ' split a line if that gives three cells or more; else the
-    numbers at its end are peeled off and the rest is the description. The numeric tail
-    is found on the reversed line, where it is a prefix, so the search stays linear.
+    numbers at its end are peeled off and the rest is the description.
     """
-    row = strip(row)
-    tokens = F.split(row, rf"{K.SPACE}{{2,}}|\t|{K.SPACE}\|{K.SPACE}", -1)
-    stripped = F.filter(F.transform(tokens, strip), lambda t: t != "")
-
-    folded = fold_spaces(row)
-    tail_length = F.length(
-        F.regexp_extract(F.reverse(folded), rf"\A[{K.DIGIT}.,\-() ]*(?![^ ])", 0)
+    gaps = rf"{K.SPACE}{{2,}}|\t|{K.SPACE}\|{K.SPACE}"
+    return bind(
+        strip(row), lambda r: _cells(r, F.regexp_replace(r, gaps, _MARK), fold_spaces(r))
     )
-    head_length = F.length(folded) - tail_length
-    head = strip(folded.substr(F.lit(1), head_length))
-    tail = folded.substr(head_length + 1, tail_length)
-    numbers = F.filter(F.split(tail, " ", -1), lambda t: t != "")
-    return F.when(F.size(tokens) >= 3, stripped).otherwise(F.concat(F.array(head), numbers))
+
+
+def _folded_row_cells(line: Column) -> Column:
+    """The same for a folded line, where only ' | ' can split."""
+    return _cells(line, F.replace(line, F.lit(K.CELL_SEPARATOR), F.lit(_MARK)), line)
 
 
 def table_rows(text: Column) -> Column:
@@ -224,18 +286,23 @@ def table_rows(text: Column) -> Column:
     header, footer, row, other = 1, 2, 3, 0
 
     def kind(line: Column) -> Column:
-        return (
-            F.when(is_header_line(line), header)
-            .when(is_footer_line(line), footer)
+        return bind(
+            F.lower(line),
+            lambda low: F.when(contains_any(low, K.HEADER_WORDS), header)
+            .when(_is_footer(low), footer)
             .when(has_digit(line), row)
-            .otherwise(other)
+            .otherwise(other),
         )
 
     def after_first_header(segment: Column) -> Column:
         at = F.array_position(F.transform(segment, lambda x: x["kind"]), header).cast("int")
-        return F.when(
-            at > 0, F.filter(F.slice(segment, at + 1, F.size(segment)), lambda x: x["kind"] == row)
-        ).otherwise(F.slice(segment, 1, 0))
+        return bind(
+            at,
+            lambda h: F.filter(
+                F.slice(segment, h + 1, F.when(h > 0, F.size(segment)).otherwise(0)),
+                lambda x: x["kind"] == row,
+            ),
+        )
 
     def split_at_footers(lines: Column) -> Column:
         marks = F.transform(lines, lambda x, i: F.when(x["kind"] == footer, i))
@@ -245,15 +312,10 @@ def table_rows(text: Column) -> Column:
         return F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s))
 
     lines = F.transform(text_lines(text), lambda x: F.struct(x.alias("line"), kind(x).alias("kind")))
-    # transform() over a one-element array binds the line array once
     open_rows = F.flatten(
-        F.flatten(
-            F.transform(
-                F.array(lines), lambda ls: F.transform(split_at_footers(ls), after_first_header)
-            )
-        )
+        bind(lines, lambda ls: F.transform(split_at_footers(ls), after_first_header))
     )
     return F.transform(
         open_rows,
-        lambda x: F.struct(x["line"].alias("raw_text"), row_cells(x["line"]).alias("cols")),
+        lambda x: F.struct(x["line"].alias("raw_text"), _folded_row_cells(x["line"]).alias("cols")),
     )

@@ -79,6 +79,16 @@ def number_rows(
     return running_sum(df, keys, order, F.lit(1), block, out).withColumn(out, F.col(out).cast("int"))
 
 
+def explode_rows(df: DataFrame, array: str | Column, *carried: str | Column) -> DataFrame:
+    """The carried columns, ``pos`` (from 0) and ``item`` for each element of an array.
+
+    Written as an outer explode whose empty rows are dropped afterwards: for an inner one
+    the optimizer adds a test of the array's size below it, which works out an array
+    that is itself computed once more.
+    """
+    return df.select(*carried, F.posexplode_outer(array).alias("pos", "item")).where(F.col("pos").isNotNull())
+
+
 def with_parts(
     df: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int = PART_ROWS
 ) -> DataFrame:

@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
 from billfold.functions.text import is_blank, row_cells, strip, table_rows
-from billfold.operators.grouping import keep_first, running_sum
+from billfold.operators.grouping import explode_rows, running_sum
 
 
 def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """Line items of each document text: the document's columns without the text,
     row_number, raw_text, cols. A narrow plan: no shuffle, no window."""
     carried = [c for c in docs.columns if c != text]
-    return docs.select(*carried, F.posexplode(table_rows(F.col(text))).alias("pos", "row")).select(
-        *carried, (F.col("pos") + 1).alias("row_number"), "row.raw_text", "row.cols"
+    return explode_rows(docs, table_rows(F.col(text)), *carried).select(
+        *carried, (F.col("pos") + 1).alias("row_number"), "item.raw_text", "item.cols"
     )
 
 
@@ -72,10 +72,9 @@ def flatten_page_tables(tables: DataFrame) -> DataFrame:
     numbered = running_sum(
         bodies, ["doc_id"], ["table_no"], F.size("body"), block=["page_no"], out="__upto"
     )
-    cells = F.col("row")
+    cells = F.col("item")
     return (
-        numbered.withColumn("__first", F.col("__upto") - F.size("body"))
-        .select("doc_id", "__first", F.posexplode("body").alias("pos", "row"))
+        explode_rows(numbered.withColumn("__first", F.col("__upto") - F.size("body")), "body", "doc_id", "__first")
         .select(
             "doc_id",
             (F.col("__first") + F.col("pos") + 1).cast("int").alias("row_number"),
@@ -133,9 +132,3 @@ def parse_rows(rows: DataFrame, column: str = "raw_text") -> DataFrame:
     """Adds ``cols``, the cells of each raw line."""
     return rows.withColumn("cols", row_cells(F.col(column)))
 
-
-__all__ = [
-    "append_fallback_text", "append_row_sources", "assemble_pages", "choose_row_source",
-    "document_rows", "first_page_with_rows", "flatten_page_tables", "keep_digit_lines",
-    "keep_first", "parse_rows", "raw_text_or_cells",
-]

@@ -15,6 +15,7 @@ from billfold.functions.text import table_rows
 from billfold.operators import layout, tables
 from billfold.operators.cleaning import clean_rows, split_summary
 from billfold.operators.fields import invoice_records, row_counts, stamp_rows, with_fields
+from billfold.operators.grouping import explode_rows
 from billfold.operators.merge import skip_seen
 from billfold.operators.reconcile import reconcile, reconcile_cleaned
 from billfold.sources.files import split_failures
@@ -68,8 +69,8 @@ def parse_texts(docs: DataFrame) -> DataFrame:
 def rows_of(parsed: DataFrame) -> DataFrame:
     """The raw rows of parsed text documents."""
     ids = ("invoice_number", "file_name", "file_path")
-    rows = parsed.select(*ids, F.posexplode("rows").alias("pos", "row"))
-    return rows.select(*ids, (F.col("pos") + 1).alias("row_number"), "row.raw_text", "row.cols").select(*_ROW)
+    rows = explode_rows(parsed, "rows", *ids)
+    return rows.select(*ids, (F.col("pos") + 1).alias("row_number"), "item.raw_text", "item.cols").select(*_ROW)
 
 
 def page_rows(words: DataFrame, cells: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billfold.operators.grouping import with_parts
+from billfold.operators.grouping import explode_rows, with_parts
 
 # Line items one text may hold; a larger order is spread over several files.
 TEXT_ROWS = 5_000
@@ -172,8 +172,10 @@ def cleaned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4: words of the documents with layout keys, positions and confidence."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_idx", "text"))
+    lines = explode_rows(docs, F.split("text", "\n", -1), "doc_id").select("doc_id", F.col("pos").alias("line_no"), "item")
+    words = explode_rows(lines, F.split("item", " ", -1), "doc_id", "line_no").select(
+        "doc_id", "line_no", F.col("pos").alias("word_idx"), F.col("item").alias("text")
+    )
     conf = F.pmod(F.col("doc_id") * 31 + F.col("word_idx") * 17, F.lit(102)) - 1
     return words.select(
         F.col("doc_id").cast("string").alias("doc_id"),

@@ -35,9 +35,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(T.text_lines(F.col("text"))).alias("pos", "line")
-    ).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+    lines = grouping.explode_rows(documents(spark, sf_dir), T.text_lines(F.col("text")), "doc_id")
+    return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.col("item").alias("line"))
 
 
 def joined(col: Column | str) -> Column:
@@ -243,9 +242,8 @@ def f2_keep_digit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw_text")
-    )
+    lines = grouping.explode_rows(documents(spark, sf_dir), F.split("text", "\n", -1), "doc_id")
+    return lines.withColumnRenamed("item", "raw_text")
 
 
 @query
