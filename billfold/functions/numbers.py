@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
-from billfold.functions.text import contains_any, strip
+from billfold.functions.text import bind, contains_any, strip
 
 _CURRENCY = "€$£"
 _NUMBER = rf"{K.DIGIT}+(?:\.{K.DIGIT}+)?"
@@ -26,16 +26,10 @@ def qty_rate_amount(raw: Column) -> Column:
     very end (an amount). The last one is read on the reversed text, where it is a
     prefix, so long digit runs stay linear.
     """
-    text = strip(F.translate(raw, "€,", ""))
     cell_start, cell_end = rf"(?<![^|]){K.SPACE}*", rf"{K.SPACE}*(?![^|])"
-    has_date = text.rlike(cell_start + _DATE + cell_end)
-
     group = rf"([{K.DIGIT}.]+)"
     between = rf"{K.SPACE}*\|{K.SPACE}*"
-    qty = rf"(?iu)Qty\.?{K.SPACE}*{group}{between}{group}{between}{group}"
-
-    cells = F.regexp_extract_all(text, F.lit(f"{cell_start}({_NUMBER}){cell_end}"), F.lit(1))
-    last = F.reverse(F.regexp_extract(F.reverse(text), rf"\A{_NUMBER}", 0))
+    qty = rf"(?i)Qty\.?{K.SPACE}*{group}{between}{group}{between}{group}"
 
     def triple(a: Column, b: Column, c: Column) -> Column:
         return F.struct(
@@ -45,13 +39,31 @@ def qty_rate_amount(raw: Column) -> Column:
         )
 
     null = F.lit(None).cast("string")
-    has_cells = text.contains("|")
-    return (
-        F.when(has_date, triple(null, null, null))
-        .when(has_cells & text.rlike(qty), triple(*(F.regexp_extract(text, qty, g) for g in (1, 2, 3))))
-        .when(has_cells & (F.size(cells) == 3), triple(*(F.get(cells, F.lit(i)) for i in (0, 1, 2))))
-        .otherwise(triple(null, null, last))
-    )
+
+    def amount_at_end(text: Column) -> Column:
+        last = F.reverse(F.regexp_extract(F.reverse(text), rf"\A{_NUMBER}", 0))
+        return triple(null, null, last)
+
+    def from_cells(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"{cell_start}({_NUMBER}){cell_end}"), F.lit(1))
+        return bind(
+            found,
+            lambda cells: F.when(
+                F.size(cells) == 3, triple(*(F.get(cells, F.lit(i)) for i in (0, 1, 2)))
+            ).otherwise(amount_at_end(text)),
+        )
+
+    def values(text: Column) -> Column:
+        # any date at all is looked for first, a cell that is one only then
+        is_date = text.rlike(_DATE) & text.rlike(cell_start + _DATE + cell_end)
+        return (
+            F.when(is_date, triple(null, null, null))
+            .when(~text.contains("|"), amount_at_end(text))
+            .when(text.rlike(qty), triple(*(F.regexp_extract(text, qty, g) for g in (1, 2, 3))))
+            .otherwise(from_cells(text))
+        )
+
+    return bind(strip(F.translate(raw, "€,", "")), values)
 
 
 def _last_number(text: Column) -> Column:

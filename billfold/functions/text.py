@@ -152,7 +152,8 @@ def street_address(text: Column) -> Column:
         ),
     )
     first = strip(F.get(F.filter(found, lambda hit: hit != ""), F.lit(0)))
-    return F.when(text.rlike(rf"{K.DIGIT}{K.SPACE}"), first)
+    possible = text.rlike(rf"{K.DIGIT}{K.SPACE}") & text.rlike(rf"(?iu){street}(?!{K.WORD})")
+    return F.when(possible, first)
 
 
 def _first_match(text: Column, pattern: str) -> Column:
@@ -269,13 +270,13 @@ def row_cells(row: Column) -> Column:
     )
 
 
-def _folded_row_cells(line: Column) -> Column:
-    """The same for a folded line, where only ' | ' can split."""
+def folded_row_cells(line: Column) -> Column:
+    """The same for a line with its white space folded, where only ' | ' can split."""
     return _cells(line, F.replace(line, F.lit(K.CELL_SEPARATOR), F.lit(_MARK)), line)
 
 
 def table_rows(text: Column) -> Column:
-    """array<struct<raw_text, cols>>: the line items of one document, in order.
+    """array<string>: the line items of one document, in order.
 
     A header line opens the table and is dropped itself, a footer line closes it, and
     lines with a digit are rows while it is open. The lines come from one text cell, so
@@ -315,7 +316,4 @@ def table_rows(text: Column) -> Column:
     open_rows = F.flatten(
         bind(lines, lambda ls: F.transform(split_at_footers(ls), after_first_header))
     )
-    return F.transform(
-        open_rows,
-        lambda x: F.struct(x["line"].alias("raw_text"), _folded_row_cells(x["line"]).alias("cols")),
-    )
+    return F.transform(open_rows, lambda x: x["line"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
-from billfold.functions.text import is_blank, row_cells, strip, table_rows
+from billfold.functions.text import folded_row_cells, is_blank, row_cells, strip, table_rows
 from billfold.operators.grouping import explode_rows, running_sum
 
 
@@ -16,8 +16,16 @@ def document_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """Line items of each document text: the document's columns without the text,
     row_number, raw_text, cols. A narrow plan: no shuffle, no window."""
     carried = [c for c in docs.columns if c != text]
-    return explode_rows(docs, table_rows(F.col(text)), *carried).select(
-        *carried, (F.col("pos") + 1).alias("row_number"), "item.raw_text", "item.cols"
+    return numbered_rows(docs, table_rows(F.col(text)), *carried)
+
+
+def numbered_rows(docs: DataFrame, rows: Column | str, *carried: str) -> DataFrame:
+    """An array of table lines as rows, with number and cells; unused cells cost nothing."""
+    return explode_rows(docs, rows, *carried).select(
+        *carried,
+        (F.col("pos") + 1).alias("row_number"),
+        F.col("item").alias("raw_text"),
+        folded_row_cells(F.col("item")).alias("cols"),
     )
 
 
@@ -87,7 +95,7 @@ def flatten_page_tables(tables: DataFrame) -> DataFrame:
 def first_page_with_rows(page_rows: DataFrame) -> DataFrame:
     """Rows of the first page of each document that has any (doc_id, page_num, ...)."""
     first = page_rows.groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
-    return page_rows.join(first, ["doc_id", "page_num"], "left_semi")
+    return page_rows.join(first, ["doc_id", "page_num"], "left_semi").select(*page_rows.columns)
 
 
 def choose_row_source(sources: list[DataFrame]) -> DataFrame:
@@ -100,7 +108,7 @@ def choose_row_source(sources: list[DataFrame]) -> DataFrame:
         DataFrame.unionByName, [s.withColumn("source", F.lit(i)) for i, s in enumerate(sources, 1)]
     )
     best = tagged.groupBy("doc_id").agg(F.min("source").alias("source"))
-    return tagged.join(best, ["doc_id", "source"], "left_semi")
+    return tagged.join(best, ["doc_id", "source"], "left_semi").select(*tagged.columns)
 
 
 def append_row_sources(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,6 @@ from billfold.functions.text import table_rows
 from billfold.operators import layout, tables
 from billfold.operators.cleaning import clean_rows, split_summary
 from billfold.operators.fields import invoice_records, row_counts, stamp_rows, with_fields
-from billfold.operators.grouping import explode_rows
 from billfold.operators.merge import skip_seen
 from billfold.operators.reconcile import reconcile, reconcile_cleaned
 from billfold.sources.files import split_failures
@@ -68,83 +68,113 @@ def parse_texts(docs: DataFrame) -> DataFrame:
 
 def rows_of(parsed: DataFrame) -> DataFrame:
     """The raw rows of parsed text documents."""
-    ids = ("invoice_number", "file_name", "file_path")
-    rows = explode_rows(parsed, "rows", *ids)
-    return rows.select(*ids, (F.col("pos") + 1).alias("row_number"), "item.raw_text", "item.cols").select(*_ROW)
+    return tables.numbered_rows(parsed, "rows", "invoice_number", "file_name", "file_path").select(*_ROW)
 
 
-def page_rows(words: DataFrame, cells: DataFrame) -> DataFrame:
+_PAGE = ["doc_id", "page_num"]
+
+
+def _reads_layout(words: DataFrame) -> bool:
+    return set(layout.LAYOUT_KEYS) <= set(words.columns)
+
+
+def page_rows(
+    words: DataFrame, cells: DataFrame, stage: Callable[[DataFrame], DataFrame] = _as_is
+) -> DataFrame:
     """Rows found on each page image: grid rows where there are cells, else text lines.
 
-    Out: doc_id, page_num, row_number, raw_text, cols (null for lines).
+    Out: doc_id, page_num, row_number, raw_text, cols (null for lines). The numbering
+    reads its rows twice, so they are staged first.
     """
     kept = layout.keep_cells(cells)
-    columns = ("doc_id", "page_num", "row_number", "raw_text", "cols")
-    grid = layout.number_lines_by_position(layout.rows_from_cells(kept))
-    plain = words.join(kept.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti")
-    if set(layout.LAYOUT_KEYS) <= set(words.columns):
-        lines = layout.number_lines(layout.lines_from_words(plain))
+    columns = (*_PAGE, "row_number", "raw_text", "cols")
+    grid = layout.number_lines_by_position(stage(layout.rows_from_cells(kept)))
+    plain = words.join(kept.select(*_PAGE).distinct(), _PAGE, "left_anti")
+    if _reads_layout(words):
+        lines = layout.number_lines(stage(layout.lines_from_words(plain)))
     else:
-        lines = layout.number_lines_by_position(layout.lines_from_centres(plain))
+        lines = layout.number_lines_by_position(stage(layout.lines_from_centres(plain)))
     lines = lines.withColumn("cols", F.lit(None).cast("array<string>"))
     return grid.select(*columns).unionByName(lines.select(*columns))
 
 
+def first_pages(words: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, page_num: the first page of each document that will give rows.
+
+    Known before any line is put together: a page gives rows if it has a large enough
+    cell or a word that is not blank.
+    """
+    kept = layout.keep_words(words)
+    if _reads_layout(words):
+        kept = kept.dropna(subset=list(layout.LAYOUT_KEYS))
+    pages = layout.keep_cells(cells).select(*_PAGE).unionByName(kept.select(*_PAGE))
+    return pages.groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+
+
 def page_confidences(words: DataFrame, cells: DataFrame) -> DataFrame:
     """doc_id, page_num, page_confidence: from the cells where a page has any, else the words."""
     kept = layout.keep_cells(cells)
-    pages = kept.select("doc_id", "page_num").distinct()
+    pages = kept.select(*_PAGE).distinct()
     if "confs" not in cells.columns:
         kept = kept.withColumn("confs", F.array().cast("array<double>"))
     in_cells = layout.page_confidence(
-        kept.select("doc_id", "page_num", F.explode_outer("confs").alias("conf")), drop_missing=False
+        kept.select(*_PAGE, F.explode_outer("confs").alias("conf")), drop_missing=False
     )
-    on_lines = layout.page_confidence(words.join(pages, ["doc_id", "page_num"], "left_anti"))
+    on_lines = layout.page_confidence(words.join(pages, _PAGE, "left_anti"))
     return in_cells.unionByName(on_lines)
 
 
-def _extract_pages(docs: DataFrame, pages: PageInputs) -> tuple[DataFrame, DataFrame]:
+def _extract_pages(
+    docs: DataFrame, pages: PageInputs, stage: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
     """(documents with text, count and confidence; their rows) of PDF and image files.
 
     PDF: rows of the text layer's tables; without any, the rows of the first page image
     that has some; without any, rows parsed from the whole text. Image: rows of its one
-    page, else from the text. The join keys are document ids with one slim row each.
+    page, else from the text. Pages that cannot matter are dropped before their words
+    are put together.
     """
-    is_pdf = F.col("ext").isin(*K.PDF_EXTENSIONS)
-    pdf, images = docs.where(is_pdf), docs.where(F.col("ext").isin(*K.IMAGE_EXTENSIONS))
-    pdf_ids, image_ids = pdf.select("doc_id"), images.select("doc_id")
-
-    table_layer = tables.flatten_page_tables(pages.page_tables.join(pdf_ids, "doc_id", "left_semi"))
-    with_tables = table_layer.select("doc_id").distinct()
-    read_pages = page_rows(pages.words, pages.cells).join(with_tables, "doc_id", "left_anti")
-    from_pages = tables.first_page_with_rows(read_pages)
+    pdf = docs.where(F.col("ext").isin(*K.PDF_EXTENSIONS))
+    images = docs.where(F.col("ext").isin(*K.IMAGE_EXTENSIONS))
+    ids, pdf_ids, image_ids = (d.select("doc_id") for d in (docs, pdf, images))
+
+    of_tables = stage(tables.flatten_page_tables(pages.page_tables.join(pdf_ids, "doc_id", "left_semi")))
+    with_tables = of_tables.select("doc_id").distinct()
+    read = ids.join(with_tables, "doc_id", "left_anti")
+    words = pages.words.join(read, "doc_id", "left_semi")
+    cells = pages.cells.join(read, "doc_id", "left_semi")
+    first = stage(first_pages(words, cells))
+    of_pages = stage(
+        page_rows(
+            pages.words.join(first, _PAGE, "left_semi"), pages.cells.join(first, _PAGE, "left_semi"), stage
+        )
+    )
+    reached = of_pages.select("doc_id", F.col("page_num").alias("__last")).distinct()
 
     base = pdf.drop("text").join(tables.assemble_pages(pages.page_text), "doc_id", "left")
     pdf_text = tables.append_fallback_text(base, pages.ocr_pages, with_tables)
     image_text = tables.append_fallback_text(
-        images.withColumn("text", F.lit("")), pages.ocr_pages, image_ids
+        images.withColumn("text", F.lit("")), pages.ocr_pages, image_ids.limit(0)
     )
-    texts = pdf_text.unionByName(image_text.select(*pdf_text.columns))
+    texts = stage(with_fields(pdf_text.unionByName(image_text.select(*pdf_text.columns))))
 
     columns = ("doc_id", "row_number", "raw_text", "cols")
-    parsed = tables.document_rows(texts.select("doc_id", "text"))
-    rows = tables.choose_row_source(
-        [df.select(*columns) for df in (table_layer, from_pages, parsed)]
-    ).drop("source")
+    without_rows = texts.select("doc_id", "text").join(
+        with_tables.unionByName(reached.select("doc_id")), "doc_id", "left_anti"
+    )
+    of_text = tables.document_rows(without_rows)
+    rows = reduce(DataFrame.unionByName, (df.select(*columns) for df in (of_tables, of_pages, of_text)))
 
-    reached = from_pages.groupBy("doc_id").agg(F.min("page_num").alias("__last"))
-    by_page = page_confidences(pages.words, pages.cells).join(with_tables, "doc_id", "left_anti")
     by_doc = (
-        by_page.join(reached, "doc_id", "left")
+        page_confidences(words, cells)
+        .join(reached, "doc_id", "left")
         .where(F.col("__last").isNull() | (F.col("page_num") <= F.col("__last")))
         .groupBy("doc_id")
         .agg(F.avg("page_confidence").alias("avg_confidence"))
     )
-    all_words = (
-        layout.page_confidence(pages.words.join(image_ids, "doc_id", "left_semi"), drop_missing=False)
-        .groupBy("doc_id")
-        .agg(F.avg("page_confidence").alias("__all"))
-    )
+    all_words = layout.avg_confidence(
+        pages.words.join(image_ids, "doc_id", "left_semi"), drop_missing=False
+    ).withColumnRenamed("avg_confidence", "__all")
     measured = (
         texts.join(by_doc, "doc_id", "left")
         .join(all_words, "doc_id", "left")
@@ -165,9 +195,9 @@ def extract(
     """Documents to invoice records, raw table rows and failures.
 
     Text documents take a narrow plan: fields, rows and count all come from one pass over
-    the text, without a shuffle. ``stage`` may write that pass' result and read it back,
-    so that the outputs do not repeat it. PDF and image files need ``pages``; without it
-    they fail for want of text.
+    the text, without a shuffle. ``stage`` may write an intermediate result and read it
+    back, so that what uses it does not repeat it; ``BillingStore.stage`` does. PDF and
+    image files need ``pages``; without it they fail for want of text.
     """
     is_text = F.col("ext").isin(*K.TEXT_EXTENSIONS)
     by_pages = F.lit(False) if pages is None else F.col("ext").isin(*K.PDF_EXTENSIONS, *K.IMAGE_EXTENSIONS)
@@ -176,11 +206,10 @@ def extract(
     invoices = invoice_records(parsed, min_confidence, run_ts)
     rows = rows_of(parsed)
     if pages is not None:
-        measured, page_lines = _extract_pages(docs.where(by_pages), pages)
-        readable, unreadable = split_failures(stage(measured))
-        fields = with_fields(readable)
-        invoices = invoices.unionByName(invoice_records(fields, min_confidence, run_ts))
-        rows = rows.unionByName(stamp_rows(page_lines, fields).select(*_ROW))
+        measured, page_lines = _extract_pages(docs.where(by_pages), pages, stage)
+        readable, unreadable = split_failures(measured)
+        invoices = invoices.unionByName(invoice_records(readable, min_confidence, run_ts))
+        rows = rows.unionByName(stamp_rows(page_lines, readable).select(*_ROW))
         failures = failures.unionByName(unreadable)
     return Extracted(invoices, rows, failures)
 

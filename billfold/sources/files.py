@@ -50,11 +50,15 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     for one value come without content, the length filter being pushed to the listing;
     ``split_failures`` reports them.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", extension_glob()).load(path)
-    return _file_rows(files)
+    return file_rows(spark.read.format("binaryFile").load(folder_glob(path)))
 
 
-def _file_rows(files: DataFrame) -> DataFrame:
+def folder_glob(path: str) -> str:
+    """The supported files right in a folder; what lies in its sub-folders does not match."""
+    return f"{path.rstrip('/')}/{extension_glob()}"
+
+
+def file_rows(files: DataFrame) -> DataFrame:
     fits = F.col("length") <= MAX_FILE_BYTES
     columns = [*file_columns(F.col("path")), "length"]
     small = files.where(fits).select(*columns, "content")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from billfold.plans.stages import RunOptions, ingest
-from billfold.sources.files import _file_rows, extension_glob, read_documents
+from billfold.sources.files import file_rows, folder_glob, read_documents
 from billfold.sources.store import BillingStore
 
 _BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
@@ -19,11 +19,10 @@ def stream_documents(spark: SparkSession, path: str, files_per_batch: int = 10_0
     files = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY_FILE)
-        .option("pathGlobFilter", extension_glob())
         .option("maxFilesPerTrigger", files_per_batch)
-        .load(path)
+        .load(folder_glob(path))
     )
-    return read_documents(_file_rows(files))
+    return read_documents(file_rows(files))
 
 
 def ingest_stream(

@@ -19,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over all cores, if the table has fewer files than there are cores.
+
+    A table of one file is one task, too few for work that is bound by the CPU. A large
+    table has files enough and is read as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _cents_text(cents: Column) -> Column:
     return F.concat(
         F.floor(cents / 100).cast("bigint").cast("string"),
@@ -88,7 +102,8 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("order_"), key, F.when(part > 0, F.concat(F.lit("_"), part.cast("string"))).otherwise("")
     )
     return (
-        orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left")
+        # the texts grow with the data, while their estimated size does not show it
+        orders.join(lines.hint("merge"), orders["o_orderkey"] == lines["l_orderkey"], "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "inner")
         .select(
             stem.alias("file_stem"),
@@ -111,7 +126,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2: the documents as text files with their content hash."""
     stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat(stem, F.lit(".txt")).alias("file_name"),
         F.concat(F.lit("/in/"), stem, F.lit(".txt")).alias("file_path"),
@@ -171,7 +186,7 @@ def cleaned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4: words of the documents with layout keys, positions and confidence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir)
     lines = explode_rows(docs, F.split("text", "\n", -1), "doc_id").select("doc_id", F.col("pos").alias("line_no"), "item")
     words = explode_rows(lines, F.split("item", " ", -1), "doc_id", "line_no").select(
         "doc_id", "line_no", F.col("pos").alias("word_idx"), F.col("item").alias("text")
@@ -224,13 +239,12 @@ def cell_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7: five lines of a document are a page; every fourth document has no text layer."""
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 4 != 3)
-    return _pages(docs)
+    return _pages(documents(spark, sf_dir).where(F.col("doc_id") % 4 != 3))
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7: OCR text of the same pages, for all documents."""
-    return _pages(table(spark, sf_dir, "documents"))
+    return _pages(documents(spark, sf_dir))
 
 
 def _pages(docs: DataFrame) -> DataFrame:

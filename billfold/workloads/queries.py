@@ -31,7 +31,7 @@ def query(fn: Query) -> Query:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.documents(spark, sf_dir)
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -633,15 +633,26 @@ def p2_extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.extract(docs).rows.select("invoice_number", "file_name", "row_number", "raw_text")
 
 
-def _page_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, stages.PageInputs]:
+def _extract_scans(spark: SparkSession, sf_dir: str) -> stages.Extracted:
+    """Extraction of scanned orders, intermediate tables written to a scratch store."""
+    store = BillingStore(spark, scratch_folder(spark))
+    docs, pages = _page_inputs(spark, sf_dir, store)
+    return stages.extract(docs, pages, min_confidence=20.0, stage=store.stage)
+
+
+def _page_inputs(
+    spark: SparkSession, sf_dir: str, store: BillingStore
+) -> tuple[DataFrame, stages.PageInputs]:
     """Orders as scanned files: text layer, page tables, words and cells, by order number.
 
     Of every eight, 0-2 have tables, 3-4 cells, 5-6 words only, 7 is an image.
     """
     key = F.col("doc_id").cast("bigint")
     m = key % 8
-    texts = X.invoice_texts(spark, sf_dir).select(
-        F.substring("file_stem", 7, 20).alias("doc_id"), "file_stem", "text"
+    texts = store.stage(
+        X.invoice_texts(spark, sf_dir).select(
+            F.substring("file_stem", 7, 20).alias("doc_id"), "file_stem", "text"
+        )
     )
     docs = texts.select(
         "doc_id",
@@ -653,13 +664,14 @@ def _page_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, stages.Pa
         F.lit(None).cast("string").alias("text"),
     )
     pages = texts.select("doc_id", F.lit(1).alias("page_no"), "text")
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_num", "line"))
-    words = lines.select(
-        "doc_id", F.lit(1).alias("page_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"), "line_num",
-        F.posexplode(F.split("line", " ", -1)).alias("word_idx", "text"),
-    ).select(
-        "*", F.col("word_idx").alias("left"),
-        ((key + F.col("word_idx") * 7) % 101 - 1).cast("double").alias("conf"),
+    one = F.lit(1)
+    lines = grouping.explode_rows(texts, F.split("text", "\n", -1), "doc_id").select(
+        "doc_id", F.col("pos").alias("line_num"), F.col("item").alias("line")
+    )
+    words = grouping.explode_rows(lines, F.split("line", " ", -1), "doc_id", "line_num").select(
+        "doc_id", one.alias("page_num"), one.alias("block_num"), one.alias("par_num"), "line_num",
+        F.col("pos").alias("word_idx"), F.col("item").alias("text"), F.col("pos").alias("left"),
+        ((key + F.col("pos") * 7) % 101 - 1).cast("double").alias("conf"),
     )
     cells = X.cell_boxes(spark, sf_dir).where(m.isin(3, 4)).withColumn(
         "confs", F.array((F.col("x") / 100 * 3 - 1).cast("double"))
@@ -676,13 +688,13 @@ def _page_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, stages.Pa
 @query
 def p2_extract_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of PDF and image files, from page tables, cells or words."""
-    found = stages.extract(*_page_inputs(spark, sf_dir))
+    found = _extract_scans(spark, sf_dir)
     return found.rows.select("invoice_number", "file_name", "row_number", "raw_text")
 
 
 @query
 def p2_extract_page_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stages.extract(*_page_inputs(spark, sf_dir), min_confidence=20.0)
+    found = _extract_scans(spark, sf_dir)
     return found.invoices.select(
         "file_name", "invoice_number", "table_data_count", F.length("raw_text_preview").alias("n_preview"),
         rounded("avg_confidence", 6), "low_confidence_flag",
