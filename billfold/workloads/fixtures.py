@@ -44,10 +44,12 @@ def _cents_text(cents: Column) -> Column:
 def priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with whole quantity, price and rate in cents and as text."""
     cents = (F.col("price") * 100).cast("bigint")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    raw = table(spark, sf_dir, "lineitem").select(*keys, "l_quantity", "l_extendedprice")
     return (
-        table(spark, sf_dir, "lineitem")
+        spread(raw, "l_orderkey")
         .select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+            *keys,
             F.col("l_quantity").cast("int").alias("qty"),
             F.col("l_extendedprice").cast("decimal(18,2)").alias("price"),
         )

