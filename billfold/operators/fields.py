@@ -27,7 +27,7 @@ def party_columns(text: Column, low: Column) -> list[Column]:
 
 
 def with_fields(docs: DataFrame) -> DataFrame:
-    """Adds invoice_from, invoice_to, address, invoice_number and salesperson.
+    """Adds invoice_from, invoice_to, address, invoice_number, salesperson and the preview.
 
     Needs ``text`` and ``file_stem``. The lower-case text is made once for all fields.
     """
@@ -37,6 +37,7 @@ def with_fields(docs: DataFrame) -> DataFrame:
         *party_columns(text, low),
         address(text, low).alias("address"),
         invoice_number(text, F.col("file_stem"), low).alias("invoice_number"),
+        F.substring(text, 1, K.PREVIEW_LENGTH).alias("raw_text_preview"),
     )
 
 
@@ -75,7 +76,7 @@ def invoice_records(docs: DataFrame, min_confidence: float | None, run_ts: str |
         "invoice_number",
         "salesperson",
         F.col("table_data_count").cast("bigint").alias("table_data_count"),
-        F.substring("text", 1, K.PREVIEW_LENGTH).alias("raw_text_preview"),
+        "raw_text_preview",
         "file_hash",
         F.col("avg_confidence").cast("double").alias("avg_confidence"),
         is_low_confidence(F.col("avg_confidence"), min_confidence).alias("low_confidence_flag"),

@@ -8,6 +8,8 @@ block first, and groups too large for one array are split into parts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,25 +20,26 @@ PART_ROWS = 50_000
 MAX_LISTED_HOT_GROUPS = 10_000
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def keep_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], null_keys: bool = True
+) -> DataFrame:
     """The first row of each key in the given order (insert-or-ignore).
 
     ``row_number() = 1`` is planned with a group limit on both sides of the shuffle:
     each map task sends one row per key, however often the key occurs. Rows with a
-    null in the key are never duplicates of each other and all stay.
+    null in the key are never duplicates of each other and all stay; ``null_keys`` is
+    False where there can be none, which saves looking for them.
     """
     rank = "__rank"
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
-    first = (
-        df.where(whole)
-        .withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        .where(F.col(rank) == 1)
-        .drop(rank)
-    )
-    nullable = any(f.nullable for f in df.schema.fields if f.name in keys)
-    return first.unionByName(df.where(~whole)) if nullable else first
+    ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(rank, ranked).where(F.col(rank) == 1).drop(rank)
+
+    if not null_keys:
+        return first(df)
+    whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    return first(df.where(whole)).unionByName(df.where(~whole))
 
 
 def running_sum(

@@ -12,14 +12,18 @@ from billfold.operators.grouping import keep_first
 
 
 def new_rows(
-    existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+    existing: DataFrame | None,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    null_keys: bool = True,
 ) -> DataFrame:
     """The incoming rows an insert-or-ignore would add: first of each key, not stored yet.
 
     Only the key columns of the stored table are read. The join is left to the optimizer,
     which broadcasts the stored keys only when their measured size allows it.
     """
-    first = keep_first(incoming, keys, order)
+    first = keep_first(incoming, keys, order, null_keys)
     if existing is None:
         return first
     return first.join(existing.select(*keys), list(keys), "left_anti")
@@ -42,10 +46,16 @@ def skip_seen(files: DataFrame, invoices: DataFrame | None, force: bool = False)
     """Files whose content hash is not stored yet; ``force`` keeps all.
 
     Equal files within one run both stay: the stored set is as it was before the run.
+    The stored hashes are first cut down to those that occur in this run, on the hash
+    column alone, so that the side the texts are joined with is as small as it can be
+    and the texts need not be shuffled to meet every hash ever stored.
     """
     if force or invoices is None:
         return files
-    return files.join(invoices.select("file_hash"), "file_hash", "left_anti")
+    seen = (
+        files.select("file_hash").distinct().join(invoices.select("file_hash"), "file_hash", "left_semi")
+    )
+    return files.join(seen, "file_hash", "left_anti").select(*files.columns)
 
 
 def evolve_schema(df: DataFrame, target: T.StructType | str) -> DataFrame:

@@ -18,7 +18,7 @@ from billfold.operators.cleaning import clean_rows, split_summary
 from billfold.operators.fields import invoice_records, row_counts, stamp_rows, with_fields
 from billfold.operators.merge import skip_seen
 from billfold.operators.reconcile import reconcile, reconcile_cleaned
-from billfold.sources.files import split_failures
+from billfold.sources.files import failure_reason, split_failures
 from billfold.sources.store import BillingStore, dump_text, export_json, export_tables
 
 _ROW = ("invoice_number", "file_name", "row_number", "raw_text", "cols", "file_path")
@@ -57,12 +57,13 @@ def _as_is(df: DataFrame) -> DataFrame:
 
 
 def parse_texts(docs: DataFrame) -> DataFrame:
-    """Text documents with fields, their rows as an array, and the row count. Narrow."""
+    """Text documents with fields, rows as an array and row count, without the text. Narrow."""
     return (
         with_fields(docs)
         .withColumn("rows", table_rows(F.col("text")))
         .withColumn("table_data_count", F.size("rows").cast("bigint"))
         .withColumn("avg_confidence", F.lit(None).cast("double"))
+        .drop("text")
     )
 
 
@@ -134,6 +135,7 @@ def _extract_pages(
     page, else from the text. Pages that cannot matter are dropped before their words
     are put together.
     """
+    docs = stage(docs)
     pdf = docs.where(F.col("ext").isin(*K.PDF_EXTENSIONS))
     images = docs.where(F.col("ext").isin(*K.IMAGE_EXTENSIONS))
     ids, pdf_ids, image_ids = (d.select("doc_id") for d in (docs, pdf, images))
@@ -199,10 +201,12 @@ def extract(
     back, so that what uses it does not repeat it; ``BillingStore.stage`` does. PDF and
     image files need ``pages``; without it they fail for want of text.
     """
-    is_text = F.col("ext").isin(*K.TEXT_EXTENSIONS)
     by_pages = F.lit(False) if pages is None else F.col("ext").isin(*K.PDF_EXTENSIONS, *K.IMAGE_EXTENSIONS)
-    good, failures = split_failures(docs.where(~by_pages))
-    parsed = stage(parse_texts(good.where(is_text)))
+    reason = failure_reason(F.col("ext"), F.col("text"))
+    read = stage(parse_texts(docs.where(~by_pages).withColumn("error", reason)))
+    failed = F.col("error").isNotNull()
+    parsed = read.where(~failed)
+    failures = read.where(failed).select(F.col("file_path").alias("file"), "error")
     invoices = invoice_records(parsed, min_confidence, run_ts)
     rows = rows_of(parsed)
     if pages is not None:
@@ -287,7 +291,8 @@ def ingest(
     batch = o.batch or uuid.uuid4().hex
     store.ensure("invoices", "rows", "failures")
     known = store.read("invoices", without_batch=batch)
-    found = extract(skip_seen(docs, known, o.force), pages, o.min_confidence, o.run_ts, store.stage)
+    fresh = skip_seen(docs, known, o.force or known.isEmpty())
+    found = extract(fresh, pages, o.min_confidence, o.run_ts, store.stage)
     if o.debug_path:
         dump_text(docs.where(F.col("text").isNotNull()), o.debug_path)
     rows = found.rows.withColumn("raw_text", tables.raw_text_or_cells(F.col("raw_text"), F.col("cols")))

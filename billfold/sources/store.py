@@ -82,9 +82,13 @@ class BillingStore:
         self.write(name, df, "all")
 
     def add_ignore(self, name: str, df: DataFrame, batch: str) -> None:
-        """Insert-or-ignore of one batch, keyed like the table; the first file path wins."""
+        """Insert-or-ignore of one batch, keyed like the table; the first file path wins.
+
+        Extraction leaves no key column null.
+        """
         keys = INVOICE_KEYS if name == "invoices" else ROW_KEYS
-        self.write(name, new_rows(self.read(name, without_batch=batch), df, keys, ["file_path"]), batch)
+        stored = self.read(name, without_batch=batch)
+        self.write(name, new_rows(stored, df, keys, ["file_path"], null_keys=False), batch)
 
     def stage(self, df: DataFrame, name: str = "staging") -> DataFrame:
         """Writes an intermediate frame and reads it back: computed once, lineage cut."""

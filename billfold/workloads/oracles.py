@@ -508,6 +508,30 @@ O["t4_address"] = f"SELECT doc_id, {address('text')} AS address FROM documents"
 O["t4_address_parts"] = f"""
 SELECT doc_id, {street('text')} AS street, {box('text')} AS box, {place('text')} AS place FROM documents"""
 O["t4_invoice_addresses"] = f"WITH {INVOICES} SELECT doc_id, {address('text')} AS address FROM texts"
+_LETTERS = """
+letters AS (
+  SELECT c_custkey, c_name, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS pos
+  FROM (SELECT c_custkey, c_name, [
+          n || chr(10) || c_custkey || ' Old Mill Rd, 7th best ave; ref inv-' || c_custkey || ' ok',
+          n || '; mail: p.o.  Box ' || c_custkey || '! xinv-1 INV 2x',
+          'Hall: Upper ' || n || ',' || chr(10) || ' Ham ' || lpad(c_custkey::VARCHAR, 5, '1') || '. INV_' || c_custkey,
+          'Late: ' || c_custkey || ' st, ' || n || ': ' || c_custkey || ' a  st. INV - '] AS ls
+        FROM (SELECT *, replace(c_name, '#', ' ') AS n FROM customer)))
+"""
+O["t4_letter_addresses"] = f"WITH {_LETTERS} SELECT c_custkey, pos, {address('text')} AS address FROM letters"
+O["t6_bare_invoice_numbers"] = f"""WITH {_LETTERS}
+SELECT c_custkey, pos, {invoice_number('text', 'c_name')} AS invoice_number FROM letters"""
+O["t3_conversation_parties"] = f"""SELECT conv_id, turn, {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from,
+  {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to, {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson
+FROM conversations"""
+O["f8_page_records"] = f"""WITH page_texts AS (SELECT page_id, 'page_' || page_id AS stem, html AS text FROM pages),
+{table_rows('page_texts', 'page_id')},
+counts AS (SELECT doc_id AS page_id, count(*) AS n FROM table_rows GROUP BY 1)
+SELECT stem || '.txt' AS file_name, {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from,
+       {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to, {address('text')} AS address,
+       {invoice_number('text', 'stem')} AS invoice_number, {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson,
+       coalesce(n, 0) AS table_data_count
+FROM page_texts LEFT JOIN counts USING (page_id)"""
 O["t5_clean_invoice_number"] = f"""WITH {LINES}
 SELECT doc_id, line_no, {clean_number('labelled')} AS invoice_number
 FROM (SELECT *, ['', 'Invoice No:', 'INV-', 'bill', 'inv.', 'invoice#', 'Bill No'][line_no % 7 + 1] || ' ' || line AS labelled

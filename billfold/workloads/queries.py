@@ -467,6 +467,52 @@ def t4_invoice_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.invoice_texts(spark, sf_dir).select("doc_id", T.address(F.col("text")).alias("address"))
 
 
+def _customer_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short letters with addresses and invoice numbers in several forms."""
+    key = F.col("c_custkey").cast("string")
+    name = F.translate("c_name", "#", " ")
+    letters = F.array(
+        F.concat(name, F.lit("\n"), key, F.lit(" Old Mill Rd, 7th best ave; ref inv-"), key, F.lit(" ok")),
+        F.concat(name, F.lit("; mail: p.o.  Box "), key, F.lit("! xinv-1 INV 2x")),
+        F.concat(F.lit("Hall: Upper "), name, F.lit(",\n Ham "), F.lpad(key, 5, "1"), F.lit(". INV_"), key),
+        F.concat(F.lit("Late: "), key, F.lit(" st, "), name, F.lit(": "), key, F.lit(" a  st. INV - ")),
+    )
+    customer = X.table(spark, sf_dir, "customer")
+    return grouping.explode_rows(customer, letters, "c_custkey").withColumnRenamed("item", "text")
+
+
+@query
+def t4_letter_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customer_letters(spark, sf_dir).select("c_custkey", "pos", T.address(F.col("text")).alias("address"))
+
+
+@query
+def t6_bare_invoice_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = T.invoice_number(F.col("text"), F.col("c_name"))
+    letters = _customer_letters(spark, sf_dir).join(X.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return letters.select("c_custkey", "pos", number.alias("invoice_number"))
+
+
+@query
+def t3_conversation_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = X.spread(X.table(spark, sf_dir, "conversations"), "conv_id")
+    return turns.select("conv_id", "turn", *fields.party_columns(F.col("text"), F.lower("text")))
+
+
+@query
+def f8_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages as documents: fields and table rows of texts full of signs."""
+    stem = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
+    pages = X.spread(X.table(spark, sf_dir, "pages"), "page_id").select(
+        F.col("page_id").cast("string").alias("doc_id"), F.concat(stem, F.lit(".txt")).alias("file_name"),
+        F.col("url").alias("file_path"), stem.alias("file_stem"), F.lit(".txt").alias("ext"),
+        F.col("html").alias("text"),
+    )
+    return _records(pages).select(
+        "file_name", "invoice_from", "invoice_to", "address", "invoice_number", "salesperson", "table_data_count"
+    )
+
+
 @query
 def t5_clean_invoice_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir)
