@@ -1,29 +1,28 @@
-import pytest
 from pyspark.sql import functions as F
 
 from billfold.functions import numbers as N
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        ("Pen | 2 | 1.50 | 3.00", (2.0, 1.5, 3.0)),
-        ("2 | 3.00", (None, None, 3.0)),
-        ("Qty. 3 | 9.90 | 29.70 | x", (3.0, 9.9, 29.7)),
-        ("Qty 1.2.3 | 9 | 9", (None, 9.0, 9.0)),
-        ("27.08.2019 | 1 | 2 | 3", (None, None, None)),
-        ("16.12.2021", (None, None, None)),
-        ("due PO-1 27.09.2019", (None, None, 9.2019)),
-        ("Fee -12.5", (None, None, 12.5)),
-        ("Fee 0,58 €", (None, None, 58.0)),
-        ("Fee 1.000,00 €", (None, None, 1.0)),
-        ("-00057", (None, None, 57.0)),
-        ("ends x", (None, None, None)),
-        ("1 | 2 | 3 | 4", (None, None, 4.0)),
-    ],
-)
-def test_qty_rate_amount(evaluate, raw, want):
-    assert tuple(evaluate(N.qty_rate_amount, [raw])[0]) == want
+QTY_RATE_AMOUNT_CASES = [
+    ("Pen | 2 | 1.50 | 3.00", (2.0, 1.5, 3.0)),
+    ("2 | 3.00", (None, None, 3.0)),
+    ("Qty. 3 | 9.90 | 29.70 | x", (3.0, 9.9, 29.7)),
+    ("Qty 1.2.3 | 9 | 9", (None, 9.0, 9.0)),
+    ("27.08.2019 | 1 | 2 | 3", (None, None, None)),
+    ("16.12.2021", (None, None, None)),
+    ("due PO-1 27.09.2019", (None, None, 9.2019)),
+    ("Fee -12.5", (None, None, 12.5)),
+    ("Fee 0,58 €", (None, None, 58.0)),
+    ("Fee 1.000,00 €", (None, None, 1.0)),
+    ("-00057", (None, None, 57.0)),
+    ("ends x", (None, None, None)),
+    ("1 | 2 | 3 | 4", (None, None, 4.0)),
+]
+
+
+def test_qty_rate_amount(evaluate):
+    got = [tuple(v) for v in evaluate(N.qty_rate_amount, [raw for raw, _ in QTY_RATE_AMOUNT_CASES])]
+    assert got == [want for _, want in QTY_RATE_AMOUNT_CASES]
 
 
 def test_last_number(evaluate):

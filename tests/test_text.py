@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
@@ -18,22 +17,22 @@ def test_strip_takes_unicode_blanks(evaluate):
     assert evaluate(T.strip, ["　 x  ", "\x1cy\n"]) == ["x", "y"]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("From: ACME Corp\nTo: X", "acme corp"),
-        ("SELLER Big Co\nfrom here", "here"),  # keyword order, not place in the text
-        ("from\n\n  Next Line", "next line"),  # the value may stand on the next line
-        ("from:", ":"),
-        ("x from   ", ""),  # a hit without a value ends the search
-        ("Xfrom - Late\nvendored", "Late"),  # no whole word: substring, original case
-        ("afrom\nb vendorX : Rest -", "X : Rest"),
-        ("nothing", ""),
-        ("fréfrom Été", "Été"),
-    ],
-)
-def test_seller(evaluate, text, want):
-    assert values(evaluate, K.SELLER_KEYWORDS, [text]) == [want]
+SELLER_CASES = [
+    ("From: ACME Corp\nTo: X", "acme corp"),
+    ("SELLER Big Co\nfrom here", "here"),  # keyword order, not place in the text
+    ("from\n\n  Next Line", "next line"),  # the value may stand on the next line
+    ("from:", ":"),
+    ("x from   ", ""),  # a hit without a value ends the search
+    ("Xfrom - Late\nvendored", "Late"),  # no whole word: substring, original case
+    ("afrom\nb vendorX : Rest -", "X : Rest"),
+    ("nothing", ""),
+    ("fréfrom Été", "Été"),
+]
+
+
+def test_seller(evaluate):
+    got = values(evaluate, K.SELLER_KEYWORDS, [text for text, _ in SELLER_CASES])
+    assert got == [want for _, want in SELLER_CASES]
 
 
 def test_sign_keyword_needs_a_word_right_after(evaluate):
@@ -47,23 +46,23 @@ def test_second_pass_goes_line_by_line(evaluate):
     assert values(evaluate, ("city", "zip"), ["a zipa mycityb"]) == ["b"]
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("see 12 Baker Road, London", "12 Baker Road"),
-        ("see 12 Baker Street, London", ", london"),
-        ("9 x 305 Fleet Rd and 7 Long Lane now", "9 x 305 Fleet Rd and 7 Long Lane"),
-        ("37271 Foo\nBar, the best: 5 avenue", "37271 Foo\nBar, the best"),
-        ("1234567 Main St", "34567 Main St"),
-        ("5 st: 6 a st", "6 a st"),
-        ("no digits best", ""),
-        ("write to P.O. Box 7712 soon", "P.O. Box 7712"),
-        ("x; Old Town,  Ham 59000.", "Old Town,  Ham 59000"),
-        ("Address: Hall 3", "hall 3"),
-    ],
-)
-def test_address(evaluate, text, want):
-    assert evaluate(T.address, [text]) == [want]
+ADDRESS_CASES = [
+    ("see 12 Baker Road, London", "12 Baker Road"),
+    ("see 12 Baker Street, London", ", london"),
+    ("9 x 305 Fleet Rd and 7 Long Lane now", "9 x 305 Fleet Rd and 7 Long Lane"),
+    ("37271 Foo\nBar, the best: 5 avenue", "37271 Foo\nBar, the best"),
+    ("1234567 Main St", "34567 Main St"),
+    ("5 st: 6 a st", "6 a st"),
+    ("no digits best", ""),
+    ("write to P.O. Box 7712 soon", "P.O. Box 7712"),
+    ("x; Old Town,  Ham 59000.", "Old Town,  Ham 59000"),
+    ("Address: Hall 3", "hall 3"),
+]
+
+
+def test_address(evaluate):
+    got = evaluate(T.address, [text for text, _ in ADDRESS_CASES])
+    assert got == [want for _, want in ADDRESS_CASES]
 
 
 def test_address_is_linear_on_digits(evaluate):
@@ -71,22 +70,22 @@ def test_address_is_linear_on_digits(evaluate):
     assert evaluate(T.address, [text]) == [""]
 
 
-@pytest.mark.parametrize(
-    ("raw", "want"),
-    [
-        ("Invoice: A 17/3", "A_173"),
-        ("invoice no 7", "no_7"),
-        ("inv. 7", "_7"),
-        ("INV-12", "12"),
-        ("INV_12", "_12"),
-        ("bill no: 5", "no_5"),
-        ("", ""),
-        ("invoice éé", "éé"),  # nothing left: the cut text itself
-        ("x" * 200, "x" * 120),
-    ],
-)
-def test_clean_invoice_number(evaluate, raw, want):
-    assert evaluate(T.clean_invoice_number, [raw]) == [want]
+CLEAN_INVOICE_NUMBER_CASES = [
+    ("Invoice: A 17/3", "A_173"),
+    ("invoice no 7", "no_7"),
+    ("inv. 7", "_7"),
+    ("INV-12", "12"),
+    ("INV_12", "_12"),
+    ("bill no: 5", "no_5"),
+    ("", ""),
+    ("invoice éé", "éé"),  # nothing left: the cut text itself
+    ("x" * 200, "x" * 120),
+]
+
+
+def test_clean_invoice_number(evaluate):
+    got = evaluate(T.clean_invoice_number, [raw for raw, _ in CLEAN_INVOICE_NUMBER_CASES])
+    assert got == [want for _, want in CLEAN_INVOICE_NUMBER_CASES]
 
 
 def test_invoice_number_sources(evaluate):
@@ -95,23 +94,23 @@ def test_invoice_number_sources(evaluate):
     assert got == ["_1213", "0099", "INV_stem", "INV_stem"]
 
 
-@pytest.mark.parametrize(
-    ("row", "want"),
-    [
-        ("a | 1 | 2", ["a", "1", "2"]),
-        ("a  b\tc", ["a", "b", "c"]),
-        ("a | b", ["a | b"]),
-        ("a |  | b", ["a", "b"]),
-        ("Pen blue 3 1.50 4,50", ["Pen blue", "3", "1.50", "4,50"]),
-        ("1 2 (3)", ["", "1", "2", "(3)"]),
-        ("abc12 7", ["abc12", "7"]),
-        ("", [""]),
-        ("word", ["word"]),
-        ("5 word", ["5 word"]),
-    ],
-)
-def test_row_cells(evaluate, row, want):
-    assert evaluate(T.row_cells, [row]) == [want]
+ROW_CELLS_CASES = [
+    ("a | 1 | 2", ["a", "1", "2"]),
+    ("a  b\tc", ["a", "b", "c"]),
+    ("a | b", ["a | b"]),
+    ("a |  | b", ["a", "b"]),
+    ("Pen blue 3 1.50 4,50", ["Pen blue", "3", "1.50", "4,50"]),
+    ("1 2 (3)", ["", "1", "2", "(3)"]),
+    ("abc12 7", ["abc12", "7"]),
+    ("", [""]),
+    ("word", ["word"]),
+    ("5 word", ["5 word"]),
+]
+
+
+def test_row_cells(evaluate):
+    got = evaluate(T.row_cells, [row for row, _ in ROW_CELLS_CASES])
+    assert got == [want for _, want in ROW_CELLS_CASES]
 
 
 def test_long_numeric_row(evaluate):
