@@ -26,7 +26,7 @@ def test_qty_rate_amount(evaluate):
 
 
 def test_last_number(evaluate):
-    got = evaluate(N.last_number, ["1,207.68", "PN-00057", "x", "€ 5,5 z", "1.2.3", None])
+    got = evaluate(N.last_number, ["1,207.68", "QX-00057", "x", "€ 5,5 z", "1.2.3", None])
     assert got == [68.0, -57.0, None, 5.5, 3.0, None]
 
 

@@ -13,26 +13,26 @@ from billfold.sources import files
 from billfold.sources.store import BillingStore, export_tables, scratch_folder
 from billfold.streaming.ingest import ingest_stream, stream_documents
 
-TWO_COLUMNS = """Bioworks INVOICE
+TWO_COLUMNS = """Harbour Salt INVOICE
 BILL TO: SHIP TO:
 Jane Roe Jane Roe
 QUANTITY DESCRIPTION UNIT PRICE TOTAL
 Salt crystals 12.50 125.00
 10
-BPN-00057
+QX-00057
 Subtotal 125.00
 Sales Tax 12.50
 Total Due 137.50
 Due after 30 days
 """
-GERMAN = """Musterfirma GmbH
+GERMAN = """Werkstatt Nord
 Invoice No Customer No Date
 777 12345 1. März 2024
 Amount
-Basic Fee 130,00 € 1 130,00 €
-Transaction Fee 0,58 € 14 8,12 €
-Total 138,12 €
-VAT 19 % 26,24 €
+Base Charge 140,00 € 1 140,00 €
+Call Charge 0,60 € 15 9,00 €
+Total 149,00 €
+VAT 19 % 28,31 €
 This was generated by hand
 Period: 01.02.2024
 16.12.2021
@@ -107,11 +107,11 @@ def test_extract_golden(spark, folder):
         rows.setdefault(r.file_name, []).append(r.raw_text)
     # "Subtotal" and "Total Due" count as headers; "Due after" is a row until cleaning
     assert rows["two.txt"] == [
-        "Salt crystals 12.50 125.00", "10", "BPN-00057", "Sales Tax 12.50", "Due after 30 days",
+        "Salt crystals 12.50 125.00", "10", "QX-00057", "Sales Tax 12.50", "Due after 30 days",
     ]
     # "generated" hides the header word "rate"
     assert rows["german.TXT"] == [
-        "Basic Fee 130,00 EUR 1 130,00 EUR", "Transaction Fee 0,58 EUR 14 8,12 EUR", "VAT 19 % 26,24 EUR",
+        "Base Charge 140,00 EUR 1 140,00 EUR", "Call Charge 0,60 EUR 15 9,00 EUR", "VAT 19 % 28,31 EUR",
         "Period: 01.02.2024", "16.12.2021",
     ]
 
@@ -142,7 +142,7 @@ def test_verification_of_a_run(spark, folder, tmp_path):
     two, german = ver["INV_two"], ver["customer_no_date"]
     assert (two.items_sum, two.parsed_tax, two.parsed_total) == (125.0 + 10 + 57, 12.5, 204.5)
     assert not two.mismatch_flag and two.items_sum == two.parsed_subtotal
-    assert (german.items_sum, german.parsed_tax) == (130 + 8.12 + 2.2024 + 2021, None)
+    assert (german.items_sum, german.parsed_tax) == (140 + 9 + 2.2024 + 2021, None)
     assert out["cleaned"].where(F.lower("description").contains("due")).count() == 0
     assert out["items"].count() + out["totals"].count() == out["cleaned"].count()
 

@@ -49,8 +49,8 @@ def test_second_pass_goes_line_by_line(evaluate):
 ADDRESS_CASES = [
     ("see 12 Baker Road, London", "12 Baker Road"),
     ("see 12 Baker Street, London", ", london"),
-    ("9 x 305 Fleet Rd and 7 Long Lane now", "9 x 305 Fleet Rd and 7 Long Lane"),
-    ("37271 Foo\nBar, the best: 5 avenue", "37271 Foo\nBar, the best"),
+    ("9 x 31 Mole Rd and 7 Long Lane now", "9 x 31 Mole Rd and 7 Long Lane"),
+    ("44120 Foo\nBar, the best: 5 avenue", "44120 Foo\nBar, the best"),
     ("1234567 Main St", "34567 Main St"),
     ("5 st: 6 a st", "6 a st"),
     ("no digits best", ""),
@@ -89,9 +89,9 @@ def test_clean_invoice_number(evaluate):
 
 
 def test_invoice_number_sources(evaluate):
-    texts = ["Invoice No. 1213\n", "ref inv-0099 ok", "xinv-1 y", "invoice no\n"]
+    texts = ["Invoice No. 1414\n", "ref inv-0099 ok", "xinv-1 y", "invoice no\n"]
     got = evaluate(lambda c: T.invoice_number(c, F.lit("stem")), texts)
-    assert got == ["_1213", "0099", "INV_stem", "INV_stem"]
+    assert got == ["_1414", "0099", "INV_stem", "INV_stem"]
 
 
 ROW_CELLS_CASES = [
