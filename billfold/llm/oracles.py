@@ -31,3 +31,23 @@ lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM lowest LEFT JOIN n USING (doc_id)
 """
+
+ORACLES["op7_line_dedup"] = rf"""
+WITH cut AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+placed AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM cut),
+worded AS (
+  SELECT doc_id, i, line, start, regexp_extract_all({LOWER.replace("text", "line")}, {WORDS}) AS ws FROM placed),
+unit AS MATERIALIZED (
+  SELECT doc_id, start, start + length(line) AS "end", len(ws) AS n_words, array_to_string(ws, ' ') AS norm,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit_no FROM worded WHERE len(ws) > 0),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(start) OVER o AS kept_start, row_number() OVER o AS nth
+  FROM unit WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit_no)),
+run AS (
+  SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS run FROM ranked WHERE nth > 1),
+summed AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM run)
+SELECT doc_id, start, "end", n_words, kept_doc_id, kept_start FROM summed WHERE run_words >= 50
+"""

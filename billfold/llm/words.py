@@ -129,11 +129,12 @@ def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(out, n), out_bounds
 
 
-def row_groups(column: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``size`` bytes, one row at least, so that arrays made of them stay small."""
+def row_groups(column: pa.Array, size: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``size`` bytes, one row at least: arrays made of them stay small."""
     _, starts = text_bytes(column)
     begin = 0
     while begin < len(column):
         stop = max(begin + 1, int(np.searchsorted(starts, starts[begin] + size, "right")) - 1)
+        stop = min(stop, begin + rows)
         yield begin, stop
         begin = stop
