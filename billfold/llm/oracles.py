@@ -51,3 +51,32 @@ run AS (
 summed AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM run)
 SELECT doc_id, start, "end", n_words, kept_doc_id, kept_start FROM summed WHERE run_words >= 50
 """
+
+ORACLES["op5_flow_mixing"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS})) AS size,
+    md5('mix-1/' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+    2 * source_size AS cap FROM s),
+levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level,
+    row_number() OVER (ORDER BY cap / weight) AS place
+  FROM weighed WINDOW before AS (ORDER BY cap / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM levels WHERE cap > weight * level),
+aimed AS (
+  SELECT source, source_size, CASE WHEN l.place < stop.place OR stop.place IS NULL THEN cap::DOUBLE
+    ELSE weight * stop.level END AS target FROM levels l, stop),
+flow AS (
+  SELECT *, floor(target)::BIGINT // greatest(source_size, 1) AS whole, floor(target)::BIGINT % greatest(source_size, 1) AS rest
+  FROM aimed),
+placed AS (
+  SELECT d.*, source_size, target, whole, rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id ROWS UNBOUNDED PRECEDING) AS through
+  FROM d JOIN flow f ON d.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE
+  WHEN through <= rest OR (through - size < rest AND through - rest <= rest - (through - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billfold.llm import decontamination, line_dedup, near_dedup
+from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +35,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("__sources", F.array("source"))
+    return mixing.mixed(docs, "__sources").drop("text_key", "sources")
+
+
+@query
+def op6_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    rows = docs.withColumn("__held_out", F.coalesce(held_out, F.lit(False)))
+    model = language_id.fit(rows.where(~F.col("__held_out")))
+    found = language_id.identified(rows.select("doc_id", "__held_out", "text"), model, "__found")
+    return found.select("doc_id", F.col("__held_out").alias("held_out"), "__found.*")

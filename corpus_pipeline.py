@@ -2,9 +2,82 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
+from billfold.llm.tables import stored, text_key
+
+
+def _same(left: DataFrame, right: DataFrame):
+    """Rows of ``left`` with the id and text of ``right``."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (text_key(left["text"]) == right["text_key"])
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model is fitted on the labelled ones among them."""
+    found = language_id.identified(docs, language_id.fit(docs), "__found")
+    return found.where(~F.col("__found.rejected")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id; rows without words all stay.
+
+    Of rows alike in id the one of smallest digest over all columns stays.
+    """
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    grouped = found.where("n_shingles > 0").select("doc_id", "text_key", "component_id", "kept").distinct()
+    stays = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
+    gone = stored(
+        grouped.where("not kept or component_id is null").select("doc_id", "text_key").unionByName(
+            grouped.where("kept").withColumn("n", F.row_number().over(stays)).where("n > 1").select("doc_id", "text_key")
+        )
+    )
+    rest = docs.join(gone, _same(docs, gone), "left_anti")
+    repeated = (
+        found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    )
+    single = rest.join(repeated, _same(rest, repeated), "left_anti")
+    several = rest.join(repeated, _same(rest, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(several)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; n_chars counts what is left."""
+    return line_dedup.without_repeats(docs, length="n_chars")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents it takes, with their words, their source's and what it takes of them."""
+    mix = mixing.mixed(docs.withColumn("__sources", F.array("source")), "__sources")
+    taken = mix.where("taken > 0").groupBy("doc_id", "text_key").agg(
+        F.first("size").alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.max("taken").alias("taken"),
+    )
+    added = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
+    return docs.join(taken, _same(docs, taken)).select(*(docs[c] for c in docs.columns), *(taken[c] for c in added))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_dedup", one_of_each),
+    ("line_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("mixing", to_target_weights),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
