@@ -80,3 +80,36 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE
   WHEN through <= rest OR (through - size < rest AND through - rest <= rest - (through - size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed
 """
+
+ORACLES["op3_threshold_top_k"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def _escaped(column: str) -> str:
+    """Code points of the column with backslashes doubled and one put into every control string."""
+    longer = [f"length({column})", f"length({column}) - length(replace({column}, chr(92), ''))"]
+    for s in ("<s>", "</s>", "[INST]", "[/INST]"):
+        longer.append(f"(length({column}) - length(replace({column}, '{s}', ''))) // {len(s)}")
+    return " + ".join(longer)
+
+
+ORACLES["op9_chat_formatting"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(CASE WHEN role = 'assistant' THEN 7 ELSE 13 END + 1 + {_escaped("role")} + {_escaped("text")})::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
+"""
