@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billfold.llm import chat_format, decontamination, language_id, line_dedup, mixing, near_dedup, token_counts, topk
+from billfold.llm import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat_format.read_back(chat_format.formatted(turns))
+
+
+@query
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    learns = F.coalesce(F.pmod(crc, F.lit(5)) != 1, F.lit(True))
+    found = lm_scoring.scored(table(spark, sf_dir, "documents"), learns, F.pmod(crc, F.lit(25)) == 0)
+    return found.withColumn("held_out", ~F.col("learned")).drop("learned")
