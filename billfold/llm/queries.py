@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billfold.llm import chat_format, decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, token_counts, topk
+from billfold.llm import chat_format, decontamination, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,9 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     learns = F.coalesce(F.pmod(crc, F.lit(5)) != 1, F.lit(True))
     found = lm_scoring.scored(table(spark, sf_dir, "documents"), learns, F.pmod(crc, F.lit(25)) == 0)
     return found.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
+@query
+def op8_boosted_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extraction.extracted(pages, html_extraction.fit(pages))
