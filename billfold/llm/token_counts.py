@@ -52,11 +52,11 @@ def margin(path: str) -> int:
 
 def piece_starts(encoding) -> dict[int, int]:
     """Characters at which a piece begins, with the number of tokens before each."""
-    out, before = {}, None
-    for i, (word, (start, _)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
-        if word != before and (not i or encoding.offsets[i - 1][1] == start):
+    out, before, ended = {}, None, 0
+    for i, (word, (start, end)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
+        if word != before and ended == start:
             out[start] = i
-        before = word
+        before, ended = word, end
     return out
 
 
