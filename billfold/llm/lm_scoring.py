@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from billfold.llm import words as W
 from billfold.llm.tables import stored, text_key
 
-BLOCK_BYTES = 8 << 20  # text of a block, on the average
-BUCKET_BYTES = 16 << 20  # text whose n-grams a bucket gets, on the average
+BLOCK_BYTES = 4 << 20  # text of a block, on the average
+BUCKET_BYTES = 8 << 20  # text whose n-grams a bucket gets, on the average
 CONTEXT_BUCKETS = 24
 ROUNDS = 12
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
