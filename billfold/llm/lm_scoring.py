@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from billfold.llm import words as W
 from billfold.llm.tables import stored, text_key
 
-BLOCK_BYTES = 4 << 20  # text of a block, on the average
-BUCKET_BYTES = 8 << 20  # text whose n-grams a bucket gets, on the average
+BLOCK_BYTES = 2 << 20  # text of a block, on the average
+BUCKET_BYTES = 4 << 20  # text whose n-grams a bucket gets, on the average
 CONTEXT_BUCKETS = 24
 ROUNDS = 12
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -70,7 +70,8 @@ def _ask(block: pa.Table, bits: int) -> pa.Table:
     token, pair, bounds = grams(block["text"])
     role = np.repeat(block["role"].to_numpy(), np.diff(bounds))
     keys, number = np.unique(np.concatenate([token, pair]), return_inverse=True)
-    sums = [np.bincount(number[np.tile(role == r, 2)], minlength=len(keys)) for r in (_KEPT, _HELD)]
+    del token, pair
+    sums = [np.bincount(number, np.tile(role == r, 2), len(keys)).astype(np.int64) for r in (_KEPT, _HELD)]
     edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
     cut = [*np.searchsorted(keys, edges), len(keys)]
     parts = [(b, slice(cut[b], cut[b + 1])) for b in range(1 << bits) if cut[b] < cut[b + 1]]
