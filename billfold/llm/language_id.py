@@ -25,6 +25,7 @@ PER_LANGUAGE = 500  # labelled texts a language is fitted on at most, those of s
 CENTROIDS = 4
 REACH = 0.1  # of the smallest cosine among a centroid's own texts
 UNKNOWN = "und"
+LISTED = 10_000  # languages whose shares are broadcast at most
 _ROUNDS = 12
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -90,8 +91,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     the clustering of each language run as Spark tasks; the driver gets the centroids.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), text_key("text"))
-    sample = known.select("lang", F.col("text").cast("binary").alias("text"), F.row_number().over(order).alias("n"))
+    known = known.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", text_key("text")).alias("hash"))
+    # about four times as many as are wanted by a bound on the hash, then the smallest hashes of these
+    counted = docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()
+    share = docs.sparkSession.createDataFrame([(r.lang, 4.0 * per_language / r["count"]) for r in counted], "lang string, share double")
+    few = known.join(F.broadcast(share) if len(counted) <= LISTED else share, "lang").where(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 20)), "hash")
+    sample = few.select("lang", "text", F.row_number().over(order).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +107,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                     [batch["lang"].slice(begin, stop - begin), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "v"]
                 )
 
-    counted = stored(sample.where(F.col("n") <= per_language).select("lang", "text").mapInArrow(count, "lang string, v binary"))
+    vectorised = stored(sample.where(F.col("n") <= per_language).select("lang", "text").mapInArrow(count, "lang string, v binary"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
@@ -111,7 +117,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "df"])
 
-    parts = counted.select("v").mapInArrow(frequencies, "n bigint, df binary").collect()
+    parts = vectorised.select("v").mapInArrow(frequencies, "n bigint, df binary").collect()
     n = sum(p.n for p in parts)
     df = sum((np.frombuffer(p.df, np.int64) for p in parts), np.zeros(DIMS, np.int64))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
@@ -124,7 +130,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     def named(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return cluster(rows).assign(lang=key[0])[["lang", "c", "least"]]
 
-    found = counted.groupBy("lang").applyInPandas(named, "lang string, c binary, least double").collect()
+    found = vectorised.groupBy("lang").applyInPandas(named, "lang string, c binary, least double").collect()
     found.sort(key=lambda r: (r.lang, r.c))
     matrix = np.stack([np.frombuffer(r.c, np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
     return Model(idf, [r.lang for r in found], matrix, np.array([r.least for r in found]) * REACH)
@@ -136,7 +142,7 @@ def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
     A null text or one without a letter is ``und`` with score 0 and rejected, and so is every text
     if nothing was learned. Only ``text`` is looked at; a narrow plan, no shuffle.
     """
-    schema = f"struct<lang_pred: string, score: double, rejected: boolean>"
+    schema = "struct<lang_pred: string, score: double, rejected: boolean>"
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     names = docs.columns
 
