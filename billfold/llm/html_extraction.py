@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from billfold.llm import words as W
+
 SAMPLE_PAGES = 400  # pages trained on at most, those of smallest hash
 SAMPLE_NODES = 64  # of each such page
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.25
@@ -318,7 +320,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_nodes: int =
     width = len(features(parse(""))[0][0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.sliced(batches, "html"):
             for page in batch["html"].to_pylist():
                 rows, labels = features(parse(page))
                 known = np.flatnonzero(labels >= 0)
@@ -350,7 +352,7 @@ def extracted(pages: DataFrame, model: Boosted) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.sliced(batches, "html"):
             trees = [parse(page or "") for page in batch["html"].to_pylist()]
             rows = [features(t)[0] for t in trees]
             scores = model(np.concatenate(rows))

@@ -12,9 +12,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from billfold.llm import words as W
 from billfold.llm.tables import stored, text_key
 
 MIN_WORDS = 50
@@ -27,9 +28,9 @@ def units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "text_key", "unit_no", "start", "end", "n_words", "digest"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
+        for part in W.sliced(batches, "text"):
             out: list[list] = [[] for _ in names]
-            for doc_id, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
+            for doc_id, key, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                 start, unit_no = 0, 0
                 for line in (text or "").split("\n"):
                     words = line.encode().lower().split()
@@ -40,9 +41,6 @@ def units(docs: DataFrame) -> DataFrame:
                             column.append(value)
                         unit_no += 1
                     start += len(line) + 1
-                if len(out[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     schema = "doc_id bigint, text_key bigint, unit_no int, start bigint, end bigint, n_words bigint, digest binary"
@@ -85,31 +83,30 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | N
     )
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__key": text_key("text")})
     on = keyed["__id"].eqNullSafe(spans["doc_id"]) & (keyed["__key"] == spans["text_key"])
-    joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), "spans")
-    rest = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
-    if length:
-        rest = rest.withColumn(length, F.when(F.col("spans").isNull(), F.col(length)).otherwise(F.char_length("text")))
-    return rest.where(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("spans")
+    joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), F.col("spans").alias("__spans"))
 
+    names = docs.columns
 
-def cut(text: str, spans: str) -> Column:
-    """The text without these lines and their line ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.sliced(batches, "text"):
+            gone = part["__spans"].to_pylist()
+            texts = [t if g is None else cut(t, g) for t, g in zip(part["text"].to_pylist(), gone, strict=True)]
+            columns = {c: part[c] for c in names} | {"text": pa.array(texts, part["text"].type)}
+            if length:
+                old = part[length].to_pylist()
+                new = [n if g is None else len(t) for n, t, g in zip(old, texts, gone, strict=True)]
+                columns[length] = pa.array(new, part[length].type)
+            stays = [g is None or bool(t.encode().split()) for t, g in zip(texts, gone, strict=True)]
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stays, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
 
-    @F.pandas_udf("string")
-    def run(texts, lists):
-        import pandas as pd
-
-        out = []
-        for value, gone in zip(texts, lists, strict=True):
-            if gone is None:
-                out.append(value)
-                continue
-            parts, at = [], 0
-            for span in gone:
-                parts.append(value[at : span["start"]])
-                at = span["end"] + 1
-            left = "".join(parts) + value[at:]
-            out.append(left[:-1] if at > len(value) and left.endswith("\n") else left)
-        return pd.Series(out, dtype=object)
-
-    return run(F.col(text), F.col(spans))
+
+def cut(text: str, gone: list[dict]) -> str:
+    """The text without these lines and their line ends."""
+    parts, at = [], 0
+    for span in gone:
+        parts.append(text[at : span["start"]])
+        at = span["end"] + 1
+    left = "".join(parts) + text[at:]
+    return left[:-1] if at > len(text) and left.endswith("\n") else left

@@ -51,30 +51,22 @@ def features(docs: DataFrame, shingle: int, bands: int, functions: int) -> DataF
     """``(doc_id, text_key, n_shingles, node, keys)``: equal sets have the same node, a 128-bit digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, stop in W.row_groups(batch["text"]):
-                part = batch.slice(begin, stop - begin)
-                hashes, bounds = distinct_shingles(part["text"], shingle)
-                count = np.diff(bounds)
-                full = np.flatnonzero(count)
-                nodes: list[bytes | None] = [None] * len(count)
-                keys: list[np.ndarray | None] = [None] * len(count)
-                if len(full):
-                    starts = bounds[:-1][full]
-                    digest = np.stack([np.add.reduceat(W.mix(hashes, s), starts) for s in (1, 2)], axis=1)
-                    rows = band_keys(hashes, starts, bands, functions).view(np.int64)
-                    for i, row in enumerate(full):
-                        nodes[row], keys[row] = digest[i].tobytes(), rows[i]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        part["text_key"],
-                        pa.array(count, pa.int64()),
-                        pa.array(nodes, pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "text_key", "n_shingles", "node", "keys"],
-                )
+        for part in W.sliced(batches, "text"):
+            hashes, bounds = distinct_shingles(part["text"], shingle)
+            count = np.diff(bounds)
+            full = np.flatnonzero(count)
+            nodes: list[bytes | None] = [None] * len(count)
+            keys: list[np.ndarray | None] = [None] * len(count)
+            if len(full):
+                starts = bounds[:-1][full]
+                digest = np.stack([np.add.reduceat(W.mix(hashes, s), starts) for s in (1, 2)], axis=1)
+                rows = band_keys(hashes, starts, bands, functions).view(np.int64)
+                for i, row in enumerate(full):
+                    nodes[row], keys[row] = digest[i].tobytes(), rows[i]
+            columns = (pa.array(count, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["text_key"], *columns], names=["doc_id", "text_key", "n_shingles", "node", "keys"]
+            )
 
     schema = "doc_id bigint, text_key bigint, n_shingles bigint, node binary, keys array<bigint>"
     return docs.mapInArrow(run, schema)
@@ -84,17 +76,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """Those pairs ``(a, b)`` whose whole shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, stop in W.row_groups(batch["text_a"]):
-                part = batch.slice(begin, stop - begin)
-                a, at = distinct_shingles(part["text_a"], shingle)
-                b, bt = distinct_shingles(part["text_b"], shingle)
-                alike = []
-                for i in range(part.num_rows):
-                    x, y = a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    alike.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+        for part in W.sliced(batches, "text_a"):
+            a, at = distinct_shingles(part["text_a"], shingle)
+            b, bt = distinct_shingles(part["text_b"], shingle)
+            alike = []
+            for i in range(part.num_rows):
+                x, y = a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import billfold
 from billfold.sources.store import scratch_folder
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if nothing else says where it is."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(billfold.__file__).resolve().parent.parent))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame written as parquet below ``spark.checkpoint.dir`` and read again.
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from billfold.llm import words as W
 from billfold.llm.tables import stored
 
 CHUNK = 1 << 16  # characters of a chunk without its overlaps
@@ -74,7 +75,7 @@ def _split(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
+        for batch in W.sliced(batches, "text"):
             waiting: list[tuple[int | None, int, str]] = []
             size = 0
 

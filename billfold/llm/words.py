@@ -138,3 +138,10 @@ def row_groups(column: pa.Array, size: int = 2 << 20, rows: int = 1 << 16) -> It
         stop = min(stop, begin + rows)
         yield begin, stop
         begin = stop
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str, size: int = 2 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of the text column, so that few texts are Python objects at once."""
+    for batch in batches:
+        for begin, stop in row_groups(batch[text], size, rows):
+            yield batch.slice(begin, stop - begin)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from billfold.llm.tables import stored, text_key
+from billfold.llm.tables import reach_package, stored, text_key
 
 
 def _same(left: DataFrame, right: DataFrame):
@@ -16,6 +16,7 @@ def _same(left: DataFrame, right: DataFrame):
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model is fitted on the labelled ones among them."""
+    reach_package(spark)
     found = language_id.identified(docs, language_id.fit(docs), "__found")
     return found.where(~F.col("__found.rejected")).select(*docs.columns)
 
@@ -25,6 +26,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows alike in id the one of smallest digest over all columns stays.
     """
+    reach_package(spark)
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
     grouped = found.where("n_shingles > 0").select("doc_id", "text_key", "component_id", "kept").distinct()
     stays = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
@@ -44,16 +46,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; n_chars counts what is left."""
+    reach_package(spark)
     return line_dedup.without_repeats(docs, length="n_chars")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    reach_package(spark)
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents it takes, with their words, their source's and what it takes of them."""
+    reach_package(spark)
     mix = mixing.mixed(docs.withColumn("__sources", F.array("source")), "__sources")
     taken = mix.where("taken > 0").groupBy("doc_id", "text_key").agg(
         F.first("size").alias("size"),
