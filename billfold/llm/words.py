@@ -34,7 +34,7 @@ _UP, _DOWN = _powers(_ODD, SEGMENT + 1), _powers(_ODD_INVERSE, SEGMENT + 1)
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finalizer of SplitMix64)."""
-    x = x + np.uint64((salt * _ODD + 0x632BE59BD9B4E019) & (2**64 - 1))
+    x = x + np.uint64((int(salt) * _ODD + 0x632BE59BD9B4E019) & (2**64 - 1))
     x ^= x >> np.uint64(30)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
