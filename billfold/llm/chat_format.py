@@ -22,7 +22,7 @@ Template = Callable[[Sequence[Turn]], str]
 ASSISTANT = "assistant"
 SEGMENT = 256  # turns in one row of output
 CONTEXT = 8  # turns before the newest that a prefix holds, beside the segment's first
-MARKER = "\ue000"
+MARKERS = range(0xE000, 0xF900)  # code points of which one that the turn does not hold marks its text
 
 _CONTROL = re.compile(r"([<\[])(?=/?(?:s>|INST\]))")
 _TURN = re.compile(r"(?:<s>|\[INST\])(.*?)\n(.*?)(?:</s>|\[/INST\])", re.S)
@@ -62,14 +62,19 @@ def spans(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[in
     out, at = [], 0
     for i in range(len(turns)):
         before = list(turns[:i]) if i <= CONTEXT + 1 else [turns[0], *turns[i - CONTEXT : i]]
-        old, new = template(before), template([*before, turns[i]])
-        probe = template([*before, (turns[i][0], MARKER)])
+        old, new = template(before) if i else "", template([*before, turns[i]])
+        for marker in map(chr, MARKERS):
+            probe = template([*before, (turns[i][0], marker)])
+            if probe.count(marker, len(old)) == 1:
+                break
+        else:
+            return whole, None
         span = new[len(old) :]
         if not new.startswith(old) or not probe.startswith(old) or not whole.startswith(span, at):
             return whole, None
-        head = probe.find(MARKER, len(old)) - len(old)
-        tail = len(probe) - len(old) - head - len(MARKER)
-        if head < 0 or span[:head] != probe[len(old) : len(old) + head]:
+        head = probe.find(marker, len(old)) - len(old)
+        tail = len(probe) - len(old) - head - 1
+        if span[:head] != probe[len(old) : len(old) + head]:
             return whole, None
         out.append((at, at + len(span), at + head, at + len(span) - tail))
         at += len(span)

@@ -263,6 +263,8 @@ class Boosted:
 def boost(rows: np.ndarray, labels: np.ndarray, trees: int = TREES) -> Boosted:
     """Logistic gradient boosting on binned features; both classes weigh the same."""
     n, width = rows.shape
+    if not n:
+        trees, rows = 0, np.zeros((1, width))  # no tree: nothing is text
     cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
     binned = np.stack([np.searchsorted(c, rows[:, f], "left") for f, c in enumerate(cuts)], axis=1)
     share = np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3)

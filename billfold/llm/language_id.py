@@ -70,7 +70,7 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def clustered(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centres of length one, and the smallest cosine between each and its own points."""
+    """Centres of length one that have points of their own, and the smallest cosine between each and these."""
     centres = points[:1]
     while len(centres) < min(k, len(points)):
         centres = np.vstack([centres, points[np.argmin((points @ centres.T).max(axis=1))]])
@@ -80,8 +80,8 @@ def clustered(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
     near = points @ centres.T
     own = near.argmax(axis=1)
-    least = [near[own == c, c].min() if (own == c).any() else 1.0 for c in range(len(centres))]
-    return centres.astype(np.float32), np.array(least, np.float32)
+    used = np.unique(own)
+    return centres[used].astype(np.float32), np.array([near[own == c, c].min() for c in used], np.float32)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:

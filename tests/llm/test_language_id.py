@@ -1,0 +1,46 @@
+import random
+
+import pytest
+
+from billfold.llm.language_id import fit, identified
+
+SYLLABLES = {"xx": ["ka", "to", "ri", "mu", "ne"], "yy": ["sch", "ung", "ber", "ich"], "zz": ["çã", "éo", "lh", "qui"]}
+
+
+def text(lang, seed, words):
+    rng = random.Random(f"{lang}{seed}")
+    return " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randrange(1, 4))) for _ in range(words))
+
+
+@pytest.fixture(scope="module")
+def model(docs_of):
+    rows = [(i, text(lang, i, 40), lang) for i in range(60) for lang in SYLLABLES]
+    return fit(docs_of([*rows, (900, None, "xx"), (901, "12 !?", "yy"), (902, "kato", None), (None, "ri mu", "xx")]))
+
+
+def test_held_out_texts(docs_of, model):
+    rows = [(i, text(lang, 1000 + i, 1 + i % 30), lang) for i in range(60) for lang in SYLLABLES]
+    out = identified(docs_of(rows), model, "found").collect()
+    assert sum(r.found.lang_pred == r.lang for r in out) >= 0.97 * len(rows)
+    assert not any(r.found.rejected for r in out) and all(0 <= r.found.score <= 1 for r in out)
+
+
+def test_odd_rows_and_far_texts(docs_of, model, odd_rows):
+    docs = docs_of([*odd_rows, (70, "1234 --"), (71, "漢字仮名交じり文" * 9)])
+    out = identified(docs, model, "found")
+    assert out.columns == [*docs.columns, "found"] and out.count() == len(odd_rows) + 2
+    rows = {r.doc_id: r.found for r in out.collect()}
+    assert all(tuple(rows[i]) == ("und", 0.0, True) for i in (1, 2, 3, 70))
+    assert rows[71].rejected and rows[71].lang_pred != "und" and not rows[9].rejected
+
+
+def test_nothing_learned(docs_of):
+    model = fit(docs_of([]))
+    assert [tuple(r.found) for r in identified(docs_of({1: "kato"}), model, "found").collect()] == [("und", 0.0, True)]
+    assert identified(docs_of([]), model, "found").collect() == []
+
+
+def test_the_sample_is_bounded_and_the_same_in_any_order(docs_of):
+    docs = docs_of([(i, text("xx", i, 10), "xx") for i in range(200)])
+    a, b = fit(docs, per_language=20), fit(docs.repartition(5), per_language=20)
+    assert set(a.labels) == {"xx"} and a.labels == b.labels and (a.centroids == b.centroids).all()
