@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +12,17 @@ from billfold.functions import constants as K
 from billfold.functions.text import bind, contains_any, strip
 
 _CURRENCY = "€$£"
+_DIGITS = "".join(chr(c) for c in range(0x80, sys.maxunicode) if unicodedata.category(chr(c)) == "Nd")
+_PLAIN_DIGITS = "".join(str(unicodedata.digit(d)) for d in _DIGITS)
 _NUMBER = rf"{K.DIGIT}+(?:\.{K.DIGIT}+)?"
 _DATE = rf"{K.DIGIT}{{1,2}}\.{K.DIGIT}{{1,2}}\.{K.DIGIT}{{2,4}}"
 
 
+def plain_digits(text: Column) -> Column:
+    """The decimal digits of every script as 0-9; a text in ASCII is not looked at any further."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _DIGITS, _PLAIN_DIGITS)).otherwise(text)
+
+
 def looks_like_date(cell: Column) -> Column:
     """The whole cell is a date such as 27.09.2019."""
     return strip(cell).rlike(rf"\A{_DATE}\z")
@@ -63,11 +73,11 @@ def qty_rate_amount(raw: Column) -> Column:
             .otherwise(from_cells(text))
         )
 
-    return bind(strip(F.translate(raw, "€,", "")), values)
+    return bind(plain_digits(strip(F.translate(raw, "€,", ""))), values)
 
 
 def _last_number(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"(-?{_NUMBER})"), F.lit(1))
+    found = F.regexp_extract_all(plain_digits(text), F.lit(f"(-?{_NUMBER})"), F.lit(1))
     return F.try_element_at(found, F.lit(-1)).try_cast("double")
 
 
@@ -97,8 +107,9 @@ def normalize_qty(qty: Column) -> Column:
 
 def normalize_qty_text(qty: Column) -> Column:
     """A quantity kept as text: '2,5' and '2.5' stay fractional, unlike the numeric form."""
-    dotted = strip(F.translate(qty, ",", "."))
-    signed = F.regexp_replace(strip(qty), r"(?<=[0-9])_(?=[0-9])", "")
+    plain = plain_digits(strip(qty))
+    dotted = F.translate(plain, ",", ".")
+    signed = F.regexp_replace(plain, r"(?<=[0-9])_(?=[0-9])", "")
     return F.coalesce(
         F.when(dotted.rlike(r"\A[0-9]+(\.[0-9]+)?\z"), dotted.try_cast("double")),
         F.when(

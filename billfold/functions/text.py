@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from billfold.functions import constants as K
 
 
-# Stands between cells while a row is split; a code point that no text may use.
-_MARK = chr(0xFFFF)
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, however often the body uses it.
 
@@ -256,9 +252,9 @@ def _numbers_peeled(folded: Column) -> Column:
     )
 
 
-def _cells(row: Column, marked: Column, folded: Column) -> Column:
+def _cells(row: Column, gaps: str, folded: Column) -> Column:
     return bind(
-        F.split(marked, _MARK, -1),
+        F.split(row, gaps, -1),
         lambda tokens: F.when(
             F.size(tokens) >= 3, F.filter(F.transform(tokens, strip), lambda t: t != "")
         ).otherwise(_numbers_peeled(folded)),
@@ -272,14 +268,12 @@ def row_cells(row: Column) -> Column:
     numbers at its end are peeled off and the rest is the description.
     """
     gaps = rf"{K.SPACE}{{2,}}|\t|{K.SPACE}\|{K.SPACE}"
-    return bind(
-        strip(row), lambda r: _cells(r, F.regexp_replace(r, gaps, _MARK), fold_spaces(r))
-    )
+    return bind(strip(row), lambda r: _cells(r, gaps, fold_spaces(r)))
 
 
 def folded_row_cells(line: Column) -> Column:
     """The same for a line with its white space folded, where only ' | ' can split."""
-    return _cells(line, F.replace(line, F.lit(K.CELL_SEPARATOR), F.lit(_MARK)), line)
+    return _cells(line, re.escape(K.CELL_SEPARATOR), line)
 
 
 def table_rows(text: Column) -> Column:
@@ -304,7 +298,7 @@ def table_rows(text: Column) -> Column:
         )
         return F.filter(lines, lambda line: ~is_header_line(line))
 
-    segments = F.split(F.regexp_replace(_lines_joined(text), footer, _MARK), _MARK, -1)
+    segments = F.split(_lines_joined(text), footer, -1)
     rows = F.transform(segments, rows_after_header)
     none = F.array().cast("array<string>")
     return F.when(is_header_line(text), F.flatten(rows)).otherwise(none)
