@@ -33,6 +33,7 @@ HEADLINE = (
     "s18_nested_invoices",
     "s10_insert_invoices",
     "p1_run_stages",
+    "p2_extract_page_invoices",
 )
 
 
@@ -47,6 +48,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINT_DIR", "/tmp/checkpoints"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

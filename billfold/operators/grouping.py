@@ -1,8 +1,8 @@
-"""Shared building blocks: keep-first, running numbers and splitting of hot groups.
+"""Shared building blocks: keep-first, running numbers and exploded arrays.
 
 One key may hold a large share of all rows, so nothing here needs a whole group in
 one place: keep-first drops rows before the shuffle, running numbers are summed per
-block first, and groups too large for one array are split into parts.
+block first.
 """
 
 from __future__ import annotations
@@ -14,12 +14,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Most rows one collected array may hold before its group is split into parts.
-PART_ROWS = 50_000
-# Most hot groups that are kept as a broadcast list; beyond it they are joined.
-MAX_LISTED_HOT_GROUPS = 10_000
-
-
 def keep_first(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], null_keys: bool = True
 ) -> DataFrame:
@@ -90,34 +84,3 @@ def explode_rows(df: DataFrame, array: str | Column, *carried: str | Column) ->
     that is itself computed once more.
     """
     return df.select(*carried, F.posexplode_outer(array).alias("pos", "item")).where(F.col("pos").isNotNull())
-
-
-def with_parts(
-    df: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int = PART_ROWS
-) -> DataFrame:
-    """Adds ``part``: 0 for groups of at most ``limit`` rows, else a number that splits them.
-
-    Groups beyond the limit are counted first, on the key columns alone. Usually there
-    is none and nothing is joined. A short list of them is broadcast, its size being
-    known; a long one is joined by shuffle, and the caller's grouping by (keys, part)
-    spreads the rows again. ``spread`` names columns that tell the rows of a group apart.
-    """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("__rows"))
-        .where(F.col("__rows") > limit)
-        .select(*keys, F.ceil(F.col("__rows") / limit).cast("int").alias("__parts"))
-    )
-    listed = hot.limit(MAX_LISTED_HOT_GROUPS + 1).collect()
-    if not listed:
-        return df.withColumn("part", F.lit(0))
-    spark = df.sparkSession
-    if len(listed) <= MAX_LISTED_HOT_GROUPS:
-        hot = F.broadcast(spark.createDataFrame(listed, hot.schema))
-    part = F.when(F.col("__parts").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int")
-    )
-    split = df.join(hot, list(keys), "left").withColumn("part", part).drop("__parts")
-    if len(listed) > MAX_LISTED_HOT_GROUPS:
-        split = split.repartition(*keys, "part")
-    return split

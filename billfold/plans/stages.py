@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from billfold.functions import constants as K
 from billfold.functions.text import table_rows
 from billfold.operators import layout, tables
-from billfold.operators.cleaning import clean_rows, split_summary
+from billfold.operators.cleaning import CLEANED_SCHEMA, clean_rows, split_summary
 from billfold.operators.fields import invoice_records, row_counts, stamp_rows, with_fields
-from billfold.operators.merge import skip_seen
+from billfold.operators.merge import evolve_schema, skip_seen
 from billfold.operators.reconcile import reconcile, reconcile_cleaned
-from billfold.sources.files import failure_reason, split_failures
+from billfold.sources.files import failure_reason, is_unread, split_failures
 from billfold.sources.store import BillingStore, dump_text, export_json, export_tables
 
 _ROW = ("invoice_number", "file_name", "row_number", "raw_text", "cols", "file_path")
@@ -28,6 +28,7 @@ class Extracted(NamedTuple):
     invoices: DataFrame
     rows: DataFrame
     failures: DataFrame
+    texts: DataFrame  # file_stem and text of what was processed
 
 
 class Postprocessed(NamedTuple):
@@ -135,7 +136,6 @@ def _extract_pages(
     page, else from the text. Pages that cannot matter are dropped before their words
     are put together.
     """
-    docs = stage(docs)
     pdf = docs.where(F.col("ext").isin(*K.PDF_EXTENSIONS))
     images = docs.where(F.col("ext").isin(*K.IMAGE_EXTENSIONS))
     ids, pdf_ids, image_ids = (d.select("doc_id") for d in (docs, pdf, images))
@@ -201,21 +201,26 @@ def extract(
     back, so that what uses it does not repeat it; ``BillingStore.stage`` does. PDF and
     image files need ``pages``; without it they fail for want of text.
     """
-    by_pages = F.lit(False) if pages is None else F.col("ext").isin(*K.PDF_EXTENSIONS, *K.IMAGE_EXTENSIONS)
-    reason = failure_reason(F.col("ext"), F.col("text"))
+    unread = is_unread(docs)
+    by_pages = F.lit(False)
+    if pages is not None:
+        by_pages = F.col("ext").isin(*K.PDF_EXTENSIONS, *K.IMAGE_EXTENSIONS) & ~unread
+    reason = failure_reason(F.col("ext"), F.col("text"), unread)
     read = stage(parse_texts(docs.where(~by_pages).withColumn("error", reason)))
     failed = F.col("error").isNotNull()
     parsed = read.where(~failed)
     failures = read.where(failed).select(F.col("file_path").alias("file"), "error")
     invoices = invoice_records(parsed, min_confidence, run_ts)
     rows = rows_of(parsed)
+    texts = docs.where(~by_pages & reason.isNull()).select("file_stem", "text")
     if pages is not None:
         measured, page_lines = _extract_pages(docs.where(by_pages), pages, stage)
         readable, unreadable = split_failures(measured)
         invoices = invoices.unionByName(invoice_records(readable, min_confidence, run_ts))
         rows = rows.unionByName(stamp_rows(page_lines, readable).select(*_ROW))
         failures = failures.unionByName(unreadable)
-    return Extracted(invoices, rows, failures)
+        texts = texts.unionByName(readable.select("file_stem", "text"))
+    return Extracted(invoices, rows, failures, texts)
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -224,7 +229,12 @@ def clean(rows: DataFrame) -> DataFrame:
 
 
 def postprocess(cleaned: DataFrame) -> Postprocessed:
-    """Items, totals and verification of any cleaned table."""
+    """Items, totals and verification of any cleaned table.
+
+    Columns of the cleaned table that are absent count as null. Without ``file_name`` and
+    ``row_number`` summary rows are taken by amount, the smallest first.
+    """
+    cleaned = evolve_schema(cleaned, CLEANED_SCHEMA)
     items, totals = split_summary(cleaned)
     return Postprocessed(items, totals, reconcile_cleaned(cleaned))
 
@@ -286,16 +296,22 @@ def run_stages(
 def ingest(
     store: BillingStore, docs: DataFrame, pages: PageInputs | None = None, options: RunOptions | None = None
 ) -> None:
-    """Adds one batch of documents to the stored invoices, rows and failures."""
+    """Adds one batch of documents to the stored invoices, rows and failures.
+
+    The documents are staged first, with hash and text but without their bytes: files are
+    read once, and the check against the stored hashes reads a column of the staged table.
+    """
     o = options or RunOptions()
     batch = o.batch or uuid.uuid4().hex
     store.ensure("invoices", "rows", "failures")
     known = store.read("invoices", without_batch=batch)
+    docs = store.stage(docs)
     fresh = skip_seen(docs, known, o.force or known.isEmpty())
     found = extract(fresh, pages, o.min_confidence, o.run_ts, store.stage)
     if o.debug_path:
-        dump_text(docs.where(F.col("text").isNotNull()), o.debug_path)
+        dump_text(found.texts, o.debug_path, batch)
     rows = found.rows.withColumn("raw_text", tables.raw_text_or_cells(F.col("raw_text"), F.col("cols")))
     store.add_ignore("rows", rows, batch)
-    store.write("failures", found.failures, batch)
+    store.add_ignore("failures", found.failures, batch)
     store.add_ignore("invoices", found.invoices, batch)
+    store.drop_staged()

@@ -48,7 +48,7 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
     Out: doc_id, file_name, file_path, file_stem, ext, length, content. Files too large
     for one value come without content, the length filter being pushed to the listing;
-    ``split_failures`` reports them.
+    such a file is a failure with a reason of its own and is never stored.
     """
     return file_rows(spark.read.format("binaryFile").load(folder_glob(path)))
 
@@ -76,16 +76,22 @@ def read_documents(files: DataFrame) -> DataFrame:
     )
 
 
-def failure_reason(ext: Column, text: Column) -> Column:
-    """Why a document cannot be processed, or null."""
-    return F.when(
-        ~ext.isin(*K.SUPPORTED_EXTENSIONS), F.concat(F.lit("Unsupported extension "), ext)
-    ).when(is_blank(text), "No text extracted")
+def failure_reason(ext: Column, text: Column, unread: Column | None = None) -> Column:
+    """Why a document cannot be processed, or null. ``unread``: its bytes were too many for one value."""
+    reason = F.when(~ext.isin(*K.SUPPORTED_EXTENSIONS), F.concat(F.lit("Unsupported extension "), ext))
+    if unread is not None:
+        reason = reason.when(unread, "File too large to be read")
+    return reason.when(is_blank(text), "No text extracted")
+
+
+def is_unread(docs: DataFrame) -> Column:
+    """Whether a document came without its bytes and so without a hash."""
+    return F.col("file_hash").isNull() if "file_hash" in docs.columns else F.lit(False)
 
 
 def split_failures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents to process, failures with file and error)."""
-    reason = failure_reason(F.col("ext"), F.col("text"))
+    reason = failure_reason(F.col("ext"), F.col("text"), is_unread(docs))
     failed = docs.select(F.col("file_path").alias("file"), reason.alias("error")).where(F.col("error").isNotNull())
     return docs.where(reason.isNull()), failed
 

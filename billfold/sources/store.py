@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -14,8 +13,11 @@ from billfold.operators.fields import INVOICE_SCHEMA, ROW_SCHEMA
 from billfold.operators.merge import evolve_schema, new_rows
 from billfold.operators.reconcile import nest_by_invoice
 
-INVOICE_KEYS = ["file_hash"]
-ROW_KEYS = ["invoice_number", "file_name", "row_number"]
+KEYS = {
+    "invoices": ["file_hash"],
+    "rows": ["invoice_number", "file_name", "row_number"],
+    "failures": ["file", "error"],
+}
 TABLES = {
     "invoices": INVOICE_SCHEMA,
     "rows": ROW_SCHEMA,
@@ -33,15 +35,12 @@ _FIRST_BATCH = "none"
 def scratch_folder(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables that every executor can reach.
 
-    Taken below ``spark.checkpoint.dir``, the shared folder of the cluster. A machine-local
-    folder is used only on a local master, where that machine is the whole cluster.
+    Taken below ``spark.checkpoint.dir``, the shared folder of the cluster, which must be set.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/billfold-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="billfold-")
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 class BillingStore:
@@ -54,6 +53,7 @@ class BillingStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.staged: list[str] = []
 
     def path(self, name: str, batch: str | None = None) -> str:
         return f"{self.root}/{name}" + (f"/batch={batch}" if batch else "")
@@ -84,22 +84,34 @@ class BillingStore:
     def add_ignore(self, name: str, df: DataFrame, batch: str) -> None:
         """Insert-or-ignore of one batch, keyed like the table; the first file path wins.
 
-        Extraction leaves no key column null.
+        No key column is null: a document without a hash is a failure before it is extracted.
         """
-        keys = INVOICE_KEYS if name == "invoices" else ROW_KEYS
         stored = self.read(name, without_batch=batch)
-        self.write(name, new_rows(stored, df, keys, ["file_path"], null_keys=False), batch)
+        order = ["file_path"] if "file_path" in df.columns else KEYS[name]
+        self.write(name, new_rows(stored, df, KEYS[name], order, null_keys=False), batch)
 
     def stage(self, df: DataFrame, name: str = "staging") -> DataFrame:
         """Writes an intermediate frame and reads it back: computed once, lineage cut."""
         path = f"{self.path(name)}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self.staged.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_staged(self) -> None:
+        """Deletes what this object has staged; for the end of a run, when nothing reads it any more."""
+        while self.staged:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.staged.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def export_tables(tables: Mapping[str, DataFrame], path: str, file_format: str = "parquet") -> None:
-    """One folder per table, as parquet, csv or json; array columns go into csv as JSON."""
+    """One folder per table, as parquet, csv or json; array columns go into csv as JSON.
+
+    Tables with an invoice number are sorted by it over all their files, then by file and row.
+    """
     for name, df in tables.items():
+        order = [c for c in ("invoice_number", "file_name", "row_number") if c in df.columns]
+        df = df.orderBy(*order) if order else df
         if file_format == "csv":
             df = df.select(
                 *(
@@ -113,7 +125,7 @@ def export_tables(tables: Mapping[str, DataFrame], path: str, file_format: str =
 
 
 def export_json(items: DataFrame, totals: DataFrame, verification: DataFrame, path: str) -> None:
-    """The flat tables and the nested form per invoice, one JSON object per line."""
+    """The flat tables and the nested form per invoice and file, one JSON object per line."""
     export_tables(
         {
             "items": items,
@@ -126,6 +138,6 @@ def export_json(items: DataFrame, totals: DataFrame, verification: DataFrame, pa
     )
 
 
-def dump_text(docs: DataFrame, path: str) -> None:
-    """The raw text of each document under its file stem (a debugging aid)."""
-    docs.select("file_stem", "text").write.mode("overwrite").partitionBy("file_stem").text(path)
+def dump_text(texts: DataFrame, path: str, batch: str) -> None:
+    """The raw texts of a batch with their file stems (a debugging aid); other batches stay as they are."""
+    texts.select("file_stem", "text").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")

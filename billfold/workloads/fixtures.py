@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billfold.operators.grouping import explode_rows, with_parts
-
-# Line items one text may hold; a larger order is spread over several files.
-TEXT_ROWS = 5_000
+from billfold.operators.grouping import explode_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Over all cores, if the table has fewer files than there are cores.
+    """Over all cores, if the scan has fewer tasks than there are cores.
 
-    A table of one file is one task, too few for work that is bound by the CPU. A large
-    table has files enough and is read as it is, without a shuffle.
+    One task is too few for work that is bound by the CPU; a large table has tasks enough
+    and is read as it is, without a shuffle. The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,20 +69,14 @@ def _item_line() -> Column:
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1: doc_id, file_name, file_path, file_stem, ext, text, one text per order."""
-    items = with_parts(
-        priced_items(spark, sf_dir).withColumn("line", _item_line()),
-        ["l_orderkey"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "qty", "cents"],
-        TEXT_ROWS,
-    )
-    lines = items.groupBy("l_orderkey", "part").agg(
+    items = priced_items(spark, sf_dir).withColumn("line", _item_line())
+    lines = items.groupBy("l_orderkey").agg(
         F.min("l_suppkey").alias("suppkey"),
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "qty", "cents", "line"))).alias("ls"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     key = F.col("o_orderkey").cast("string")
-    part = F.coalesce("part", F.lit(0))
     head = F.array(
         F.concat(F.lit("Invoice No: INV-"), key),
         F.concat(F.lit("From: Supplier "), F.coalesce("suppkey", F.lit(0)).cast("string")),
@@ -100,19 +91,14 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Page 1"),
     )
     body = F.coalesce(F.transform("ls", lambda x: x["line"]), F.array().cast("array<string>"))
-    stem = F.concat(
-        F.lit("order_"), key, F.when(part > 0, F.concat(F.lit("_"), part.cast("string"))).otherwise("")
-    )
+    stem = F.concat(F.lit("order_"), key)
     return (
         # the texts grow with the data, while their estimated size does not show it
         orders.join(lines.hint("merge"), orders["o_orderkey"] == lines["l_orderkey"], "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "inner")
         .select(
             stem.alias("file_stem"),
-            F.array_join(
-                F.concat(head, body, F.when(part == 0, F.array(tax)).otherwise(F.array().cast("array<string>")), foot),
-                "\n",
-            ).alias("text"),
+            F.array_join(F.concat(head, body, F.array(tax), foot), "\n").alias("text"),
         )
         .select(
             F.col("file_stem").alias("doc_id"),
@@ -240,8 +226,10 @@ def cell_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D7: five lines of a document are a page; every fourth document has no text layer."""
-    return _pages(documents(spark, sf_dir).where(F.col("doc_id") % 4 != 3))
+    """D7: five lines of a document are a page; the pages of every fourth document are blank."""
+    pages = _pages(documents(spark, sf_dir))
+    blank = F.col("doc_id").cast("bigint") % 4 == 3
+    return pages.withColumn("text", F.when(blank, " \n ").otherwise(F.col("text")))
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,16 +257,13 @@ def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     header = F.array(*(F.lit(h) for h in ("Description", "Qty", "Rate", "Amount")))
     keyed = F.struct("l_partkey", "l_suppkey", "qty", "cents", cells.alias("cells"))
-    parted = with_parts(
-        items, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "qty", "cents"], TEXT_ROWS
-    )
     return (
-        parted.groupBy("l_orderkey", "l_linenumber", "part")
+        items.groupBy("l_orderkey", "l_linenumber")
         .agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["cells"]).alias("body"))
         .select(
             F.col("l_orderkey").cast("string").alias("doc_id"),
             F.col("l_linenumber").alias("page_no"),
-            (F.col("part") + 1).alias("table_no"),
+            F.lit(1).alias("table_no"),
             F.concat(F.array(header), "body").alias("rows"),
         )
     )

@@ -325,7 +325,8 @@ def normalized(v: str) -> str:
 # --- the queries ----------------------------------------------------------------------------
 
 O = ORACLES
-PAGE_TEXTS = RAW_LINES + "," + PAGES + ", layer AS (SELECT * FROM pages_of WHERE doc_id % 4 <> 3)"
+PAGE_TEXTS = RAW_LINES + "," + PAGES + """, layer AS (
+  SELECT doc_id, page_no, CASE WHEN doc_id % 4 = 3 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM pages_of)"""
 ASSEMBLED = r"""
   SELECT doc_id, coalesce(string_agg(chr(10) || text, '' ORDER BY page_no), '') AS text
   FROM layer WHERE regexp_matches(text, '""" + f"[^{K.SPACE_SET}]" + r"""') GROUP BY doc_id
@@ -356,8 +357,8 @@ FROM items"""
 O["s7_choose_row_source"] = f"""WITH {ITEMS}
 SELECT l_orderkey AS doc_id,
        CASE l_orderkey % 4 WHEN 0 THEN 'T' || l_partkey WHEN 1 THEN 'O' || l_suppkey ELSE 'X' || qty END AS raw_text,
-       l_orderkey % 4 + 1 AS source
-FROM items WHERE l_orderkey % 4 < 3"""
+       least(l_orderkey % 4 + 1, 3) AS source
+FROM items"""
 O["s7_first_page_with_rows"] = f"""WITH {ITEMS}
 SELECT l_orderkey AS doc_id, l_linenumber AS page_num, amount_text
 FROM items QUALIFY l_linenumber = min(l_linenumber) OVER (PARTITION BY l_orderkey)"""
@@ -404,21 +405,22 @@ O["st2_replayed_rows"] = f"""WITH {table_rows('documents', 'doc_id')}
 SELECT 'doc_' || doc_id || '.txt' AS file_name, row_number, raw_text FROM table_rows"""
 
 _NESTED = f"""WITH {SPLIT}{verified('split_items', 'split_totals')},
-i AS (SELECT invoice_number, count(*) AS n_items, string_agg(description, '~' ORDER BY file_name, row_number, description) AS items
-      FROM split_items GROUP BY 1),
-t AS (SELECT invoice_number, count(*) AS n_totals, string_agg(type || ':' || raw, '~' ORDER BY file_name, row_number) AS totals
-      FROM split_totals GROUP BY 1)
+i AS (SELECT invoice_number, file_name, count(*) AS n_items, string_agg(description, '~' ORDER BY row_number, description) AS items
+      FROM split_items GROUP BY 1, 2),
+t AS (SELECT invoice_number, file_name, count(*) AS n_totals, string_agg(type || ':' || raw, '~' ORDER BY row_number) AS totals
+      FROM split_totals GROUP BY 1, 2),
+nested AS (SELECT * FROM i FULL JOIN t USING (invoice_number, file_name) JOIN verification USING (invoice_number))
 """
 O["s18_nested_invoices"] = _NESTED + """
-SELECT invoice_number, coalesce(items, '') AS items, coalesce(totals, '') AS totals, round(parsed_total, 4) AS parsed_total
-FROM verification LEFT JOIN i USING (invoice_number) LEFT JOIN t USING (invoice_number)"""
+SELECT invoice_number, file_name, coalesce(items, '') AS items, coalesce(totals, '') AS totals, round(parsed_total, 4) AS parsed_total
+FROM nested"""
 O["s18_invoice_json"] = _NESTED + """
-SELECT invoice_number, invoice_number AS json_number, coalesce(n_items, 0) AS n_items, coalesce(n_totals, 0) AS n_totals,
+SELECT invoice_number, file_name, invoice_number AS json_number, coalesce(n_items, 0) AS n_items, coalesce(n_totals, 0) AS n_totals,
        CASE WHEN mismatch_flag THEN 'true' ELSE 'false' END AS mismatch
-FROM verification LEFT JOIN i USING (invoice_number) LEFT JOIN t USING (invoice_number)"""
+FROM nested"""
 O["a7_totals_per_invoice"] = _NESTED + """
-SELECT invoice_number, coalesce(n_items, 0) AS n_items, coalesce(n_totals, 0) AS n_totals, mismatch_flag
-FROM verification LEFT JOIN i USING (invoice_number) LEFT JOIN t USING (invoice_number)"""
+SELECT invoice_number, file_name, coalesce(n_items, 0) AS n_items, coalesce(n_totals, 0) AS n_totals, mismatch_flag
+FROM nested"""
 
 O["f1_keep_words"] = f"WITH {KEPT_WORDS} SELECT doc_id, line_num, word_idx, text FROM kept"
 O["f2_keep_digit_lines"] = f"WITH {LINES} SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '{D}')"
@@ -582,6 +584,11 @@ O["t17_low_confidence"] = f"""WITH {WORDS}
 SELECT doc_id, coalesce(avg(conf::DOUBLE) FILTER (conf <> -1) < 50, FALSE) AS low_confidence_flag FROM words GROUP BY doc_id"""
 O["t18_reconcile"] = f"WITH {SPLIT}{verified('split_items', 'split_totals')}{VERIFICATION}"
 O["p4_postprocess"] = O["t18_reconcile"]
+O["p4_any_cleaned_table"] = (
+    f"WITH {SPLIT}{verified('split_items', 'split_totals')}{VERIFICATION}"
+    .replace("(file_name, row_number)", "parsed_amount")
+    .replace("ORDER BY file_name, row_number", "ORDER BY parsed_amount")
+)
 
 # --- stages ------------------------------------------------------------------------------------
 

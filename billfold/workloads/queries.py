@@ -109,7 +109,7 @@ def _row_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         )
 
     m = F.col("m")
-    return [rows(m == 0, "T", "l_partkey"), rows(m <= 1, "O", "l_suppkey"), rows(m <= 2, "X", "qty")]
+    return [rows(m == 0, "T", "l_partkey"), rows(m <= 1, "O", "l_suppkey"), rows(m <= 3, "X", "qty")]
 
 
 @query
@@ -209,6 +209,7 @@ def s18_nested_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = reconcile.nest_by_invoice(*post)
     return nested.select(
         "invoice_number",
+        "file_name",
         joined(F.transform("items", lambda i: i["description"])).alias("items"),
         joined(F.transform("totals", lambda t: F.concat(t["type"], F.lit(":"), t["raw"]))).alias("totals"),
         F.round("verification.parsed_total", 4).alias("parsed_total"),
@@ -222,6 +223,7 @@ def s18_invoice_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = reconcile.to_invoice_json(reconcile.nest_by_invoice(*post))
     return json.select(
         "invoice_number",
+        "file_name",
         F.get_json_object("json", "$.invoice_number").alias("json_number"),
         F.json_array_length(F.get_json_object("json", "$.items")).cast("bigint").alias("n_items"),
         F.json_array_length(F.get_json_object("json", "$.totals")).cast("bigint").alias("n_totals"),
@@ -355,6 +357,7 @@ def a7_totals_per_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = stages.postprocess(X.cleaned_rows(spark, sf_dir))
     return reconcile.nest_by_invoice(*post).select(
         "invoice_number",
+        "file_name",
         F.size("items").cast("bigint").alias("n_items"),
         F.size("totals").cast("bigint").alias("n_totals"),
         F.col("verification.mismatch_flag").alias("mismatch_flag"),
@@ -758,6 +761,13 @@ def p4_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification(stages.postprocess(X.cleaned_rows(spark, sf_dir)).verification)
 
 
+@query
+def p4_any_cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cleaned table without quantities, rates and order columns."""
+    few = X.cleaned_rows(spark, sf_dir).select("invoice_number", "description", "amount")
+    return verification(stages.postprocess(few).verification)
+
+
 @query
 def invoice_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to verification in one plan, without a store."""

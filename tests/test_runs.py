@@ -16,7 +16,7 @@ from billfold.streaming.ingest import ingest_stream, stream_documents
 TWO_COLUMNS = """Harbour Salt INVOICE
 BILL TO: SHIP TO:
 Jane Roe Jane Roe
-QUANTITY DESCRIPTION UNIT PRICE TOTAL
+Qty Description Price Amount
 Salt crystals 12.50 125.00
 10
 QX-00057
@@ -35,7 +35,7 @@ Total 149,00 €
 VAT 19 % 28,31 €
 This was generated by hand
 Period: 01.02.2024
-16.12.2021
+05.11.2033
 """
 
 
@@ -82,7 +82,53 @@ def test_too_large_files_are_reported(spark, folder, monkeypatch):
     monkeypatch.setattr(files, "MAX_FILE_BYTES", 5)
     docs = docs_of(spark, folder)
     good, failed = files.split_failures(docs)
-    assert good.count() == 0 and failed.count() == 5
+    errors = [r.error for r in failed.collect()]  # the blank file and the scan are small enough
+    assert good.count() == 0 and sorted(errors) == ["File too large to be read"] * 3 + ["No text extracted"] * 2
+
+
+def test_unread_pages_are_failures_and_none_is_lost(spark, tmp_path):
+    docs, pages = scanned(spark)
+    docs = docs.withColumn("file_hash", F.when(F.col("ext") != ".pdf", F.col("file_hash")))
+    n_pdf, n_other = (docs.where(c).count() for c in ("ext = '.pdf'", "ext <> '.pdf'"))
+    store = BillingStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        stages.ingest(store, docs, pages, RunOptions(run_ts="t"))
+    failures = store.read("failures").where("error = 'File too large to be read'")
+    assert n_pdf >= 3 and failures.count() == n_pdf
+    assert store.read("invoices").where("file_hash is null").count() == 0
+    assert store.read("invoices").count() + store.read("failures").count() >= n_pdf + n_other
+
+
+def test_text_dump_keeps_earlier_batches(spark, folder, tmp_path):
+    store = BillingStore(spark, str(tmp_path / "store"))
+    docs, debug = docs_of(spark, folder), str(tmp_path / "debug")
+    for batch, name in (("a", "two.txt"), ("b", "german.TXT"), ("b", "german.TXT")):
+        stages.ingest(store, docs.where(F.col("file_name") == name), options=RunOptions(batch=batch, debug_path=debug))
+    assert sorted(r.file_stem for r in spark.read.parquet(debug).collect()) == ["german", "two"]
+
+
+def test_failures_are_listed_once(spark, folder, tmp_path):
+    store = BillingStore(spark, str(tmp_path / "store"))
+    for _ in range(3):
+        stages.ingest(store, docs_of(spark, folder))
+    failed = [tuple(r) for r in store.read("failures").collect()]
+    assert len(failed) == len(set(failed)) == 2
+
+
+def test_bytes_are_read_once(spark, folder, tmp_path):
+    store = BillingStore(spark, str(tmp_path / "store"))
+    staged = store.stage(docs_of(spark, folder))
+    plan = stages.skip_seen(staged, spark.createDataFrame([("x",)], "file_hash string"))._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "content" not in plan
+
+
+def test_exports_are_sorted(spark, tmp_path):
+    df = spark.createDataFrame([(f"N{i % 7}", f"f{i % 3}", i) for i in range(50)], "invoice_number string, file_name string, row_number int")
+    export_tables({"t": df.repartition(5)}, str(tmp_path), "json")
+    parts = sorted((tmp_path / "t").glob("*.json"))
+    rows = [json.loads(line) for p in parts for line in p.read_text(encoding="utf-8").splitlines()]
+    keys = [(r["invoice_number"], r["file_name"], r["row_number"]) for r in rows]
+    assert len(keys) == 50 and keys == sorted(keys)
 
 
 def test_decode_keeps_a_byte_order_mark(spark):
@@ -112,7 +158,7 @@ def test_extract_golden(spark, folder):
     # "generated" hides the header word "rate"
     assert rows["german.TXT"] == [
         "Base Charge 140,00 EUR 1 140,00 EUR", "Call Charge 0,60 EUR 15 9,00 EUR", "VAT 19 % 28,31 EUR",
-        "Period: 01.02.2024", "16.12.2021",
+        "Period: 01.02.2024", "05.11.2033",
     ]
 
 
@@ -142,7 +188,7 @@ def test_verification_of_a_run(spark, folder, tmp_path):
     two, german = ver["INV_two"], ver["customer_no_date"]
     assert (two.items_sum, two.parsed_tax, two.parsed_total) == (125.0 + 10 + 57, 12.5, 204.5)
     assert not two.mismatch_flag and two.items_sum == two.parsed_subtotal
-    assert (german.items_sum, german.parsed_tax) == (140 + 9 + 2.2024 + 2021, None)
+    assert (german.items_sum, german.parsed_tax) == (140 + 9 + 2.2024 + 2033, None)
     assert out["cleaned"].where(F.lower("description").contains("due")).count() == 0
     assert out["items"].count() + out["totals"].count() == out["cleaned"].count()
 
@@ -190,9 +236,10 @@ def test_exports(spark, folder, tmp_path):
         for line in part.read_text(encoding="utf-8").splitlines()
     ]
     assert {o["invoice_number"] for o in objects} == {"INV_two", "INV_copy", "customer_no_date"}
-    assert all(set(o) == {"invoice_number", "part", "items", "totals", "verification"} for o in objects)
-    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "debug").glob("file_stem=two/*.txt"))
-    assert text.rstrip("\n") == TWO_COLUMNS.rstrip("\n")
+    assert all(set(o) == {"invoice_number", "file_name", "items", "totals", "verification"} for o in objects)
+    dumped = {r.file_stem: r.text for r in spark.read.parquet(str(tmp_path / "debug")).collect()}
+    assert dumped["two"] == TWO_COLUMNS and "blank" not in dumped
+    assert not any((tmp_path / "store" / "staging").iterdir())
     export_tables({"rows": out["rows"]}, str(tmp_path / "csv"), "csv")
     back = spark.read.csv(str(tmp_path / "csv" / "rows"), header=True)
     assert back.count() == out["rows"].count()
@@ -311,6 +358,9 @@ def test_scratch_folder_follows_the_session(spark):
         conf = Conf
 
     assert scratch_folder(Session).startswith("/shared/billfold-")
+    Conf.get = staticmethod(lambda key, default: default)
+    with pytest.raises(ValueError):
+        scratch_folder(Session)
     assert scratch_folder(spark) != scratch_folder(spark)
 
 
