@@ -50,7 +50,7 @@ items AS (
                     FROM lineitem))))
 """
 
-INVOICES = ITEMS + """, texts AS (
+INVOICES = ITEMS + """, texts AS MATERIALIZED (
   SELECT o_orderkey, 'order_' || o_orderkey AS doc_id,
     'Invoice No: INV-' || o_orderkey || chr(10) || 'From: Supplier ' || coalesce(s, 0) || chr(10)
     || 'To: ' || c_name || chr(10) || 'Description | Qty | Rate | Amount' || chr(10)
@@ -449,8 +449,12 @@ SELECT doc_id || '.txt' AS file_name, '/in/' || doc_id || '.txt' AS file_path, '
 FROM texts LEFT JOIN counts USING (o_orderkey)"""
 O["f8_document_records"] = f"""WITH {FILES}, {table_rows('documents', 'doc_id')},
 counts AS (SELECT doc_id AS doc_no, count(*) AS n FROM table_rows GROUP BY 1)
-SELECT file_name, {invoice_number('text', 'file_stem')} AS invoice_number, coalesce(n, 0) AS table_data_count,
-       substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview
+SELECT file_name, file_path, '2024-01-01 00:00:00' AS extraction_date,
+       {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from, {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to,
+       {address('text')} AS address, {invoice_number('text', 'file_stem')} AS invoice_number,
+       {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson, coalesce(n, 0) AS table_data_count,
+       substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview, sha256(text) AS file_hash,
+       NULL::DOUBLE AS avg_confidence, FALSE AS low_confidence_flag
 FROM files LEFT JOIN counts USING (doc_no) WHERE {_SOLID}"""
 
 O["a1_lines_from_words"] = f"""WITH {KEPT_WORDS}
@@ -532,7 +536,7 @@ counts AS (SELECT doc_id AS page_id, count(*) AS n FROM table_rows GROUP BY 1)
 SELECT stem || '.txt' AS file_name, {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from,
        {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to, {address('text')} AS address,
        {invoice_number('text', 'stem')} AS invoice_number, {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson,
-       coalesce(n, 0) AS table_data_count
+       coalesce(n, 0) AS table_data_count, substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview
 FROM page_texts LEFT JOIN counts USING (page_id)"""
 O["t5_clean_invoice_number"] = f"""WITH {LINES}
 SELECT doc_id, line_no, {clean_number('labelled')} AS invoice_number
@@ -617,11 +621,11 @@ run_totals AS (
 O["invoice_verification"] = O["p1_run_stages"]
 
 # Scanned orders: of every eight 0-2 have page tables, 3-4 cells, 5-6 words only, 7 is an image.
-_SCANNED = INVOICES + f""", scan_words AS (
+_SCANNED = INVOICES + f""", scan_words AS MATERIALIZED (
   SELECT o_orderkey, line_num, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i
   FROM (SELECT o_orderkey, ls, generate_subscripts(ls, 1) - 1 AS line_num, string_split(unnest(ls), ' ') AS ws
         FROM (SELECT o_orderkey, string_split(text, chr(10)) AS ls FROM texts))),
-big_cells AS (
+big_cells AS MATERIALIZED (
   SELECT l_orderkey AS o, l_linenumber, k * 100 AS x, l_linenumber * 40 + l_partkey % 5 AS y,
          18 + (cents + k) % 7 AS h, k * 3 - 1 AS conf,
          CASE k WHEN 0 THEN 'Part P' || l_partkey
@@ -630,7 +634,7 @@ big_cells AS (
   FROM items, (SELECT unnest([0, 1, 2, 3]) AS k)
   WHERE l_orderkey % 8 IN (3, 4) AND 50 * (18 + (cents + k) % 7) > {K.MIN_CELL_AREA}),
 cell_docs AS (SELECT DISTINCT o FROM big_cells),
-by_table AS (
+by_table AS MATERIALIZED (
   SELECT l_orderkey AS o,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, qty, cents) AS row_number,
          CASE WHEN l_partkey % 11 <> 0 THEN 'Part P' || l_partkey || ' | ' ELSE '' END
@@ -657,14 +661,17 @@ word_conf AS (
   FROM (SELECT o_orderkey, ((o_orderkey + i * 7) % 101 - 1)::DOUBLE AS c FROM scan_words) GROUP BY 1),
 cell_conf AS (SELECT o, avg(conf::DOUBLE) AS conf FROM big_cells GROUP BY o),
 counts AS (SELECT o, count(*) AS n FROM scanned_rows GROUP BY o),
-measured AS (
-  SELECT o_orderkey AS o, text, n,
+measured AS MATERIALIZED (
+  SELECT o_orderkey AS o, n, 'order_' || o_orderkey AS stem,
+         repeat(chr(10) || text, CASE WHEN o_orderkey % 8 IN (0, 1, 3, 5) AND o_orderkey NOT IN (SELECT o FROM by_table)
+                                      THEN 2 ELSE 1 END) AS text,
          CASE WHEN o_orderkey IN (SELECT o FROM by_table) THEN NULL ELSE coalesce(cc.conf, wc.conf) END AS conf
   FROM texts LEFT JOIN counts ON counts.o = o_orderkey
   LEFT JOIN cell_conf cc ON cc.o = o_orderkey LEFT JOIN word_conf wc ON wc.o = o_orderkey)
-SELECT 'order_' || o || CASE WHEN o % 8 = 7 THEN '.png' ELSE '.pdf' END AS file_name, o::VARCHAR AS invoice_number,
-       n AS table_data_count,
-       least({K.PREVIEW_LENGTH}, (length(text) + 1)
-             * CASE WHEN o % 8 IN (0, 1, 3, 5) AND o NOT IN (SELECT o FROM by_table) THEN 2 ELSE 1 END) AS n_preview,
+SELECT stem || CASE WHEN o % 8 = 7 THEN '.png' ELSE '.pdf' END AS file_name, '/in/' || stem AS file_path,
+       '2024-01-01 00:00:00' AS extraction_date, {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from,
+       {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to, {address('text')} AS address,
+       {invoice_number('text', 'stem')} AS invoice_number, {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson,
+       n AS table_data_count, substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview, sha256(o::VARCHAR) AS file_hash,
        round(conf, 6) AS avg_confidence, coalesce(conf < 20, FALSE) AS low_confidence_flag
 FROM measured"""

@@ -300,9 +300,7 @@ def f8_invoice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def f8_document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field extraction on free text of four languages."""
-    return _records(X.document_files(spark, sf_dir).drop("doc_no", "file_hash")).select(
-        "file_name", "invoice_number", "table_data_count", "raw_text_preview"
-    )
+    return _records(X.document_files(spark, sf_dir).drop("doc_no", "file_hash"))
 
 
 # --- aggregations ------------------------------------------------------------------------
@@ -512,7 +510,8 @@ def f8_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("text"),
     )
     return _records(pages).select(
-        "file_name", "invoice_from", "invoice_to", "address", "invoice_number", "salesperson", "table_data_count"
+        "file_name", "invoice_from", "invoice_to", "address", "invoice_number", "salesperson", "table_data_count",
+        "raw_text_preview",
     )
 
 
@@ -686,7 +685,7 @@ def _extract_scans(spark: SparkSession, sf_dir: str) -> stages.Extracted:
     """Extraction of scanned orders, intermediate tables written to a scratch store."""
     store = BillingStore(spark, scratch_folder(spark))
     docs, pages = _page_inputs(spark, sf_dir, store)
-    return stages.extract(docs, pages, min_confidence=20.0, stage=store.stage)
+    return stages.extract(docs, pages, min_confidence=20.0, run_ts="2024-01-01 00:00:00", stage=store.stage)
 
 
 def _page_inputs(
@@ -744,10 +743,7 @@ def p2_extract_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_extract_page_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _extract_scans(spark, sf_dir)
-    return found.invoices.select(
-        "file_name", "invoice_number", "table_data_count", F.length("raw_text_preview").alias("n_preview"),
-        rounded("avg_confidence", 6), "low_confidence_flag",
-    )
+    return found.invoices.withColumn("avg_confidence", rounded("avg_confidence", 6))
 
 
 @query
