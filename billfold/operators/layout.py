@@ -127,7 +127,8 @@ def lines_from_centres(words: DataFrame, threshold: float = K.LINE_CENTRE_TOLERA
     counted = kept.groupBy(*page, "y").agg(F.count("*").alias("n"))
     starts = _line_starts(counted, page, "y", float(threshold), _settle_mean)
     return (
-        kept.join(starts, [*page, "y"], "inner")
+        # the starts grow with the pages, while their estimated size does not show it
+        kept.join(starts.hint("merge"), [*page, "y"], "inner")
         .groupBy(*page, "line_start")
         .agg(_joined_by_left().alias("raw_text"))
     )
@@ -156,7 +157,7 @@ def rows_from_cells(cells: DataFrame, y_tol: int = K.CELL_ROW_TOLERANCE) -> Data
     placed = F.array_sort(F.collect_list(F.struct("x", "y", "w", "h", "text")))
     cols = F.transform(placed, lambda c: F.coalesce(c["text"], F.lit("")))
     return (
-        cells.join(starts, [*page, "y"], "inner")
+        cells.join(starts.hint("merge"), [*page, "y"], "inner")
         .groupBy(*page, "line_start")
         .agg(cols.alias("cols"))
         .select(

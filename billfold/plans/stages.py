@@ -80,22 +80,19 @@ def _reads_layout(words: DataFrame) -> bool:
     return set(layout.LAYOUT_KEYS) <= set(words.columns)
 
 
-def page_rows(
-    words: DataFrame, cells: DataFrame, stage: Callable[[DataFrame], DataFrame] = _as_is
-) -> DataFrame:
+def page_rows(words: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows found on each page image: grid rows where there are cells, else text lines.
 
-    Out: doc_id, page_num, row_number, raw_text, cols (null for lines). The numbering
-    reads its rows twice, so they are staged first.
+    Out: doc_id, page_num, row_number, raw_text, cols (null for lines).
     """
     kept = layout.keep_cells(cells)
     columns = (*_PAGE, "row_number", "raw_text", "cols")
-    grid = layout.number_lines_by_position(stage(layout.rows_from_cells(kept)))
+    grid = layout.number_lines_by_position(layout.rows_from_cells(kept))
     plain = words.join(kept.select(*_PAGE).distinct(), _PAGE, "left_anti")
     if _reads_layout(words):
-        lines = layout.number_lines(stage(layout.lines_from_words(plain)))
+        lines = layout.number_lines(layout.lines_from_words(plain))
     else:
-        lines = layout.number_lines_by_position(stage(layout.lines_from_centres(plain)))
+        lines = layout.number_lines_by_position(layout.lines_from_centres(plain))
     lines = lines.withColumn("cols", F.lit(None).cast("array<string>"))
     return grid.select(*columns).unionByName(lines.select(*columns))
 
@@ -147,9 +144,7 @@ def _extract_pages(
     cells = pages.cells.join(read, "doc_id", "left_semi")
     first = stage(first_pages(words, cells))
     of_pages = stage(
-        page_rows(
-            pages.words.join(first, _PAGE, "left_semi"), pages.cells.join(first, _PAGE, "left_semi"), stage
-        )
+        page_rows(pages.words.join(first, _PAGE, "left_semi"), pages.cells.join(first, _PAGE, "left_semi"))
     )
     reached = of_pages.select("doc_id", F.col("page_num").alias("__last")).distinct()
 
