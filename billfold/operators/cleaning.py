@@ -28,15 +28,16 @@ def description_of(raw: Column) -> Column:
     return F.substring_index(strip(raw), "\n", 1)
 
 
-def clean_rows(rows: DataFrame) -> DataFrame:
-    """invoice_number, description, qty, rate, amount and the order columns."""
+def clean_rows(rows: DataFrame, *carried: str) -> DataFrame:
+    """invoice_number, description, qty, rate, amount, the order columns and the carried ones."""
     kept = drop_summary_rows(drop_blank_rows(rows))
     return kept.select(
         "invoice_number",
         description_of(F.col("raw_text")).alias("description"),
         N.qty_rate_amount(F.col("raw_text")).alias("__v"),
         *ORDER,
-    ).select("invoice_number", "description", "__v.qty", "__v.rate", "__v.amount", *ORDER)
+        *carried,
+    ).select("invoice_number", "description", "__v.qty", "__v.rate", "__v.amount", *ORDER, *carried)
 
 
 def _number(column: str, df: DataFrame, text_form, number_form) -> Column:
@@ -50,7 +51,7 @@ def _not_nan(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
-def with_amounts(cleaned: DataFrame) -> DataFrame:
+def with_amounts(cleaned: DataFrame, *carried: str) -> DataFrame:
     """Adds ``kind`` (item or the type of summary row) and the normalised numbers."""
     description = F.col("description")
     amount = _number("amount", cleaned, N.normalize_amount, _not_nan)
@@ -64,6 +65,7 @@ def with_amounts(cleaned: DataFrame) -> DataFrame:
         _number("rate", cleaned, N.normalize_amount, _not_nan).alias("rate"),
         F.coalesce(amount, N.last_number(description)).alias("amount"),
         *ORDER,
+        *carried,
     )
 
 
@@ -71,17 +73,19 @@ def _items(valued: DataFrame) -> DataFrame:
     return valued.where(F.col("kind") == "item").drop("kind")
 
 
-def _totals(valued: DataFrame) -> DataFrame:
+def _totals(valued: DataFrame, *carried: str) -> DataFrame:
     return valued.where(F.col("kind") != "item").select(
         "invoice_number",
         F.col("kind").alias("type"),
         F.col("description").alias("raw"),
         F.col("amount").alias("parsed_amount"),
         *ORDER,
+        *carried,
     )
 
 
-def split_summary(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_summary(cleaned: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
     """(items, totals) of a cleaned table."""
     summary = N.is_summary_description(F.col("description"))
-    return _items(with_amounts(cleaned.where(~summary))), _totals(with_amounts(cleaned.where(summary)))
+    items, totals = (with_amounts(cleaned.where(c), *carried) for c in (~summary, summary))
+    return _items(items), _totals(totals, *carried)

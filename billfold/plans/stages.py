@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import NamedTuple
 
@@ -260,34 +260,67 @@ def run_stages(
     Every stage reads what the one before has written, so a lost executor costs one
     task, a failed stage stops the rest, and a skipped stage uses the stored table.
     Rows go in before invoices: the invoice is what marks a file as done, so a run that
-    breaks between the two does the file again.
+    breaks between the two does the file again. Cleaning and splitting take the batches that
+    are not cleaned or split yet, and the one just ingested; reconciliation takes the invoices that these
+    batches touch.
     """
     o = options or RunOptions()
     out: dict[str, DataFrame] = {}
+    added: set[str] = set()
     if not o.skip_extract:
         if docs is None:
             raise ValueError("extraction needs documents")
+        o = replace(o, batch=o.batch or uuid.uuid4().hex)
         ingest(store, docs, pages, o)
+        added.add(o.batch)
         out.update({n: store.read(n) for n in ("invoices", "rows", "failures")})
         if o.export_path:
             export_tables({n: out[n] for n in ("invoices", "rows")}, o.export_path, o.export_format)
     if not o.skip_clean:
-        store.ensure("rows")
-        store.replace("cleaned", clean(store.read("rows")))
+        store.ensure("rows", "cleaned")
+        if new := _pending(store, "rows", "cleaned", added):
+            store.write_batches("cleaned", clean_rows(store.read_batches("rows", new), "batch"))
+            added |= new
         out["cleaned"] = store.read("cleaned")
     if not o.skip_post:
-        store.ensure("cleaned")
-        items, totals = split_summary(store.read("cleaned"))
-        store.replace("items", items)
-        store.replace("totals", totals)
+        store.ensure("cleaned", "items", "totals", "verification")
+        if new := _pending(store, "cleaned", "reconciled", added):
+            items, totals = split_summary(store.read_batches("cleaned", new), "batch")
+            store.write_batches("items", items)
+            store.write_batches("totals", totals)
+            _reconcile_touched(store, new)
         out["items"], out["totals"] = store.read("items"), store.read("totals")
-        store.replace("verification", reconcile(out["items"], out["totals"]))
         out["verification"] = store.read("verification")
         if o.json_path:
             export_json(out["items"], out["totals"], out["verification"], o.json_path)
     return out
 
 
+def _pending(store: BillingStore, source: str, target: str, added: set[str]) -> set[str]:
+    """Batches of the source that the target lacks, or that this run has written."""
+    there = store.batches(source)
+    return (there - store.batches(target)) | (there & added)
+
+
+def _reconcile_touched(store: BillingStore, batches: set[str]) -> None:
+    """Verification rows anew for the invoices of these batches; the others stay as they are.
+
+    The batches are marked as done last: a run that breaks before takes them again.
+    """
+    touched = store.stage(
+        store.read_batches("items", batches)
+        .select("invoice_number")
+        .unionByName(store.read_batches("totals", batches).select("invoice_number"))
+        .where(F.col("invoice_number").isNotNull())
+        .distinct()
+    )
+    items, totals = (store.read(n).join(touched, "invoice_number", "left_semi") for n in ("items", "totals"))
+    others = store.read("verification").join(touched, "invoice_number", "left_anti")
+    store.replace("verification", others.unionByName(reconcile(items, totals)))
+    store.write_batches("reconciled", store.spark.createDataFrame([(True, b) for b in sorted(batches)], "done boolean, batch string"))
+    store.drop_staged()
+
+
 def ingest(
     store: BillingStore, docs: DataFrame, pages: PageInputs | None = None, options: RunOptions | None = None
 ) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,10 @@ TABLES = {
     "file_name string, row_number int",
     "verification": "invoice_number string, items_sum double, parsed_subtotal double, parsed_tax double, "
     "parsed_total double, difference_items_vs_subtotal double, mismatch_flag boolean",
+    "reconciled": "done boolean",  # which batches are split and in the verification
 }
 _FIRST_BATCH = "none"
+_VERSION = "version-"
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -65,12 +67,45 @@ class BillingStore:
             empty.write.mode("ignore").parquet(self.path(name, _FIRST_BATCH))
 
     def read(self, name: str, without_batch: str | None = None) -> DataFrame:
-        """A table; columns that older files lack are null. Leaves out one batch if named."""
-        df = self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(self.path(name))
+        """A table, the newest version of a replaced one; columns that older files lack are null.
+
+        Leaves out one batch if named.
+        """
+        df = self._with_batch(name)
+        if versions := self._versions(name):
+            df = df.where(F.col("batch") == versions[-1])
         if without_batch is not None:
             df = df.where(F.col("batch") != without_batch)
         return df.drop("batch")
 
+    def _with_batch(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(self.path(name))
+
+    def _paths(self, pattern: str) -> list:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return [f.getPath() for f in found or ()]
+
+    def batches(self, name: str) -> set[str]:
+        """The batches of a table, from its folders' names; none if there is no table."""
+        return {p.getName().removeprefix("batch=") for p in self._paths(f"{self.path(name)}/batch=*")} - {_FIRST_BATCH}
+
+    def _versions(self, name: str) -> list[str]:
+        """The versions of a replaced table that were written to their end, oldest first."""
+        done = self._paths(f"{self.path(name)}/batch={_VERSION}*/_SUCCESS")
+        return sorted(p.getParent().getName().removeprefix("batch=") for p in done)
+
+    def read_batches(self, name: str, batches: Iterable[str]) -> DataFrame:
+        """Some batches of a table, with the column ``batch``; only their folders are read."""
+        return self._with_batch(name).where(F.col("batch").isin(*batches))
+
+    def write_batches(self, name: str, df: DataFrame) -> None:
+        """Replaces those batches of a table that ``df``, with a column ``batch``, has rows of."""
+        columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
+        typed = evolve_schema(df, TABLES[name]).select(*columns, "batch")
+        writer = typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch").parquet(self.path(name))
+
     def write(self, name: str, df: DataFrame, batch: str) -> None:
         """Replaces one batch of a table."""
         columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
@@ -78,8 +113,17 @@ class BillingStore:
         typed.write.mode("overwrite").parquet(self.path(name, batch))
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Replaces a whole table; an empty frame leaves an empty, typed table."""
-        self.write(name, df, "all")
+        """Replaces a whole table; an empty frame leaves an empty, typed table.
+
+        The rows go into a folder of their own, which counts once it is complete; until then,
+        and if the job dies, readers get the version before. That one stays for those who
+        have begun to read it, older ones are deleted.
+        """
+        there = self._versions(name)
+        number = int(there[-1].removeprefix(_VERSION)) + 1 if there else 0
+        self.write(name, df, f"{_VERSION}{number:012d}")
+        for old in there[:-1]:
+            self._delete(self.path(name, old))
 
     def add_ignore(self, name: str, df: DataFrame, batch: str) -> None:
         """Insert-or-ignore of one batch, keyed like the table; the first file path wins.
@@ -100,8 +144,11 @@ class BillingStore:
     def drop_staged(self) -> None:
         """Deletes what this object has staged; for the end of a run, when nothing reads it any more."""
         while self.staged:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.staged.pop())
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.staged.pop())
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def export_tables(tables: Mapping[str, DataFrame], path: str, file_format: str = "parquet") -> None:

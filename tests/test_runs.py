@@ -107,6 +107,36 @@ def test_text_dump_keeps_earlier_batches(spark, folder, tmp_path):
     assert sorted(r.file_stem for r in spark.read.parquet(debug).collect()) == ["german", "two"]
 
 
+def test_only_new_batches_are_cleaned_and_touched_invoices_reconciled(spark, folder, tmp_path, monkeypatch):
+    store, docs = BillingStore(spark, str(tmp_path / "store")), docs_of(spark, folder)
+    whole = BillingStore(spark, str(tmp_path / "whole"))
+    want = stages.run_stages(whole, docs, options=RunOptions(run_ts="t"))
+    seen = []
+    clean = stages.clean_rows
+    monkeypatch.setattr(stages, "clean_rows", lambda rows, *c: seen.append(sorted({r.batch for r in rows.collect()})) or clean(rows, *c))
+    for batch, name in (("a", "two.txt"), ("b", "german.TXT"), ("c", "copy.txt")):
+        out = stages.run_stages(store, docs.where(F.col("file_name") == name), options=RunOptions(batch=batch, run_ts="t", force=True))
+    assert seen == [["a"], ["b"], ["c"]]
+    for name in ("items", "totals", "verification"):
+        got = sorted(map(str, out[name].drop("file_name").collect()))
+        assert got == sorted(map(str, want[name].drop("file_name").collect()))
+    assert out["verification"].count() == out["verification"].select("invoice_number").distinct().count()
+
+
+def test_a_broken_replacement_leaves_the_version_before(spark, tmp_path):
+    store = BillingStore(spark, str(tmp_path / "store"))
+    store.ensure("reconciled")
+    one, two = (spark.createDataFrame([(v,)], "done boolean") for v in (True, False))
+    store.replace("reconciled", one)
+    broken = two.withColumn("done", F.raise_error("broken").cast("boolean"))
+    with pytest.raises(Exception, match="broken"):
+        store.replace("reconciled", broken)
+    assert store.read("reconciled").collect() == one.collect()
+    store.replace("reconciled", two)
+    store.replace("reconciled", two)
+    assert store.read("reconciled").collect() == two.collect() and len(store.batches("reconciled")) == 2
+
+
 def test_failures_are_listed_once(spark, folder, tmp_path):
     store = BillingStore(spark, str(tmp_path / "store"))
     for _ in range(3):
