@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
 from billfold.llm.tables import reach_package, stored, text_key
 
+SHINGLE = 5  # words of a shingle in the near-duplicate stage
+
 
 def _same(left: DataFrame, right: DataFrame):
     """Rows of ``left`` with the id and text of ``right``."""
@@ -24,10 +26,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest id; rows without words all stay.
 
+    Two are near-duplicates where they share 80 per cent of their runs of five words.
     Of rows alike in id the one of smallest digest over all columns stays.
     """
     reach_package(spark)
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE)
     grouped = found.where("n_shingles > 0").select("doc_id", "text_key", "component_id", "kept").distinct()
     stays = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
     gone = stored(
