@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import words as W
-from billfold.llm.tables import stored, text_key
+from billfold.llm.tables import dealt_join, stored, text_key
 
 MIN_WORDS = 50
 _KEY = ["doc_id", "text_key"]
@@ -55,12 +55,14 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are one document: each stands for both, and neither repeats the other.
 
     The earliest occurrence is a partial aggregate on the digest; a digest that a third of all
-    lines share sends one row per task. Only digests that occur twice are joined to the units.
+    lines share sends one row per task. Only digests that occur twice are joined to the units, and
+    the units of very frequent ones are dealt out for that.
     """
     found = stored(units(docs))
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "unit_no", "doc_id", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    later = found.join(first.drop("last"), "digest").where(rank != F.col("first"))
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n"))
+    first = stored(first.where("first <> last").drop("last"))
+    later = dealt_join(found, first.drop("n"), "digest", first, found.count()).where(rank != F.col("first"))
     later = later.dropDuplicates([*_KEY, "unit_no"])
     in_text = Window.partitionBy(*_KEY).orderBy("unit_no")
     run = F.col("unit_no") - F.row_number().over(in_text)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import billfold
 from billfold.sources.store import scratch_folder
 
+HOT = 1_000  # a key with more than one in so many rows is hot; there are fewer such keys than this
 
 def reach_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, if nothing else says where it is."""
@@ -32,16 +33,33 @@ def text_key(text: str | Column) -> Column:
     return F.coalesce(F.xxhash64(F.col(text) if isinstance(text, str) else text), F.lit(0))
 
 
+def dealt_join(rows: DataFrame, one: DataFrame, key: str, counted: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined to ``one``, which has a row for each ``key``; the rows of hot keys are dealt out.
+
+    ``counted`` has ``key`` and ``n``, the rows of that key, ``total`` is the number of all rows (or
+    more). A key with more than a thousandth of the rows is cut into as many parts as it has
+    thousandths, and its row of ``one`` is repeated for each: fewer than ``HOT`` keys are broadcast
+    and fewer than twice as many rows are added, whatever the data are. Rows of a null key go.
+    """
+    share = F.col("n") * HOT / F.lit(max(total, 1))
+    hot = counted.where((F.col("n") > 1) & (share > 1)).select(key, F.least(F.ceil(share), "n").cast("int").alias("__parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), "__parts").cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    each = one.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(parts)).drop("__parts")
+    return dealt.join(each, [key, "__part"]).drop("__part")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of the links; the component is its smallest node.
 
-    Large-star and small-star steps in turn, each a partial aggregate and an equi join, until
-    nothing changes: about as many rounds as the logarithm of the largest component. Every
-    round is a stored table, no node or link comes to the driver.
+    Large-star and small-star steps in turn, each a partial aggregate and an equi join that deals
+    out the links of hot nodes, until nothing changes: about as many rounds as the logarithm of the
+    largest component. Every round is a stored table, no node or link comes to the driver.
     """
 
     def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+        return stored(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
 
     def signature(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -50,11 +68,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = signature(pairs)
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = smallest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u > v").distinct())
+        low = smallest(both)
+        large = dealt_join(both.where("v > u"), low.select("u", F.least("u", "m").alias("m")), "u", low, 2 * before[0])
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = smallest(large)
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = dealt_join(large, low.select("u", "m"), "u", low, large.count()).where("v > m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = signature(pairs)
         if after == before:
