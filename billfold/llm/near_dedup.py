@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import words as W
-from billfold.llm.tables import components, stored, text_key
+from billfold.llm.tables import components, dealt_join, stored, text_key
 
 SHINGLE = 4
 PERCENT = 80
 BANDS = 48
 FUNCTIONS_PER_BAND = 3  # six signature values a band
+FIRST_NEIGHBOURS, NEIGHBOURS = 2, 4  # nodes before it in a bucket that a node is tested with in the first round and in others
+SPAN = 4096  # nodes, on the average, of a part that a larger bucket is cut into anew in each round
+IDLE_ROUNDS = 2  # in a row that found no link, after which the search ends
 
 
 def distinct_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +76,7 @@ def features(docs: DataFrame, shingle: int, bands: int, functions: int) -> DataF
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` whose whole shingle sets are alike enough."""
+    """Those of the stored ``pairs(a, b)`` whose whole shingle sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.sliced(batches, "text_a"):
@@ -88,7 +91,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    counted = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = dealt_join(pairs, left, "a", counted, pairs.count()).join(right, "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -107,60 +112,71 @@ def near_duplicates(
     are told apart by their texts; a null id is never a component_id unless it stands alone, and such rows
     are not kept by this column. Other columns of ``docs`` are not looked at.
 
-    Equal sets are one node. A bucket (the nodes with one band key) proposes, in each round,
-    pairs of neighbours and pairs with the bucket's first node, in an order new in each round,
-    where the two are not yet known to be connected: rows in proportion to the bucket's nodes,
-    never all its pairs. Rounds end when one has found no link. A pair of similarity 0.8 meets
-    in no bucket with a probability of 5 in 10 million at 48 bands of six values.
+    Equal sets are one node. The first nodes of the buckets (the nodes with one band key) are
+    tested with the others. Then each round proposes, in an order new in each round, each node with
+    a few before it in its bucket, where the two are not yet known to be connected: two in the
+    first round, which leaves few components, then ``NEIGHBOURS``, so that buckets of up to one more are tested whole, larger ones in parts of about ``SPAN`` nodes, with rows in
+    proportion to their nodes, never all pairs. Rounds end when nothing untested is
+    proposed, or when ``IDLE_ROUNDS`` in a row found no link. A pair of similarity 0.8 meets in no
+    bucket with a probability of 5 in 10 million at 48 bands of six values.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key("text").alias("text_key"))
     rows = stored(features(docs, shingle, bands, functions))
     full = rows.where("n_shingles > 0")
-    nodes = full.groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "text_key")).alias("row")
-    )
-    members = nodes.select("node", "row", F.explode("keys").alias("key"))
-    near = Window.partitionBy("key").orderBy("node")
-    met = members.withColumn("lone", F.lag("node").over(near).isNull() & F.lead("node").over(near).isNull())
-    buckets = stored(met.where("not lone").drop("lone"))
-
-    wanted = buckets.groupBy("row").agg(F.first("node").alias("node"))
+    nodes = stored(
+        full.groupBy("node").agg(
+            F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"),
+            F.min(F.struct("doc_id", "text_key")).alias("row"), F.count("*").alias("n"),
+        )
+    )
+    members = nodes.select("node", F.explode("keys").alias("key"))
+    counted = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    counted = stored(counted.where("n > 1"))
+    buckets = stored(dealt_join(members, counted, "key", counted, bands * nodes.count()))
+
+    wanted = nodes.select("node", "row").join(buckets.select("node").distinct(), "node", "left_semi")
     key = (F.col("w.row.doc_id").eqNullSafe(F.col("d.doc_id"))) & (F.col("w.row.text_key") == F.col("d.text_key"))
     found = docs.alias("d").join(wanted.alias("w"), key).select("w.node", "d.text")
     texts = stored(found.groupBy("node").agg(F.first("text").alias("text")))
 
-    first = buckets.withColumn("first", F.first("node").over(near)).where("first < node")
-    ranked = first.groupBy("node", "first").agg(F.count("*").alias("n"))
+    ranked = buckets.where("first < node").groupBy("node", "first").agg(F.count("*").alias("n"))
     tested = ranked.groupBy("node").agg(F.max(F.struct("n", "first")).alias("top"))
     tested = stored(tested.select(F.col("top.first").alias("a"), F.col("node").alias("b")))
     links = stored(confirmed(tested, texts, shingle, percent))
     label = stored(components(links))
-    turn = 0
-    while True:
+    turn = idle = 0
+    while idle < IDLE_ROUNDS:
         turn += 1
         labelled = buckets.join(label, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component")
-        )
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        placed = labelled.select(
-            "node",
-            "component",
-            F.first(F.struct("node", "component")).over(order).alias("f"),
-            F.lag(F.struct("node", "component")).over(order).alias("l"),
-        )
-        near_pairs = placed.select("node", "component", F.explode(F.array("f", "l")).alias("o")).where("o.component <> component")
-        pairs = near_pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
+            "key", "node", F.coalesce("component", "node").alias("component"),
+            F.pmod(F.xxhash64("node", F.lit(-turn)), F.ceil(F.col("n") / SPAN)).alias("part"),
+        )
+        order = Window.partitionBy("key", "part").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        neighbours = FIRST_NEIGHBOURS if turn == 1 else NEIGHBOURS
+        before = F.array(*(F.lag(F.struct("node", "component"), k).over(order) for k in range(1, neighbours + 1)))
+        placed = labelled.select("node", "component", before.alias("before"))
+        others = F.filter("before", lambda o: o["component"] != F.col("component"))
+        near = placed.select("node", F.explode(others).alias("o"))
+        pairs = near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if turn == 1:
+                continue
+            break
+        tested = tested.unionByName(pairs)
         new = stored(confirmed(pairs, texts, shingle, percent))
         if new.isEmpty():
-            break
-        tested, links = tested.unionByName(pairs), links.unionByName(new)
+            idle += 1
+            continue
+        idle = 0
+        links = links.unionByName(new)
         label = stored(components(links))
-    lowest = label.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    grouped = label.join(lowest, "component").select("node", "lowest")
+    of_label = label.join(nodes.select("node", "first_id"), "node").groupBy("component")
+    lowest = stored(of_label.agg(F.min("first_id").alias("lowest"), F.count("*").alias("n")))
+    grouped = dealt_join(label, lowest.drop("n"), "component", lowest, label.count()).select("node", "lowest")
     whole = nodes.select("node", "first_id").join(grouped, "node", "left")
-    ids = whole.select("node", F.coalesce("lowest", "first_id").alias("lowest"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(ids, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+    ids = whole.select("node", F.coalesce("lowest", "first_id").alias("component_id"))
+    named = dealt_join(full.select("doc_id", "text_key", "n_shingles", "node"), ids, "node", nodes.select("node", "n"), rows.count())
+    columns = ("doc_id", "text_key", "n_shingles", "component_id")
+    out = named.select(*columns).unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*columns))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
