@@ -78,3 +78,17 @@ def test_components_by_a_plain_walk(spark, seed):
                 group[a] = group[b] = min(group[a], group[b])
     out = components(spark.createDataFrame(pairs, "a bigint, b bigint"))
     assert sorted(map(tuple, out.collect())) == sorted(group.items())
+
+
+@pytest.mark.parametrize("n", [14, 620])
+def test_all_pairs_of_one_bucket_are_decided(docs_of, n):
+    rng = random.Random(n)
+    base = [f"base{i}" for i in range(60)]
+    rows = []
+    for i in range(n):  # a family mostly apart: half of it is its own, lengths across several size classes
+        rows.append((i, " ".join(base[: rng.randrange(20, 60)] + [f"own{i}x{j}" for j in range(rng.randrange(20, 60))])))
+    for i in range(0, n, n // 7):
+        rows.append((5000 + i, rows[i][1] + " end"))
+    out = near_duplicates(docs_of(rows), bands=1, functions=0)  # one bucket
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out.collect()), key=key)
+    assert got == sorted(brute(rows), key=key) and sum(not r[3] for r in got) >= 7
