@@ -28,10 +28,14 @@ TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.25
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output picture "
-    "progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split()
+    "progress q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr "
+    "annotation math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup "
+    "msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes template svg".split())
+NESTED = frozenset("template svg".split())  # of these the closing tag that belongs to the opening one counts
+FOREIGN = frozenset("svg math mspace".split())  # closed by a slash in their opening tag
 IN_HEAD = frozenset("base link meta title script style noscript template".split())
 UNSEEN = frozenset("head select option datalist button audio video canvas map".split())
 LISTED = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -69,13 +73,30 @@ class Tree:
     runs: list[tuple[int, str, int]]  # node, text, words of it in links
 
 
+def nested_ends(page: str, tag: str) -> dict[int, int]:
+    """Where the element of each opening ``tag`` ends, by where it begins; those without a closing tag are absent."""
+    ends, stack = {}, []
+    for found in re.compile(rf"<!--.*?-->|<(/?){tag}\b[^>]*>", re.I | re.S).finditer(page):
+        if found[1]:
+            if stack:
+                ends[stack.pop()] = found.end()
+        elif found[1] is not None and not (tag in FOREIGN and found[0].endswith("/>")):
+            stack.append(found.start())
+    return ends
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page however broken: open paragraphs and list items end where the next begins."""
+    """The tree of a page however broken: open paragraphs and list items end where the next begins.
+
+    A raw element without its closing tag is only its tag, but an open script or style goes on to the end.
+    """
     tags, parents, beside, inside = ["#root"], [-1], [0], [0]
     runs: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag and its block's node
     links, unseen, linked = 0, 0, 0
     pending: list[str] = []
+    closed: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -135,9 +156,21 @@ def parse(page: str) -> Tree:
             else:
                 flush()
             continue
+        if tag in FOREIGN and found[3].endswith("/"):
+            continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            if tag in NESTED:
+                if tag not in closed:
+                    closed[tag] = nested_ends(page, tag)
+                at = closed[tag].get(found.start(), at)
+            elif tag not in unclosed:
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = end
+                else:
+                    unclosed.add(tag)
             continue
         if tag == "br":
             say(" ")

@@ -73,3 +73,19 @@ def test_no_text_below_what_is_none():
     for n in range(1, len(tree.tags)):
         assert kept[tree.parents[n]] or not kept[n]
     assert kept[at["a b"]] and kept[at["e f"]] and not kept[at["c d"]]
+
+
+def test_odd_raw_elements_do_not_swallow_the_text():
+    from billfold.llm.html_extraction import parse
+
+    def said(page):
+        return " ".join(text for _, text, _ in parse(page).runs).split()
+
+    for opening in ('<svg width="9"/>', "<math/>", "<object data='x'>", "<noscript>", "<iframe>", "<template>", "<svg>", "<textarea>"):
+        assert said(f"<article><p>one</p>{opening}<p>two</p></article><p>three") == ["one", "two", "three"], opening
+    for tag in ("template", "svg"):
+        assert said(f"<p>one<{tag}>a<{tag}>b</{tag}>c</{tag}><p>two") == ["one", "two"]
+    assert said("<p>one<object>a<object>b</object>c</object><p>two") == ["one", "a", "b", "c", "two"]
+    assert said("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == "where x=2 holds".split()
+    assert said("<p>one<noscript>two</noscript>") == ["one", "two"]
+    assert said("<p>one<script>if (a < b) {") == said("<p>one<style>p {") == ["one"]
