@@ -190,14 +190,25 @@ def near_duplicates(
     bands: int = BANDS,
     functions: int = FUNCTIONS_PER_BAND,
 ) -> DataFrame:
-    """``(doc_id, text_key, n_shingles, component_id, kept)``, a row for each row of ``docs(doc_id, text)``.
+    """``grouped`` without its ``component``: ``(doc_id, text_key, n_shingles, component_id, kept)``."""
+    return grouped(docs, shingle, percent, bands, functions).drop("component")
+
+
+def grouped(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    bands: int = BANDS,
+    functions: int = FUNCTIONS_PER_BAND,
+) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, component, component_id, kept)``, a row for each row of ``docs(doc_id, text)``.
 
     A set is the distinct runs of ``shingle`` words; of fewer words, all of them; without words
     or with a null text it is empty, and such a row is linked with nothing. Documents whose
     sets share ``percent`` of their union are linked; ``component_id`` is the smallest doc_id
     that can be reached, ``kept`` holds where that is the document itself. Rows with equal ids
     are told apart by their texts; a null id is never a component_id unless it stands alone, and such rows
-    are not kept by this column. Other columns of ``docs`` are not looked at.
+    are not kept by this column; ``component`` is the digest of one node of the group, null only for an empty set. Other columns of ``docs`` are not looked at.
 
     Equal sets are one node. Every pair of nodes that share a bucket (a band key) is decided, by
     a test on the whole sets or as both are already connected. Nodes are first tested with the node that
@@ -256,10 +267,10 @@ def near_duplicates(
     if not new.isEmpty():
         label = stored(components(links.unionByName(new)))
     lowest = label.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    grouped = label.join(lowest, "component").select("node", "lowest")
-    whole = nodes.select("node", "first_id").join(grouped, "node", "left")
-    ids = whole.select("node", F.coalesce("lowest", "first_id").alias("lowest"))
+    named = label.join(lowest, "component").select("node", "component", "lowest")
+    whole = nodes.select("node", "first_id").join(named, "node", "left")
+    ids = whole.select("node", F.coalesce("component", "node").alias("component"), F.coalesce("lowest", "first_id").alias("lowest"))
     out = rows.select("doc_id", "text_key", "n_shingles", "node").join(ids, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "text_key", "n_shingles", "component", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
@@ -24,20 +24,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id; rows without words all stay.
+    """One document of each group of near-duplicates: the smallest id, a null one last, then the smallest digest of the text; rows without words all stay.
 
     Two are near-duplicates where they share 80 per cent of their runs of five words.
     Of rows alike in id the one of smallest digest over all columns stays.
     """
     reach_package(spark)
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE)
-    grouped = found.where("n_shingles > 0").select("doc_id", "text_key", "component_id", "kept").distinct()
-    stays = Window.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
-    gone = stored(
-        grouped.where("not kept or component_id is null").select("doc_id", "text_key").unionByName(
-            grouped.where("kept").withColumn("n", F.row_number().over(stays)).where("n > 1").select("doc_id", "text_key")
-        )
-    )
+    found = near_dedup.grouped(docs.select("doc_id", "text"), shingle=SHINGLE)
+    members = found.where("n_shingles > 0").select("doc_id", "text_key", "component").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    stays = members.groupBy("component").agg(F.min(rank).alias("stays"))
+    gone = stored(members.join(stays, "component").where(~rank.eqNullSafe(F.col("stays"))).select("doc_id", "text_key").distinct())
     rest = docs.join(gone, _same(docs, gone), "left_anti")
     repeated = (
         found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")

@@ -45,3 +45,12 @@ def test_no_documents(spark, docs_of, tmp_path):
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_documents_without_an_id_are_not_lost(spark, docs_of):
+    alone, twice, other = prose(301, 70, 5000), prose(302, 70, 5000), prose(303, 70, 5000)
+    rows = [(None, alone), (None, twice), (None, twice + " x"), (None, other), (1, other), (2, prose(304, 70, 5000)), (2, prose(305, 70, 5000))]
+    left = P.one_of_each(spark, docs_of(rows), "").collect()
+    assert Counter(r.doc_id for r in left) == Counter({None: 2, 1: 1, 2: 2})
+    texts = {r.text for r in left if r.doc_id is None}
+    assert alone in texts and len(texts & {twice, twice + " x"}) == 1
