@@ -2,8 +2,11 @@
 
 A text is the TF-IDF vector of its byte n-grams (one to three bytes, A-Z as a-z, ASCII beside letters as
 blank), hashed to ``DIMS`` places, logarithmic in the counts and of length one. Spherical
-k-means gives each language a few centroids; the nearest by cosine decides, and a text that is
-further from it than ``REACH`` times the farthest of the centroid's own texts is rejected.
+k-means gives each language a few centroids; the nearest by cosine decides. A quarter of the sample is
+held out of the clustering: what cosines its texts, and pieces of them of any shorter length, have to
+their nearest centroid gives the centroid's cut-off at that length, below which a text is rejected.
+Under ``SHORTEST`` bytes, and for a language of fewer than four texts, too little is known and the
+cut-off is ``REACH`` times the smallest cosine of the centroid's own texts.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from billfold.llm.tables import stored, text_key
 DIMS = 4096
 PER_LANGUAGE = 500  # labelled texts a language is fitted on at most, those of smallest hash
 CENTROIDS = 4
+HELD_OUT = 4  # one in so many texts of the sample sets the cut-offs
+LOW, SLACK = 0.02, 0.7  # the cut-off: this quantile of the held-out cosines, times this
+CLASSES, SHORTEST = 12, 8  # lengths in bytes by powers of two, those from 2,048 as one
+LEAST_HELD = 20  # pieces a centroid needs for a cut-off of its own, else its language's
 REACH = 0.1  # of the smallest cosine among a centroid's own texts
 UNKNOWN = "und"
 LISTED = 10_000  # languages whose shares are broadcast at most
@@ -39,7 +46,7 @@ class Model:
     idf: np.ndarray
     labels: list[str]  # of each centroid
     centroids: np.ndarray
-    least: np.ndarray  # cosine below which a text is rejected
+    least: np.ndarray  # cosine below which a text is rejected, of each centroid and class of length
 
 
 def counts(texts: pa.Array) -> np.ndarray:
@@ -69,11 +76,58 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return W.row_groups(texts, 1 << 20, 512)
 
 
+def length_class(size: np.ndarray) -> np.ndarray:
+    return np.clip(np.frexp(np.maximum(size, 1))[1] - 1, 0, CLASSES - 1)
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The text, and from its middle one piece of each shorter length that has a cut-off."""
+    out, size = [text], SHORTEST
+    while size < min(len(text), 1 << CLASSES - 1):
+        begin = (len(text) - size) // 2
+        out.append(text[begin : begin + size])
+        size *= 2
+    return out
+
+
+def cut_offs(held: DataFrame, idf: np.ndarray, labels: list[str], centroids: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The cut-off of each centroid and class, from the held-out pieces ``held(lang, v, size)``.
+
+    A piece counts for the centroid that is nearest of all, and only if that is its label's.
+    """
+    out = np.repeat(least[:, None] * REACH, CLASSES, axis=1)
+    if not len(labels):
+        return out
+    lang_of = np.array(labels, object)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                near = vectors(np.stack([np.frombuffer(v.as_buffer(), np.uint32) for v in part["v"]]), idf) @ centroids.T
+                own = near.argmax(axis=1)
+                columns = [part["lang"], pa.array(own, pa.int32()), part["size"], pa.array(near.max(axis=1).astype(float))]
+                right = pa.array(lang_of[own] == part["lang"].to_numpy(zero_copy_only=False), pa.bool_())
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "size", "score"]).filter(right)
+
+    found = stored(held.select("lang", "v", "size").mapInArrow(nearest, "lang string, k int, size int, score double"))
+    measured = (F.count("*").alias("n"), F.percentile("score", F.lit(LOW)).alias("low"))
+    pooled = {(x.lang, x.size): x.low for x in found.groupBy("lang", "size").agg(*measured).collect()}
+    own = {(x.k, x.size): x.low for x in found.groupBy("k", "size").agg(*measured).collect() if x.n >= LEAST_HELD}
+    for k, lang in enumerate(labels):
+        for c in range(int(SHORTEST).bit_length() - 1, CLASSES):
+            low = own.get((k, c), pooled.get((lang, c)))
+            out[k, c] = out[k, c - 1] if low is None else SLACK * low
+    return out
+
+
 def clustered(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Centres of length one that have points of their own, and the smallest cosine between each and these."""
+    rng = np.random.default_rng(7)
     centres = points[:1]
-    while len(centres) < min(k, len(points)):
-        centres = np.vstack([centres, points[np.argmin((points @ centres.T).max(axis=1))]])
+    while len(centres) < min(k, len(points)):  # k-means++
+        far = np.maximum(1 - (points @ centres.T).max(axis=1).astype(float), 0) + 1e-9
+        centres = np.vstack([centres, points[np.searchsorted(np.cumsum(far), rng.random() * far.sum()).clip(0, len(points) - 1)]])
     for _ in range(_ROUNDS):
         own = (points @ centres.T).argmax(axis=1)
         sums = np.stack([points[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
@@ -102,12 +156,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, stop in groups(batch["text"]):
-                rows = counts(batch["text"].slice(begin, stop - begin)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["lang"].slice(begin, stop - begin), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "v"]
-                )
+                for lang, text, held in zip(*(batch[c].slice(begin, stop - begin).to_pylist() for c in ("lang", "text", "held")), strict=True):
+                    cut = pieces(text) if held else [text]
+                    rows = counts(pa.array(cut, pa.binary())).astype(np.uint32)
+                    size = length_class(np.array([len(c) for c in cut]))
+                    columns = (pa.array([lang] * len(cut), pa.string()), pa.array([r.tobytes() for r in rows], pa.binary()))
+                    more = (pa.array([held] * len(cut), pa.bool_()), pa.array(size, pa.int32()), pa.array(np.arange(len(cut)) == 0, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*columns, *more], ["lang", "v", "held", "size", "whole"])
 
-    vectorised = stored(sample.where(F.col("n") <= per_language).select("lang", "text").mapInArrow(count, "lang string, v binary"))
+    chosen = sample.where(F.col("n") <= per_language).select("lang", "text", (F.col("n") % HELD_OUT == 0).alias("held"))
+    vectorised = stored(chosen.mapInArrow(count, "lang string, v binary, held boolean, size int, whole boolean"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
@@ -117,23 +175,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "df"])
 
-    parts = vectorised.select("v").mapInArrow(frequencies, "n bigint, df binary").collect()
+    parts = vectorised.where("whole").select("v").mapInArrow(frequencies, "n bigint, df binary").collect()
     n = sum(p.n for p in parts)
     df = sum((np.frombuffer(p.df, np.int64) for p in parts), np.zeros(DIMS, np.int64))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = np.stack([np.frombuffer(v, np.uint32) for v in sorted(rows["v"])])
-        centres, least = clustered(vectors(rows, idf), centroids)
+        fitted = np.stack([np.frombuffer(v, np.uint32) for v in sorted(rows["v"])])
+        centres, least = clustered(vectors(fitted, idf), centroids)
         return pd.DataFrame({"c": [c.tobytes() for c in centres], "least": least.astype(float)})
 
     def named(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return cluster(rows).assign(lang=key[0])[["lang", "c", "least"]]
 
-    found = vectorised.groupBy("lang").applyInPandas(named, "lang string, c binary, least double").collect()
+    found = vectorised.where("not held").groupBy("lang").applyInPandas(named, "lang string, c binary, least double").collect()
     found.sort(key=lambda r: (r.lang, r.c))
     matrix = np.stack([np.frombuffer(r.c, np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
-    return Model(idf, [r.lang for r in found], matrix, np.array([r.least for r in found]) * REACH)
+    labels = [r.lang for r in found]
+    least = cut_offs(vectorised.where("held"), idf, labels, matrix, np.array([r.least for r in found], float))
+    return Model(idf, labels, matrix, least)
 
 
 def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
@@ -148,16 +208,17 @@ def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*model.labels, UNKNOWN], object)
-        least = np.array([*model.least, 2.0])
+        least = np.vstack([model.least, np.full((1, CLASSES), 2.0)])
         for batch in batches:
             best, score = np.full(batch.num_rows, len(model.labels)), np.zeros(batch.num_rows)
+            size = length_class(np.diff(W.text_bytes(batch["text"])[1]))
             letters = batch["__letters"].to_numpy(zero_copy_only=False)
             for begin, stop in groups(batch["text"]) if len(model.labels) else ():
                 near = vectors(counts(batch["text"].slice(begin, stop - begin)), model.idf) @ model.centroids.T
                 best[begin:stop], score[begin:stop] = near.argmax(axis=1), near.max(axis=1)
             best, score = np.where(letters, best, len(model.labels)), np.where(letters, np.clip(score, 0, 1), 0.0)
             found = pa.StructArray.from_arrays(
-                [pa.array(labels[best], pa.string()), pa.array(score), pa.array(score < least[best])], fields=list(kind)
+                [pa.array(labels[best], pa.string()), pa.array(score), pa.array(score < least[best, size])], fields=list(kind)
             )
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), found], [*names, out])
 

@@ -44,3 +44,28 @@ def test_the_sample_is_bounded_and_the_same_in_any_order(docs_of):
     docs = docs_of([(i, text("xx", i, 10), "xx") for i in range(200)])
     a, b = fit(docs, per_language=20), fit(docs.repartition(5), per_language=20)
     assert set(a.labels) == {"xx"} and a.labels == b.labels and (a.centroids == b.centroids).all()
+
+
+def test_other_languages_and_gibberish_are_rejected(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.where("doc_id % 5 = 0")
+    model = fit(docs.where("doc_id % 5 <> 0"))
+    far = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar",
+        "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα",
+        "xqzjvk wpfgkx zzqvbn jkxwqp vfgzxk qpwzjx kvbxqz wjfkqx pzvgkq xjwqzv",
+        "3f9ac0d17be24c88 a0b1c2d3e4f56789 deadbeef0badf00d 7c7c1e2a9b4f6d53",
+    ]
+    out = identified(docs_of(dict(enumerate(far))), model, "found").collect()
+    print(sorted((r.doc_id, round(r.found.score, 3), r.found.rejected) for r in out), model.least.round(3).tolist())
+    assert all(r.found.rejected for r in out)
+    clean = held.where("lang is not null and text rlike '\\\\p{L}'")
+    for length in (40, 200, 10**6):
+        found = identified(clean.selectExpr("doc_id", f"substring(text, 1, {length}) text", "lang"), model, "found").collect()
+        print(length, [(r.lang, r.found.lang_pred, round(r.found.score, 3), r.text[:50]) for r in found if r.found.rejected])
+        rows = [r.found.rejected for r in found]
+        assert sum(rows) <= 0.03 * len(rows)
