@@ -113,3 +113,44 @@ c AS (
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c
 """
+
+ORACLES["op11_patricia_exact_dedup"] = f"""
+WITH n AS (SELECT doc_id, {LOWER} AS t FROM documents),
+g AS (
+  SELECT doc_id, t, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER o AS nth
+  FROM n WINDOW o AS (PARTITION BY t ORDER BY doc_id DESC NULLS LAST))
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+ORACLES["op12_composed_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+run AS (
+  SELECT doc_id, unnest(regexp_extract_all(LOWER_TEXT, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+seen AS MATERIALIZED (
+  SELECT w, count(*) AS c, hex(coalesce(doc_id::VARCHAR, '') || ':' || w) AS x FROM run GROUP BY doc_id, w),
+summed AS (
+  SELECT w, c, xor(list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)),
+    lambda r, b: xor(t[((xor(r, b) & 255) + 1)::BIGINT], r >> 8)), 4294967295::UBIGINT) AS h FROM seen, crc),
+word AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(c)::BIGINT AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+pair AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, min({'n': -near_n, 'w': near}) AS best FROM pair GROUP BY word),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * n THEN best.w END AS form,
+    CASE WHEN -best.n >= 2 * n THEN -best.n END AS form_n FROM word LEFT JOIN near USING (word)),
+way AS (
+  SELECT word, word AS reached FROM formed
+  UNION ALL SELECT way.word, formed.form FROM way JOIN formed ON formed.word = way.reached WHERE formed.form IS NOT NULL),
+root AS (SELECT way.word, reached AS root FROM way JOIN formed ON formed.word = way.reached WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN root USING (word)
+""".replace("LOWER_TEXT", LOWER)

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billfold.llm import chat_format, decontamination, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, token_counts, topk
+from billfold.llm import (
+    alignment,
+    chat_format,
+    decontamination,
+    exact_dedup,
+    html_extraction,
+    language_id,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    spelling,
+    token_counts,
+    topk,
+)
 from billfold.llm.tables import reach_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +103,19 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_boosted_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extraction.extracted(pages, html_extraction.fit(pages))
+
+
+@query
+def op11_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query
+def op12_composed_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, sf_dir, "documents"), *paths)
