@@ -53,8 +53,14 @@ BESIDE_WORDS = frozenset(
 TEXT_TAGS = frozenset("article main".split())
 TEXT_WORDS = frozenset("article articlebody blogpost body content entry main maincontent post postcontent story storybody text".split())
 
+# A tag goes to its ">": values in quotes may hold one, a "<" outside of them belongs to the next tag. What cannot be read so
+# goes to the next ">" whatever stands between. No run is given back once taken, so the time follows the length of the page.
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>|<[!?/][^>]*>", re.S
+    r"<!--(?:.*?-->|.*\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)([^>]*+)>"
+    r"|<[!?/][^>]*+>",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -93,6 +99,8 @@ def parse(page: str) -> Tree:
     tags, parents, beside, inside = ["#root"], [-1], [0], [0]
     runs: list[tuple[int, str, int]] = []
     stack: list[tuple[str, int]] = [("#root", 0)]  # tag and its block's node
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    blocks = [0]  # places of those that are not inline
     links, unseen, linked = 0, 0, 0
     pending: list[str] = []
     closed: dict[str, dict[int, int]] = {}
@@ -114,15 +122,21 @@ def parse(page: str) -> Tree:
         for t, _ in stack[depth:]:
             links -= t == "a"
             unseen -= t in UNSEEN
+            places[t].pop()
+            if t not in INLINE:
+                blocks.pop()
         del stack[depth:]
 
+    def enter(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
     def opened(wanted: str, border: tuple[str, ...]) -> int:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] == wanted:
-                return depth
-            if stack[depth][0] in border:
-                return 0
-        return 0
+        """The place of the last open element of this tag, 0 if there is none behind the border."""
+        depth = (places.get(wanted) or [0])[-1]
+        return depth if all((places.get(b) or [0])[-1] <= depth for b in border) else 0
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -132,31 +146,29 @@ def parse(page: str) -> Tree:
             if links:
                 linked += len(text.split())
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at) if at <= last else None
         if not found:
-            say(page[at:])
+            rest = page[at:]
+            say(rest[: rest.find("<!--")] if "<!--" in rest else rest)
             break
         say(page[at : found.start()])
         at = found.end()
-        tag = (found[2] or "").lower()
+        slash, name, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
+        tag = (name or "").lower()
         if not tag:
             continue
-        if found[1]:
+        if slash:
             if tag in INLINE:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        close(depth)
-                        break
-                    if stack[depth][0] not in INLINE:
-                        break
+                if (depth := opened(tag, ())) > blocks[-1]:
+                    close(depth)
             elif depth := opened(tag, ()):
                 close(depth)
             else:
                 flush()
             continue
-        if tag in FOREIGN and found[3].endswith("/"):
+        if tag in FOREIGN and attributes.endswith("/"):
             continue
         if tag in RAW:
             if tag in NESTED:
@@ -179,27 +191,24 @@ def parse(page: str) -> Tree:
                 flush()
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            enter(tag, stack[-1][1])
             links += tag == "a"
             continue
         flush()
         if tag not in IN_HEAD and (depth := opened("head", ())) and tag != "head":
             close(depth)
-        depth = len(stack) - 1
-        while depth and stack[depth][0] in INLINE:
-            depth -= 1
-        if depth and stack[depth][0] == "p":
-            close(depth)
+        if stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if tag in LISTED:
             for sibling in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 if depth := opened(sibling, LISTED[tag]):
                     close(depth)
-        words = {w for m in _ATTRIBUTE.finditer(found[3]) for w in _PART.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
+        words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _PART.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
         parents.append(stack[-1][1])
         tags.append(tag)
         inside.append(len(words & TEXT_WORDS))
         beside.append(len(words & (BESIDE_WORDS - OFTEN_TEXT if inside[-1] else BESIDE_WORDS)))
-        stack.append((tag, len(tags) - 1))
+        enter(tag, len(tags) - 1)
         unseen += tag in UNSEEN
     flush()
     return Tree(tags, parents, beside, inside, runs)

@@ -1,10 +1,15 @@
 import html
+import itertools
+import math
 import random
+import time
 
+import numpy as np
 import pytest
 from conftest import prose
 
 from billfold.llm import html_extraction as H
+from billfold.llm.html_extraction import BINS, DEPTH, RATE, Tree, boost, decode, parse
 
 SCHEMA = "page_id bigint, url string, html string, text string, n_chars int"
 
@@ -89,3 +94,96 @@ def test_odd_raw_elements_do_not_swallow_the_text():
     assert said("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == "where x=2 holds".split()
     assert said("<p>one<noscript>two</noscript>") == ["one", "two"]
     assert said("<p>one<script>if (a < b) {") == said("<p>one<style>p {") == ["one"]
+
+
+def test_time_follows_the_length_of_broken_pages():
+    n = 100_000
+    pages = {
+        "single quotes": "<p>" + "<a '" * n,
+        "double quotes": "<p>" + '<a "' * n + ">",
+        "values never closed": "<p>text</p>" + "<a x='>'" * n,
+        "unclosed declarations": "</" * n,
+        "nested blocks": "<div>" * n + "deep",
+        "nested inline": "<b>" * n + "bold" + "</i>" * n,
+        "items": "<ul>" + "<li><div>" * n,
+        "signs": "<" * 10_000_000,
+    }
+    for name, page in pages.items():
+        start = time.process_time()
+        tree = parse(page)
+        assert time.process_time() - start < 2 + 2 * len(page) / 1e6, name
+        assert tree.runs or "quotes" in name or name in ("items", "values never closed"), name
+    assert [t for _, t, _ in parse(pages["nested inline"]).runs] == ["bold"]
+
+
+def test_tags_with_odd_quotes_and_signs():
+    cases = {
+        "<p title='a > b'>x</p>": ["x"],
+        '<p title="a > b" class=k>x</p>y': ["x", "y"],
+        "<p it's>x</p>": ["x"],
+        "<p a='unclosed>x</p>": ["x"],
+        "<div <p>x</p>": ["x"],
+        "1 < 2 <b>and</b> 3 > 2": ["1 < 2 and 3 > 2"],
+        "x <!-- never closed <p>y": ["x"],
+        "a<br/>b<hr/>c": ["a b", "c"],
+    }
+    for page, want in cases.items():
+        assert [t for _, t, _ in parse(page).runs] == want, page
+
+
+def test_decoding_against_all_labellings():
+    rng = random.Random(12)
+    for _ in range(60):
+        n = rng.randrange(2, 9)
+        parents = [-1] + [rng.randrange(i) for i in range(1, n)]
+        runs = [(rng.randrange(n), "w " * rng.randrange(1, 6) + "w", 0) for _ in range(rng.randrange(8))]
+        tree = Tree(["div"] * n, parents, [0] * n, [0] * n, runs)
+        score = np.array([rng.gauss(0, 2) for _ in range(n)])
+        words = [sum(t.count(" ") + 1 for at, t, _ in runs if at == i) for i in range(n)]
+        worth = [score[i] * np.log1p(words[i]) for i in range(n)]
+
+        def value(labels, worth=worth):
+            return sum(w if x else -w for w, x in zip(worth, labels, strict=True))
+
+        allowed = [x for x in itertools.product((False, True), repeat=n) if x[0] and all(x[parents[i]] or not x[i] for i in range(1, n))]
+        got = decode(tree, score)
+        assert tuple(got) in allowed and abs(value(got) - max(map(value, allowed))) < 1e-9
+
+
+def test_boosting_against_plain_loops():
+    """Every split of every tree found by trying all cuts of all features on the rows of its node."""
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(120, 4)), 1).astype(np.float32)
+    labels = ((rows[:, 0] > 0.2) ^ (rows[:, 2] > 0.5)).astype(float)
+    model = boost(rows, labels, trees=3)
+    cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(4)]
+    share = labels.mean()
+    weight = [0.5 / share if y else 0.5 / (1 - share) for y in labels]
+    score = [0.0] * len(rows)
+    for _ in range(3):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        g = [w * (y - q) for w, y, q in zip(weight, labels, p, strict=True)]
+        h = [w * max(q * (1 - q), 1e-6) for w, q in zip(weight, p, strict=True)]
+
+        def part(members, g=g, h=h):
+            return sum(g[i] for i in members) ** 2 / (sum(h[i] for i in members) + 1)
+
+        nodes = [list(range(len(rows)))]
+        for _ in range(DEPTH):
+            below = []
+            for members in nodes:
+                best, split = 0.0, (members, [])
+                for f in range(4):
+                    for c in cuts[f]:
+                        low, high = [i for i in members if rows[i, f] <= c], [i for i in members if rows[i, f] > c]
+                        gain = part(low) + part(high) - part(members)
+                        if gain > best + 1e-7:
+                            best, split = gain, (low, high)
+                below += split
+            nodes = below
+        for members in nodes:
+            if members:
+                step = RATE * sum(g[i] for i in members) / (sum(h[i] for i in members) + 1)
+                for i in members:
+                    score[i] += step
+    assert np.allclose(model(rows), score, atol=1e-6)
