@@ -1,6 +1,9 @@
-"""Repeated lines across documents, found by their digests.
+"""Repeated lines and sentences across documents, found by their digests.
 
-A unit is a line with at least one word; normalised it is its words in lower case (A-Z) with one
+A unit is a sentence of a line: it ends with the line, with a word that ends in a full stop, an
+exclamation or a question mark, and, so that lines without these are cut too, with a word of 7, 15,
+23 ... bytes. These cuts depend on the words alone, so a passage glued into another text is
+cut as where it stood first, all but its borders. Normalised, a unit is its words in lower case (A-Z) with one
 blank between. Of equal units the earliest stays: by doc_id (null last), text and place. A run of
 neighbouring units that all have an earlier occurrence goes where it has ``min_words`` words or
 more; a shorter run, such as one boilerplate line, stays.
@@ -8,40 +11,55 @@ more; a shorter run, such as one boilerplate line, stays.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import words as W
-from billfold.llm.tables import dealt_join, stored, text_key
+from billfold.llm.tables import dealt_join, free_names, stored, text_key
 
-MIN_WORDS = 50
+MIN_WORDS = 25  # what is whole units of a passage of over 50 words, its cut borders taken off
 _KEY = ["doc_id", "text_key"]
+_MARKS = np.frombuffer(b".!?", np.uint8)
+
+
+def cut_units(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, number, first and last code point place, words and digest (two values) of every unit of these texts."""
+    hashes, place, bounds = W.hash_words(data, starts)
+    if not len(hashes):
+        return (*[np.zeros(0, np.int64)] * 5, np.zeros((0, 2), np.uint64))
+    end = W.word_ends(data, starts, place)
+    closes = np.isin(data[end - 1], _MARKS) | ((end - place) % 8 == 7)
+    line = np.searchsorted(np.flatnonzero(data == 10), place)
+    closes[:-1] |= line[1:] != line[:-1]
+    closes[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    last = np.flatnonzero(closes)
+    first = np.concatenate([[0], last[:-1] + 1])
+    n_words = last - first + 1
+    inside = (np.arange(len(hashes)) - np.repeat(first, n_words)).astype(np.uint64)
+    ordered = hashes ^ W.mix(inside)
+    digest = np.stack([np.add.reduceat(W.mix(ordered, salt), first) for salt in (1, 2)], axis=1)
+    row = np.searchsorted(bounds, first, "right") - 1
+    number = np.arange(len(first)) - np.searchsorted(row, row)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    before = points[starts[row]]
+    return row, number, points[place[first]] - before, points[end[last]] - before, n_words, digest
 
 
 def units(docs: DataFrame) -> DataFrame:
     """``(doc_id, text_key, unit_no, start, end, n_words, digest)``; places count code points."""
+    names = ["doc_id", "text_key", "unit_no", "start", "end", "n_words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "text_key", "unit_no", "start", "end", "n_words", "digest"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for part in W.sliced(batches, "text"):
-            out: list[list] = [[] for _ in names]
-            for doc_id, key, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
-                start, unit_no = 0, 0
-                for line in (text or "").split("\n"):
-                    words = line.encode().lower().split()
-                    if words:
-                        digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        row = (doc_id, key, unit_no, start, start + len(line), len(words), digest)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                        unit_no += 1
-                    start += len(line) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
+            row, number, start, end, n_words, digest = cut_units(*W.text_bytes(part["text"]))
+            ids = [part[c].take(pa.array(row)) for c in _KEY]
+            numbers = [pa.array(number, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, end, n_words))]
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(digest.tobytes())])
+            yield pa.RecordBatch.from_arrays([*ids, *numbers, packed.cast(pa.binary())], names)
 
     schema = "doc_id bigint, text_key bigint, unit_no int, start bigint, end bigint, n_words bigint, digest binary"
     return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(run, schema)
@@ -50,19 +68,19 @@ def units(docs: DataFrame) -> DataFrame:
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The units that go, each with the occurrence that stays.
 
-    ``(doc_id, text_key, start, end, n_words, kept_doc_id, kept_start)`` for ``docs(doc_id, text)``;
+    ``(doc_id, text_key, start, end, n_words, run_words, kept_doc_id, kept_start)``, ``run_words`` those of its whole run, for ``docs(doc_id, text)``;
     a null or empty text has no unit, other columns are not looked at. Rows alike in id and text
     are one document: each stands for both, and neither repeats the other.
 
     The earliest occurrence is a partial aggregate on the digest; a digest that a third of all
-    lines share sends one row per task. Only digests that occur twice are joined to the units, and
+    units share sends one row per task. Only digests that occur twice are joined to the units, and
     the units of very frequent ones are dealt out for that.
     """
     found = stored(units(docs))
-    rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "unit_no", "doc_id", "start")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n"))
-    first = stored(first.where("first <> last").drop("last"))
-    later = dealt_join(found, first.drop("n"), "digest", first, found.count()).where(rank != F.col("first"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
+    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    first = stored(first.where("n > 1"))
+    later = dealt_join(found, first.drop("n"), "digest", first, found.count()).where(~rank.eqNullSafe(F.col("first")))
     later = later.dropDuplicates([*_KEY, "unit_no"])
     in_text = Window.partitionBy(*_KEY).orderBy("unit_no")
     run = F.col("unit_no") - F.row_number().over(in_text)
@@ -71,7 +89,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return (
         runs.withColumn("run_words", words)
         .where(F.col("run_words") >= min_words)
-        .select(*_KEY, "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+        .select(*_KEY, "start", "end", "n_words", "run_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
     )
 
 
@@ -83,32 +101,38 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | N
     spans = repeated_units(docs, min_words).groupBy(*_KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__key": text_key("text")})
-    on = keyed["__id"].eqNullSafe(spans["doc_id"]) & (keyed["__key"] == spans["text_key"])
-    joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), F.col("spans").alias("__spans"))
+    id_, key, gone = free_names(docs, "id", "key", "spans")
+    keyed = docs.withColumns({id_: F.col("doc_id"), key: text_key("text")})
+    on = keyed[id_].eqNullSafe(spans["doc_id"]) & (keyed[key] == spans["text_key"])
+    joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), F.col("spans").alias(gone))
 
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.sliced(batches, "text"):
-            gone = part["__spans"].to_pylist()
-            texts = [t if g is None else cut(t, g) for t, g in zip(part["text"].to_pylist(), gone, strict=True)]
+            spans_of = part[gone].to_pylist()
+            texts = [t if g is None else cut(t, g) for t, g in zip(part["text"].to_pylist(), spans_of, strict=True)]
             columns = {c: part[c] for c in names} | {"text": pa.array(texts, part["text"].type)}
             if length:
                 old = part[length].to_pylist()
-                new = [n if g is None else len(t) for n, t, g in zip(old, texts, gone, strict=True)]
+                new = [n if g is None else len(t) for n, t, g in zip(old, texts, spans_of, strict=True)]
                 columns[length] = pa.array(new, part[length].type)
-            stays = [g is None or bool(t.encode().split()) for t, g in zip(texts, gone, strict=True)]
+            stays = [g is None or bool(t.encode().split()) for t, g in zip(texts, spans_of, strict=True)]
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stays, pa.bool_()))
 
     return joined.mapInArrow(run, docs.schema)
 
 
 def cut(text: str, gone: list[dict]) -> str:
-    """The text without these lines and their line ends."""
+    """The text without these units and the blanks behind them; a line of which nothing is left goes with its end."""
     parts, at = [], 0
     for span in gone:
         parts.append(text[at : span["start"]])
-        at = span["end"] + 1
+        at = span["end"]
+        while at < len(text) and text[at] in " \t\v\f\r":
+            at += 1
+        if text[at : at + 1] == "\n":
+            before = next((p for p in reversed(parts) if p), "\n")
+            at += before.endswith("\n")
     left = "".join(parts) + text[at:]
-    return left[:-1] if at > len(text) and left.endswith("\n") else left
+    return left[:-1] if at >= len(text) and left.endswith("\n") else left

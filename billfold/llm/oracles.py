@@ -33,23 +33,27 @@ FROM lowest LEFT JOIN n USING (doc_id)
 """
 
 ORACLES["op7_line_dedup"] = rf"""
-WITH cut AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-placed AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM cut),
-worded AS (
-  SELECT doc_id, i, line, start, regexp_extract_all({LOWER.replace("text", "line")}, {WORDS}) AS ws FROM placed),
+WITH token AS (
+  SELECT doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS ts FROM documents),
+cut AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM token),
+word AS (
+  SELECT doc_id, i, regexp_extract(t, '[^\x20\x09-\x0D]+') AS w, position(chr(10) IN t) > 0 AS fresh,
+    sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM cut),
+closed AS (
+  SELECT *, CASE WHEN fresh OR lag(right(w, 1) IN ('.', '!', '?') OR strlen(w) % 8 = 7) OVER (PARTITION BY doc_id ORDER BY i)
+    THEN 1 ELSE 0 END AS begins FROM word),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM closed),
 unit AS MATERIALIZED (
-  SELECT doc_id, start, start + length(line) AS "end", len(ws) AS n_words, array_to_string(ws, ' ') AS norm,
-    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit_no FROM worded WHERE len(ws) > 0),
+  SELECT doc_id, min(stop - length(w)) AS start, max(stop) AS "end", count(*) AS n_words,
+    string_agg({LOWER.replace("text", "w")}, ' ' ORDER BY i) AS norm,
+    row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS unit_no FROM numbered GROUP BY doc_id, n),
 ranked AS (
   SELECT *, first_value(doc_id) OVER o AS kept_doc_id, first_value(start) OVER o AS kept_start, row_number() OVER o AS nth
   FROM unit WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit_no)),
 run AS (
   SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS run FROM ranked WHERE nth > 1),
 summed AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM run)
-SELECT doc_id, start, "end", n_words, kept_doc_id, kept_start FROM summed WHERE run_words >= 50
+SELECT doc_id, start, "end", n_words, run_words, kept_doc_id, kept_start FROM summed WHERE run_words >= 25
 """
 
 ORACLES["op5_flow_mixing"] = rf"""

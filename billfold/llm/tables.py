@@ -33,6 +33,19 @@ def text_key(text: str | Column) -> Column:
     return F.coalesce(F.xxhash64(F.col(text) if isinstance(text, str) else text), F.lit(0))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names the frame does not have, like the wanted ones; names are told apart without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        free = f"__{name}"
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def dealt_join(rows: DataFrame, one: DataFrame, key: str, counted: DataFrame, total: int) -> DataFrame:
     """``rows`` joined to ``one``, which has a row for each ``key``; the rows of hot keys are dealt out.
 

@@ -101,6 +101,13 @@ def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(hashes), place, np.searchsorted(place, starts, "left")
 
 
+def word_ends(data: np.ndarray, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Byte places behind the words that begin at ``place``."""
+    blanks = np.flatnonzero(_SPACE[data])
+    after = np.append(blanks, len(data))[np.searchsorted(blanks, place)]
+    return np.minimum(after, starts[np.searchsorted(starts, place, "right")])
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows, and the bounds of each row's among them."""
     data, starts = text_bytes(column)
