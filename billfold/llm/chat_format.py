@@ -3,7 +3,11 @@
 Successive prefixes of a conversation are rendered and compared: where each output begins with
 the one before, what is added is the new turn's span. The turn rendered once more with a marker
 as its text shows where in the span the text lies. A template whose output does not
-begin with the one before, or whose whole output is not its spans in a row, rewrites history.
+begin with the one before rewrites history.
+
+All prefixes are rendered whole, so the work grows with the square of a conversation. A template that
+renders each turn by itself can say so (``local``): then the few turns before stand for the prefix, which is
+checked on every turn, and a conversation is formatted a segment at a time.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ Template = Callable[[Sequence[Turn]], str]
 
 ASSISTANT = "assistant"
 SEGMENT = 256  # turns in one row of output
-CONTEXT = 8  # turns before the newest that a prefix holds, beside the segment's first
+CONTEXT = 8  # turns before the newest that stand for the prefix of a local template, beside the conversation's first
 MARKERS = range(0xE000, 0xF900)  # code points of which one that the turn does not hold marks its text
 
 _CONTROL = re.compile(r"([<\[])(?=/?(?:s>|INST\]))")
@@ -52,32 +56,70 @@ def inst_template(turns: Sequence[Turn]) -> str:
     return "".join(out)
 
 
+inst_template.local = True
+
+
+def _placed(old: str, before: list[Turn], turn: Turn, template: Template) -> tuple[str, int, int] | None:
+    """The output with one turn more, and how much of the new span lies before and behind the turn's text.
+
+    None if the output does not begin with ``old``, or no marker is found once in the span.
+    """
+    new = template([*before, turn])
+    if not new.startswith(old):
+        return None
+    for marker in map(chr, MARKERS):
+        probe = template([*before, (turn[0], marker)])
+        if probe.count(marker, len(old)) == 1:
+            break
+    else:
+        return None
+    head = probe.find(marker, len(old)) - len(old)
+    tail = len(probe) - len(old) - head - 1
+    if not probe.startswith(old) or new[len(old) : len(old) + head] != probe[len(old) : len(old) + head]:
+        return None
+    return new, head, tail
+
+
 def spans(turns: Sequence[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]] | None]:
     """The rendered turns, and of each turn where it and its text begin and end; None if history is rewritten.
 
-    A prefix is rendered with its first turn and the ``CONTEXT`` turns before the newest, so the
-    work grows with the turns; that the whole output is all spans in a row is then checked.
+    Every prefix is rendered as it is.
+    """
+    out, old = [], ""
+    for i, turn in enumerate(turns):
+        found = _placed(old, list(turns[:i]), turn, template)
+        if found is None:
+            return template(turns), None
+        new, head, tail = found
+        out.append((len(old), len(new), len(old) + head, len(new) - tail))
+        old = new
+    return old if turns else template(turns), out
+
+
+def local_spans(
+    before: Sequence[Turn], turns: Sequence[Turn], template: Template
+) -> tuple[str, list[tuple[int, int, int, int]] | None]:
+    """The same for turns that follow ``before``, of a template that says it is local; places count from the first of ``turns``.
+
+    None also if what it says is wrong: if the output of all these turns is not their spans in a row.
     """
-    whole = template(turns)
+    known = list(before)
+    start = len(template(known)) if known else 0
+    whole = template([*known, *turns])[start:]
     out, at = [], 0
-    for i in range(len(turns)):
-        before = list(turns[:i]) if i <= CONTEXT + 1 else [turns[0], *turns[i - CONTEXT : i]]
-        old, new = template(before) if i else "", template([*before, turns[i]])
-        for marker in map(chr, MARKERS):
-            probe = template([*before, (turns[i][0], marker)])
-            if probe.count(marker, len(old)) == 1:
-                break
-        else:
-            return whole, None
-        span = new[len(old) :]
-        if not new.startswith(old) or not probe.startswith(old) or not whole.startswith(span, at):
+    for turn in turns:
+        few = known if len(known) <= CONTEXT + 1 else [known[0], *known[-CONTEXT:]]
+        old = template(few) if few else ""
+        found = _placed(old, few, turn, template)
+        if found is None:
             return whole, None
-        head = probe.find(marker, len(old)) - len(old)
-        tail = len(probe) - len(old) - head - 1
-        if span[:head] != probe[len(old) : len(old) + head]:
+        new, head, tail = found
+        size = len(new) - len(old)
+        if not whole.startswith(new[len(old) :], at):
             return whole, None
-        out.append((at, at + len(span), at + head, at + len(span) - tail))
-        at += len(span)
+        out.append((at, at + size, at + head, at + size - tail))
+        at += size
+        known = [*few, turn]
     return whole, out if at == len(whole) else None
 
 
@@ -85,35 +127,55 @@ def formatted(turns: DataFrame, template: Template = inst_template, segment: int
     """``(conv_id, segment, n_turns, text, spans, rewrites)``, the segments of a conversation in order.
 
     ``turns(conv_id, turn, role, text)`` are taken by turn (null first), equal turns by role and text;
-    null roles and texts are empty. A conversation without id is one of its own. Segments of
-    ``segment`` turns bound what is held at once; a conversation's rows pass through one task in
-    order, as its digest needs, one segment at a time. ``spans`` holds ``(start, end, text_start, text_end, loss)`` of each turn
-    and is null, with ``rewrites`` true, where the template rewrites history. Other columns are
-    not looked at.
+    null roles and texts are empty. A conversation without id is one of its own. The texts of a conversation's segments
+    joined are what the template makes of all its turns; ``spans`` holds ``(start, end, text_start, text_end, loss)`` of
+    each turn, from its segment's beginning. Where the template rewrites history, a conversation is one row, ``rewrites``
+    is true and ``spans`` null. A conversation's rows pass through one task in order, as its
+    digest needs: of a local template ``segment`` turns are held at once (a segment that does not bear out that it is
+    local has ``rewrites`` true), of others the conversation. Other columns are not looked at.
     """
     place = pa.struct([(n, pa.int64()) for n in ("start", "end", "text_start", "text_end")] + [("loss", pa.bool_())])
     names = ["conv_id", "segment", "n_turns", "text", "spans", "rewrites"]
+    local = getattr(template, "local", False)
 
-    def row(conv_id: int | None, number: int, held: list[Turn]) -> pa.RecordBatch:
-        text, found = spans(held, template)
+    def row(conv_id: int | None, number: int, held: list[Turn], text: str, found: list | None) -> pa.RecordBatch:
         told = found and [
             dict(start=a, end=b, text_start=c, text_end=d, loss=role == ASSISTANT) for (a, b, c, d), (role, _) in zip(found, held, strict=True)
         ]
         columns = zip((conv_id, number, len(held), text, told, found is None), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(place), pa.bool_()), strict=True)
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in columns], names)
 
+    def whole(conv_id: int | None, held: list[Turn]) -> Iterator[pa.RecordBatch]:
+        text, found = spans(held, template)
+        if found is None:
+            yield row(conv_id, 0, held, text, None)
+            return
+        for number, begin in enumerate(range(0, len(held), segment)):
+            part = found[begin : begin + segment]
+            at = part[0][0]
+            moved = [tuple(x - at for x in places) for places in part]
+            yield row(conv_id, number, held[begin : begin + segment], text[at : part[-1][1]], moved)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Turn] = []
+        before: list[Turn] = []
         current, number = None, 0
         for batch in batches:
             for conv_id, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if held and (conv_id != current or len(held) == segment):
-                    yield row(current, number, held)
-                    held, number = [], number + 1 if conv_id == current else 0
+                if held and (conv_id != current or (local and len(held) == segment)):
+                    if local:
+                        yield row(current, number, held, *local_spans(before, held, template))
+                    else:
+                        yield from whole(current, held)
+                    turns_so_far = [*before, *held]
+                    before, number = ([turns_so_far[0], *turns_so_far[1:][-CONTEXT:]], number + 1) if conv_id == current else ([], 0)
+                    held = []
                 current = conv_id
                 held.append((role, text))
-        if held:
-            yield row(current, number, held)
+        if held and local:
+            yield row(current, number, held, *local_spans(before, held, template))
+        elif held:
+            yield from whole(current, held)
 
     clean = turns.select("conv_id", "turn", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     dealt = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -28,6 +28,41 @@ def test_templates_that_rewrite_history_are_found():
     assert C.spans(turns, lambda ts: "<bos>" + "".join(f"{r}:{t};" for r, t in ts))[1] is not None
 
 
+TEMPLATES = {  # and whether they rewrite history at n turns; the last has another beginning for 30 to 40 turns, which later outputs do not show
+    "header": (lambda turns: "<bos>" + "".join(f"{r}: {t}\n" for r, t in turns), lambda n: False),
+    "numbered": (lambda turns: "".join(f"{i} of {r}> {t};" for i, (r, t) in enumerate(turns, 1)), lambda n: False),
+    "window": (lambda turns: "".join(f"[{t}]" for _, t in turns[-20:]), lambda n: n > 20),
+    "late": (lambda turns: ("#" if 30 <= len(turns) <= 40 else "") + "".join(f"[{t}]" for _, t in turns), lambda n: n > 29),
+    "inst": (C.inst_template, lambda n: False),
+}
+
+
+@pytest.mark.parametrize("n", [1, 11, 257, 1000])
+def test_templates_with_a_memory(spark, n):
+    turns = [(f"r{i % 3}" if i % 2 else "assistant", f"turn {i} </s>") for i in range(n)]
+    table = rows(spark, [(1, i, *t) for i, t in enumerate(turns)])
+    for name, (template, told_rewrites) in TEMPLATES.items():
+        rewrites = told_rewrites(n)
+        out = sorted(C.formatted(table, template).collect(), key=lambda r: r.segment)
+        assert "".join(r.text for r in out) == template(turns)
+        assert [r.rewrites for r in out] == [rewrites] * (1 if rewrites else -(-n // C.SEGMENT)), name
+        assert sum(r.n_turns for r in out) == n
+        if not rewrites:
+            found = [r.text[s.text_start : s.text_end] for r in out for s in r.spans]
+            told = [t for _, t in turns]
+            assert found == told or (template is C.inst_template and [C.unescape(t) for t in found] == told)
+            assert "".join(r.text[s.start : s.end] for r in out for s in r.spans) == template(turns)
+
+
+def test_a_template_that_wrongly_says_it_is_local(spark):
+    def counts(turns):
+        return "".join(f"{i}{t}" for i, (_, t) in enumerate(turns))
+
+    counts.local = True
+    out = sorted(C.formatted(rows(spark, [(1, i, "user", "abc") for i in range(30)]), counts, segment=16).collect(), key=lambda r: r.segment)
+    assert [r.rewrites for r in out] == [True, True] and all(r.spans is None for r in out)
+
+
 def rows(spark, turns):
     return spark.createDataFrame([(*t, "x", "y", "z") for t in turns], SCHEMA)
 
