@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import words as W
-from billfold.llm.tables import stored, text_key
+from billfold.llm.tables import free_names, stored, text_key
 
 DIMS = 4096
 PER_LANGUAGE = 500  # labelled texts a language is fitted on at most, those of smallest hash
@@ -33,6 +33,7 @@ LEAST_HELD = 20  # pieces a centroid needs for a cut-off of its own, else its la
 REACH = 0.1  # of the smallest cosine among a centroid's own texts
 UNKNOWN = "und"
 LISTED = 10_000  # languages whose shares are broadcast at most
+SEGMENT = 1 << 20  # bytes whose n-grams are counted at once
 _ROUNDS = 12
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -49,21 +50,29 @@ class Model:
     least: np.ndarray  # cosine below which a text is rejected, of each centroid and class of length
 
 
-def counts(texts: pa.Array) -> np.ndarray:
-    """How often each hashed n-gram occurs, a row for each text."""
+def counts(texts: pa.Array, segment: int = SEGMENT) -> np.ndarray:
+    """How often each hashed n-gram occurs, a row for each text; so many bytes are worked on at once."""
     data, starts = W.text_bytes(texts)
     rows = len(starts) - 1
-    folded = _FOLD[data].astype(np.uint32)
-    row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(starts))
-    left = starts[1:][row] - np.arange(len(folded))
-    out = np.zeros(rows * DIMS, np.int64)
-    code = np.zeros(len(folded), np.uint32)
-    for n in (1, 2, 3):
-        code = code * np.uint32(0x01000193) ^ np.concatenate([folded[n - 1 :], np.zeros(min(n - 1, len(folded)), np.uint32)])
-        place = (code * np.uint32(0x9E3779B1) >> np.uint32(20)).astype(np.int64)
-        whole = left >= n
-        out += np.bincount((row * DIMS + place)[whole], minlength=rows * DIMS)
-    return out.reshape(rows, DIMS)
+    out = np.zeros((rows, DIMS), np.int64)
+    for begin in range(0, len(data), segment):
+        size = min(segment, len(data) - begin)
+        folded = np.zeros(size + 2, np.uint32)
+        seen = data[begin : begin + size + 2]
+        folded[: len(seen)] = _FOLD[seen]
+        at = np.arange(begin, begin + size)
+        row = np.searchsorted(starts, at, "right") - 1
+        left = starts[row + 1] - at
+        first, last = int(row[0]), int(row[-1])
+        cell = (row - first).astype(np.int32) * np.int32(DIMS)
+        del at, row
+        code = np.zeros(size, np.uint32)
+        for n in (1, 2, 3):
+            code = code * np.uint32(0x01000193) ^ folded[n - 1 : n - 1 + size]
+            place = (code * np.uint32(0x9E3779B1) >> np.uint32(20)).astype(np.int32)
+            found = np.bincount((cell + place)[left >= n], minlength=(last - first + 1) * DIMS)
+            out[first : last + 1] += found.reshape(-1, DIMS)
+    return out
 
 
 def vectors(counted: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -138,18 +147,49 @@ def clustered(points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centres[used].astype(np.float32), np.array([near[own == c, c].min() for c in used], np.float32)
 
 
+def frequencies(known: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Texts by language, and in how many texts each place of a vector is not empty, of ``known(lang, text)``.
+
+    Each task adds up its own; the driver gets a row for each language and place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[str, int] = {}
+        df = np.zeros(DIMS, np.int64)
+        for batch in batches:
+            for lang in batch["lang"].to_pylist():
+                texts[lang] = texts.get(lang, 0) + 1
+            for begin, stop in groups(batch["text"]):
+                df += (counts(batch["text"].slice(begin, stop - begin)) > 0).sum(axis=0)
+        seen = np.flatnonzero(df)
+        columns = [[*texts, *[None] * len(seen)], [*[-1] * len(texts), *seen.tolist()], [*texts.values(), *df[seen].tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "place", "n"])
+
+    sums = known.select("lang", "text").mapInArrow(run, "lang string, place int, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    df, of_language = np.zeros(DIMS, np.int64), {}
+    for r in sums.collect():
+        if r.place < 0:
+            of_language[r.lang] = r.n
+        else:
+            df[r.place] = r.n
+    return of_language, df
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """The model of ``docs(doc_id, text, lang)``; rows with a null ``lang`` or without a letter teach nothing.
 
-    Fitted on at most ``per_language`` texts of a language. Counting, document frequencies and
-    the clustering of each language run as Spark tasks; the driver gets the centroids.
+    Document frequencies are those of all these texts; the centroids and cut-offs are fitted on at most
+    ``per_language`` of a language. Counting, document frequencies and
+    the clustering of each language run as Spark tasks; the driver gets sums and the centroids.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     known = known.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", text_key("text")).alias("hash"))
+    of_language, df = frequencies(known)
+    n = sum(of_language.values())
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     # about four times as many as are wanted by a bound on the hash, then the smallest hashes of these
-    counted = docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()
-    share = docs.sparkSession.createDataFrame([(r.lang, 4.0 * per_language / r["count"]) for r in counted], "lang string, share double")
-    few = known.join(F.broadcast(share) if len(counted) <= LISTED else share, "lang").where(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    share = docs.sparkSession.createDataFrame([(k, 4.0 * per_language / v) for k, v in sorted(of_language.items())], "lang string, share double")
+    few = known.join(F.broadcast(share) if len(of_language) <= LISTED else share, "lang").where(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 20)), "hash")
     sample = few.select("lang", "text", F.row_number().over(order).alias("n"))
 
@@ -167,19 +207,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     chosen = sample.where(F.col("n") <= per_language).select("lang", "text", (F.col("n") % HELD_OUT == 0).alias("held"))
     vectorised = stored(chosen.mapInArrow(count, "lang string, v binary, held boolean, size int, whole boolean"))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIMS, np.int64), 0
-        for batch in batches:
-            for value in batch["v"]:
-                total += np.frombuffer(value.as_buffer(), np.uint32) > 0
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "df"])
-
-    parts = vectorised.where("whole").select("v").mapInArrow(frequencies, "n bigint, df binary").collect()
-    n = sum(p.n for p in parts)
-    df = sum((np.frombuffer(p.df, np.int64) for p in parts), np.zeros(DIMS, np.int64))
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         fitted = np.stack([np.frombuffer(v, np.uint32) for v in sorted(rows["v"])])
         centres, least = clustered(vectors(fitted, idf), centroids)
@@ -205,6 +232,7 @@ def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
     schema = "struct<lang_pred: string, score: double, rejected: boolean>"
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     names = docs.columns
+    (marked,) = free_names(docs, "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*model.labels, UNKNOWN], object)
@@ -212,7 +240,7 @@ def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
         for batch in batches:
             best, score = np.full(batch.num_rows, len(model.labels)), np.zeros(batch.num_rows)
             size = length_class(np.diff(W.text_bytes(batch["text"])[1]))
-            letters = batch["__letters"].to_numpy(zero_copy_only=False)
+            letters = batch[marked].to_numpy(zero_copy_only=False)
             for begin, stop in groups(batch["text"]) if len(model.labels) else ():
                 near = vectors(counts(batch["text"].slice(begin, stop - begin)), model.idf) @ model.centroids.T
                 best[begin:stop], score[begin:stop] = near.argmax(axis=1), near.max(axis=1)
@@ -222,6 +250,6 @@ def identified(docs: DataFrame, model: Model, out: str) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), found], [*names, out])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__letters", letters).mapInArrow(run, f"{fields}, `{out}` {schema}")
+    return docs.withColumn(marked, has_letter).mapInArrow(run, f"{fields}, `{out}` {schema}")

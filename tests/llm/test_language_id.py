@@ -1,8 +1,14 @@
+import math
 import random
+from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from billfold.llm.language_id import fit, identified
+from billfold.llm import language_id as L
+from billfold.llm.language_id import DIMS, clustered, counts, fit, frequencies, identified, vectors
 
 SYLLABLES = {"xx": ["ka", "to", "ri", "mu", "ne"], "yy": ["sch", "ung", "ber", "ich"], "zz": ["çã", "éo", "lh", "qui"]}
 
@@ -46,6 +52,110 @@ def test_the_sample_is_bounded_and_the_same_in_any_order(docs_of):
     assert set(a.labels) == {"xx"} and a.labels == b.labels and (a.centroids == b.centroids).all()
 
 
+def plain_counts(text):
+    """N-grams counted one by one; the place of each by the same two multiplications."""
+    folded = [b | 0x20 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text]
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(folded) - n + 1):
+            code = 0
+            for b in folded[i : i + n]:
+                code = (code * 0x01000193 & 0xFFFFFFFF) ^ b
+            out[(code * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def plain_vector(text, idf):
+    weights = {k: math.log1p(c) * float(idf[k]) for k, c in plain_counts(text).items()}
+    length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+    return {k: w / length for k, w in weights.items()}
+
+
+def cosine(a, b):
+    return sum(w * b.get(k, 0.0) for k, w in a.items())
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 7])
+def test_counts_against_dictionaries(segment):
+    texts = [b"", b"a", b"Ab", "Größe, l'été! 42".encode(), b"x" * 50, b"", text("xx", 1, 20).encode(), "漢字".encode()]
+    found = counts(pa.array(texts, pa.binary()), segment)
+    assert found.shape == (len(texts), DIMS)
+    for row, t in zip(found, texts, strict=True):
+        assert {k: c for k, c in enumerate(row.tolist()) if c} == dict(plain_counts(t))
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    long = pa.array([b"some words of a long text, " * 800_000])  # 21 MB
+    tracemalloc.start()
+    found = counts(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and found.sum() == 3 * len(long[0].as_py()) - 3
+
+
+def test_frequencies_cover_all_texts(docs_of):
+    rows = [(i, text(lang, i, 5 + i % 9), lang) for i in range(150) for lang in SYLLABLES]
+    docs = docs_of(rows).selectExpr("lang", "CAST(text AS BINARY) AS text").repartition(5)
+    of_language, df = frequencies(docs)
+    want = Counter(k for _, t, _ in rows for k in plain_counts(t.encode()))
+    assert of_language == dict.fromkeys(SYLLABLES, 150) and {k: n for k, n in enumerate(df.tolist()) if n} == dict(want)
+    few = fit(docs_of(rows), per_language=12)
+    assert np.allclose(few.idf, np.log((1 + 450) / (1 + df)))
+
+
+def test_clustering_against_plain_loops():
+    rows = [text(lang, i, 15).encode() for i in range(12) for lang in ("xx", "yy")]
+    idf = np.linspace(0.5, 2, DIMS).astype(np.float32)
+    points = vectors(counts(pa.array(rows, pa.binary())), idf)
+    centres, least = clustered(points, 3)
+    plain = [plain_vector(t, idf) for t in rows]
+    rng = np.random.default_rng(7)
+    mine = [plain[0]]
+    while len(mine) < 3:
+        far = [max(1 - max(cosine(p, c) for c in mine), 0) + 1e-9 for p in plain]
+        at, total = rng.random() * sum(far), 0.0
+        for p, f in zip(plain, far, strict=True):
+            total += f
+            if total >= at:
+                mine.append(p)
+                break
+    for _ in range(L._ROUNDS):
+        own = [max(range(3), key=lambda c: (cosine(p, mine[c]), -c)) for p in plain]
+        for c in range(3):
+            sums = Counter()
+            for p, o in zip(plain, own, strict=True):
+                if o == c:
+                    sums.update(p)
+            if sums:
+                length = math.sqrt(sum(w * w for w in sums.values()))
+                mine[c] = {k: w / length for k, w in sums.items()}
+    own = [max(range(3), key=lambda c: (cosine(p, mine[c]), -c)) for p in plain]
+    assert len(centres) == len(set(own))
+    for centre, low, c in zip(centres, least, sorted(set(own)), strict=True):
+        assert np.allclose(centre, [mine[c].get(k, 0.0) for k in range(DIMS)], atol=1e-5)
+        assert abs(low - min(cosine(p, mine[c]) for p, o in zip(plain, own, strict=True) if o == c)) < 1e-5
+
+
+def test_predictions_against_plain_cosines(docs_of, model):
+    rows = [(i, text(lang, 5000 + i, 1 + i), lang) for i in range(12) for lang in SYLLABLES]
+    centres = [{k: float(w) for k, w in enumerate(c) if w} for c in model.centroids]
+    for r in identified(docs_of(rows), model, "found").collect():
+        near = [cosine(plain_vector(r.text.encode(), model.idf), c) for c in centres]
+        best = max(range(len(near)), key=near.__getitem__)
+        size = min(int(math.log2(len(r.text.encode()))), L.CLASSES - 1)
+        assert r.found.lang_pred == model.labels[best] and abs(r.found.score - near[best]) < 1e-5
+        assert r.found.rejected == (near[best] < model.least[best, size])
+
+
+def test_a_column_with_the_name_used_inside(docs_of, model):
+    docs = docs_of({1: text("xx", 1, 30)}).selectExpr("*", "'mine' AS __letters")
+    row = identified(docs, model, "found").first()
+    assert row["__letters"] == "mine" and row.found.lang_pred == "xx"
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the given documents")
 def test_other_languages_and_gibberish_are_rejected(spark, docs_of):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = docs.where("doc_id % 5 = 0")
