@@ -145,12 +145,13 @@ def mixed(
     weigh ``weights`` in turn. ``size`` counts words (0 for a null text). ``source_size`` and
     ``target`` are sums over the document's sources. ``taken`` is the document's size times the
     number of its copies in the mix; a pattern's documents come whole, in the order of their seeded
-    digests, up to the one that brings their sum nearest to the flow. Rows alike in id and text
+    digests (of the id, of the text where that is null), up to the one that brings their sum nearest to the flow. Rows alike in id and text
     are equal in that order. No rows, no result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     names = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>"))))
-    digest = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), text_key("text").cast("string")))
+    digest = F.md5(F.concat_ws("/", F.lit(seed), name))
     sized = stored(
         docs.select("doc_id", text_key("text").alias("text_key"), size.alias("size"), names.alias("sources"), digest.alias("digest"))
     )
