@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billfold.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from billfold.llm.tables import reach_package, stored, text_key
+from billfold.llm.tables import free_names, reach_package, stored, text_key
 
 SHINGLE = 5  # words of a shingle in the near-duplicate stage
 
@@ -19,8 +19,9 @@ def _same(left: DataFrame, right: DataFrame):
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model is fitted on the labelled ones among them."""
     reach_package(spark)
-    found = language_id.identified(docs, language_id.fit(docs), "__found")
-    return found.where(~F.col("__found.rejected")).select(*docs.columns)
+    (out,) = free_names(docs, "found")
+    found = language_id.identified(docs, language_id.fit(docs), out)
+    return found.where(~F.col(f"{out}.rejected")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     )
     single = rest.join(repeated, _same(rest, repeated), "left_anti")
-    several = rest.join(repeated, _same(rest, repeated), "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(several)
+    several = rest.join(repeated, _same(rest, repeated), "left_semi")
+    digest = F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}))
+    one = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*docs.columns), digest).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,17 +60,23 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents it takes, with their words, their source's and what it takes of them."""
+    """The mix: documents it takes, with their words, their source's and what it takes of them.
+
+    A column that has one of these names already stays, the mix's own is ``__mix_<name>`` then.
+    """
     reach_package(spark)
-    mix = mixing.mixed(docs.withColumn("__sources", F.array("source")), "__sources")
+    (sources,) = free_names(docs, "sources")
+    mix = mixing.mixed(docs.withColumn(sources, F.array("source")), sources)
     taken = mix.where("taken > 0").groupBy("doc_id", "text_key").agg(
         F.first("size").alias("size"),
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.max("taken").alias("taken"),
     )
-    added = [c for c in ("size", "source_size", "target", "taken") if c not in docs.columns]
-    return docs.join(taken, _same(docs, taken)).select(*(docs[c] for c in docs.columns), *(taken[c] for c in added))
+    added = ("size", "source_size", "target", "taken")
+    mine = [c if c not in docs.columns else free_names(docs, f"mix_{c}")[0] for c in added]
+    columns = [taken[c].alias(name) for c, name in zip(added, mine, strict=True)]
+    return docs.join(taken, _same(docs, taken)).select(*(docs[c] for c in docs.columns), *columns)
 
 
 STAGES = [
