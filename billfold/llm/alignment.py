@@ -1,7 +1,8 @@
 """Tokens of two tokenizers over the same bytes, matched where both end.
 
-The cumulative byte ends of both encodings of a text are keys of two dictionaries, end to index;
-the keys they have in common, sorted, cut both id lists into groups. Inside a group an A and a B token are
+The cumulative byte ends of both encodings of a text are keys of two dictionaries, end to index
+(ends are small whole numbers, so a dictionary is an array addressed by them);
+the keys they have in common, in order, cut both id lists into groups. Inside a group an A and a B token are
 linked where their bytes overlap: every stretch between neighbouring ends of either kind is one
 link. How often each pair of ids is linked is counted over the whole corpus: a block of texts
 sends each of its pairs once with its count, and gets the corpus counts of these back.
@@ -14,10 +15,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,7 @@ from pyspark.sql import functions as F
 from billfold.llm import words as W
 from billfold.llm.tables import stored
 
-BLOCK = 6 << 20  # bytes of texts whose pairs are sent together
-WINDOW = 1 << 20  # bytes of a text whose ends are in the dictionaries at once
+BLOCK = 3 << 20  # bytes of texts whose pairs are sent together
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # how byte-level tokenizers cut
 #: Characters whose classes no version of Unicode has changed: here two libraries read the pattern alike.
 _STABLE = re.compile("[\x00-\u024f\u2000-\u206f]*")
@@ -50,13 +51,7 @@ class ByteLevel:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.library.encode_special_tokens = True
+        self.path = path
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model, cutter, symbols = spec["model"], spec.get("pre_tokenizer") or {}, _byte_symbols()
         vocabulary = {token: bytes(symbols[c] for c in token) for token in model["vocab"]}
@@ -72,10 +67,21 @@ class ByteLevel:
 
             self.quick = tiktoken.Encoding("byte level", pat_str=_PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes)}, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    @cached_property
+    def library(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        out.encode_special_tokens = True
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
         if self.quick and len(text) <= _FAST and _STABLE.fullmatch(text):
-            return self.quick.encode_ordinary(text)
-        return self.library.encode(text, add_special_tokens=False).ids
+            return self.quick.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Pieces:
@@ -94,26 +100,40 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def common_ends(a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """How many tokens of either side lie before each common end; the ends are rising, and the last is common."""
-    cuts_a, cuts_b = [], []
-    upto = 0
-    at_a = at_b = 0
-    while at_a < len(a):
-        upto += window
-        to_a, to_b = int(np.searchsorted(a, upto, "right")), int(np.searchsorted(b, upto, "right"))
-        index_a = dict(zip(a[at_a:to_a].tolist(), range(at_a + 1, to_a + 1), strict=True))
-        index_b = dict(zip(b[at_b:to_b].tolist(), range(at_b + 1, to_b + 1), strict=True))
-        common = sorted(index_a.keys() & index_b.keys())
-        cuts_a.extend(map(index_a.__getitem__, common))
-        cuts_b.extend(map(index_b.__getitem__, common))
-        at_a, at_b = to_a, to_b
-    return np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
-
-
-def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token indices of each A-B pair whose bytes overlap, in order of place: one for each stretch between ends."""
-    ends = np.union1d(a, b)
+class Spelling:
+    """The bytes of every id of a vocabulary, end to end."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def is_of(self, ids: np.ndarray, ends: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the ids' bytes, which end there, joined are the text's."""
+        if not len(ids) or ends[-1] != len(text):
+            return not len(ids) and not len(text)
+        sizes = self.sizes[ids]
+        moved = (self.starts[ids] - ends + sizes).astype(np.int32)
+        return bool((self.data[np.repeat(moved, sizes) + np.arange(len(text), dtype=np.int32)] == text).all())
+
+
+class EndIndex:
+    """The dictionary from a token's end to its number, from 1 on; 0 for what is no end."""
+
+    def __init__(self, ends: np.ndarray, size: int):
+        self.number = np.zeros(size + 1, np.int32)
+        self.number[ends] = np.arange(1, len(ends) + 1, dtype=np.int32)
+
+    def common(self, other: EndIndex) -> np.ndarray:
+        """The keys of both, in order."""
+        return np.flatnonzero((self.number > 0) & (other.number > 0))
+
+    def either(self, other: EndIndex) -> np.ndarray:
+        return np.flatnonzero(self.number | other.number)
+
+
+def links(a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token indices of each A-B pair whose bytes overlap, in order of place: one for each stretch between ``ends`` of either."""
     return np.searchsorted(a, ends), np.searchsorted(b, ends)
 
 
@@ -129,10 +149,8 @@ def _numerals(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.sizes_a = np.array([len(x) for x in self.a.bytes], np.int64)
-        self.sizes_b = np.array([len(x) for x in self.b.bytes], np.int64)
-        n = max(len(self.sizes_a), len(self.sizes_b))
-        self.digits, self.width = _numerals(n)
+        self.spell_a, self.spell_b = Spelling(self.a.bytes), Spelling(self.b.bytes)
+        self.digits, self.width = _numerals(max(len(self.a.bytes), len(self.b.bytes)))
         self.place = np.arange(self.digits.shape[1])
 
     def groups(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> bytes:
@@ -151,16 +169,17 @@ class Aligner:
 
     def __call__(self, text: str, b_ids: list[int]) -> tuple[int, int, int, str, np.ndarray] | None:
         """Tokens of A and B, groups, their digest and the links as ``A id * size of B + B id``; None if the bytes differ."""
-        whole = (" " + text).encode()
-        a_ids = self.a.encode(" " + text)
-        if b"".join(map(self.a.bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b.bytes.__getitem__, b_ids)) != whole:
+        whole = np.frombuffer((" " + text).encode(), np.uint8)
+        a, b = self.a.encode(" " + text), np.array(b_ids, np.uint32)
+        ends_a, ends_b = np.cumsum(self.spell_a.sizes[a]), np.cumsum(self.spell_b.sizes[b])
+        if not (self.spell_a.is_of(a, ends_a, whole) and self.spell_b.is_of(b, ends_b, whole)):
             return None
-        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        cut_a, cut_b = common_ends(ends_a, ends_b)
-        at_a, at_b = links(ends_a, ends_b)
+        index_a, index_b = EndIndex(ends_a, len(whole)), EndIndex(ends_b, len(whole))
+        common = index_a.common(index_b)
+        cut_a, cut_b = index_a.number[common], index_b.number[common]
+        at_a, at_b = links(ends_a, ends_b, index_a.either(index_b))
         digest = hashlib.sha256(self.groups(a, b, cut_a, cut_b)).hexdigest()
-        return len(a), len(b), len(cut_a), digest, a[at_a] * len(self.sizes_b) + b[at_b]
+        return len(a), len(b), len(common), digest, a[at_a].astype(np.int64) * len(self.b.bytes) + b[at_b]
 
 
 @lru_cache(maxsize=1)
@@ -180,7 +199,7 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 _BLOCKS = (
     "block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "digest array<string>, steps binary, pairs array<bigint>, n array<bigint>"
+    "digest array<string>, places binary, pairs array<bigint>, n array<bigint>"
 )
 _BLOCK_KINDS = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
 
@@ -188,7 +207,7 @@ _BLOCK_KINDS = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()),
 def _blocks(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
     """A row for each block of texts: its documents, the distinct pairs of ids linked in it, how often each is.
 
-    ``steps`` has, document by document, the places of its links' pairs among the block's, sorted, as differences.
+    ``places`` has, document by document, the places of its links' pairs among the block's.
     """
     names = [c.split()[0] for c in _BLOCKS.split(", ")]
 
@@ -197,13 +216,14 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
         aligned = [(i, *(f or none)) for i, f in found]
         of_docs = [f[-1] for f in aligned]
         n_links = np.array([len(x) for x in of_docs], np.int64)
-        pairs, place, n = np.unique(np.concatenate(of_docs), return_inverse=True, return_counts=True)
-        steps = []
-        for part in np.split(place, np.cumsum(n_links)[:-1]):
-            part = np.sort(part)
-            steps.append(np.diff(part, prepend=0))
+        seen, pairs = pd.factorize(np.concatenate(of_docs))
+        order = np.argsort(pairs)
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.arange(len(pairs))
+        place, pairs = rank[seen], pairs[order]
+        n = np.bincount(place, minlength=len(pairs))
         uid = int.from_bytes(os.urandom(8), "big") >> 1
-        columns = [uid, *([f[k] for f in aligned] for k in range(4)), n_links, [f[4] for f in aligned], _planes(np.concatenate(steps)), pairs, n]
+        columns = [uid, *([f[k] for f in aligned] for k in range(4)), n_links, [f[4] for f in aligned], _planes(place), pairs, n]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, _BLOCK_KINDS, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,10 +259,8 @@ def _summed(blocks: pa.Table, counts: pa.Table) -> pa.Table:
     total, best = counts["total"].to_numpy()[order], counts["best"].to_numpy()[order].astype(np.int64)
     n_links = np.array(row["n_links"], np.int64)
     ends = np.cumsum(n_links)
-    steps = _from_planes(row["steps"])
-    place = np.cumsum(steps)
+    place = _from_planes(row["places"])
     begins = ends - n_links
-    place -= np.repeat(np.where(begins > 0, place[begins - 1] if len(place) else 0, 0), n_links)
 
     def by_doc(values: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(values[place])])
@@ -272,7 +290,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Da
     highest = counts.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("highest"))
     counts = counts.withColumn("b_id", b_id).join(F.broadcast(highest), "b_id")
     answered = asked.join(counts.select("pair", "total", (F.col("total") == F.col("highest")).alias("best")), "pair").select("asker", "pair", "total", "best")
-    rows = found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "steps")
+    rows = found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "places")
     return rows.groupBy("block").cogroup(answered.groupBy("asker")).applyInArrow(_summed, _ALIGNED)
 
 

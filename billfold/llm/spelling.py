@@ -5,9 +5,10 @@ Until the edit both sides have read the same, so a pair of words lies below the
 their common beginning leads to; and if the edit falls into the first half, below the one of the
 reversed acceptor that their common end leads to. Pairs are therefore enumerated per start state:
 a partition holds the words alike in the first (or, reversed, the last) half of the shorter word's length,
-and no pair is in two of them. In a partition the acceptors of the shorter and of the longer
+and no pair is in two of them. The acceptors of a partition's shorter and longer
 words are minimised as they are built from the sorted words, and number their words, so that an
-accepting path of the composition is two numbers, however long the words are.
+accepting path of the composition is two numbers, however long the words are. Partitions of a task share
+the states of one acceptor, and with them what two states were found to accept both.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MODULUS = 97  # one occurrence in so many loses a code point
 MIN_LENGTH, MIN_COUNT = 5, 3
 BLOCK = 8 << 20  # bytes of texts whose words are counted at once
 FLUSH = 1 << 18  # distinct words a task holds before it hands their counts on
+STATES = 1 << 18  # states, and pairs of them, that an acceptor holds before the next partition gets a new one
+_DEEP = 200  # symbols; what longer strings have in common is walked, not kept
 _SHORT = 64  # bytes of the words that are hashed as arrays; longer ones are looked at one by one
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -82,7 +85,7 @@ def _count(data: np.ndarray, starts: np.ndarray, prefixes: list[bytes], counts:
     at = np.flatnonzero(first)
     if not len(at):
         return
-    letters = np.flatnonzero(letter)
+    letters = np.flatnonzero(letter).astype(np.int32)
     offset = np.searchsorted(letters, at)
     length = np.diff(offset, append=len(letters))
     row = np.searchsorted(starts, at, "right") - 1
@@ -94,9 +97,10 @@ def _count(data: np.ndarray, starts: np.ndarray, prefixes: list[bytes], counts:
         if len(word) >= MIN_LENGTH:
             counts[word] = counts.get(word, 0) + 1
 
-    back = np.minimum(np.repeat(offset + length, length) - 1 - np.arange(len(letters)), _SHORT - 1)
-    cell = (back << 8) + data[letters]
-    del back, letters
+    ends = np.repeat((offset + length - 1).astype(np.int32), length)
+    back = np.minimum(ends - np.arange(len(letters), dtype=np.int32), np.int32(_SHORT - 1))
+    cell = (back << np.int32(8)) + data[letters]
+    del back, letters, ends
     crc = np.bitwise_xor.reduceat(_CRC.ravel()[cell], offset)
     key = np.bitwise_xor.reduceat(_TABULATED.ravel()[cell], offset)
     del cell
@@ -167,101 +171,162 @@ def _segments(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int,
 
 
 class Acceptor:
-    """The minimal acyclic acceptor of sorted strings, which numbers them in their order.
+    """A minimal acyclic acceptor of several sets of sorted strings, a start state each, which numbers a set's strings in order.
 
     ``arcs[state]`` leads from a symbol to the next state and to how many of the state's strings come
-    before those that go on with the symbol.
+    before those that go on with the symbol. Equal states are one, whichever set they came with, so
+    what two states have in common is worked out once.
     """
 
-    def __init__(self, strings: list[str]):
+    def __init__(self):
         self.final: list[bool] = []
         self.size: list[int] = []
+        self.height: list[int] = []  # symbols of the longest string
         self.arcs: list[dict[str, tuple[int, int]]] = []
-        register: dict[tuple, int] = {}
+        self._register: dict[tuple, int] = {}
+        self._common: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self._replaced: dict[int, list[tuple[int, int]]] = {}
+        self._inserted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def is_full(self) -> bool:
+        return len(self.final) + len(self._common) + len(self._inserted) > STATES
+
+    def _closed(self, final: bool, arcs: list[tuple[str, int]]) -> int:
+        key = (final, *arcs)
+        state = self._register.get(key)
+        if state is None:
+            state = self._register[key] = len(self.final)
+            before, numbered, height = int(final), {}, 0
+            for symbol, to in arcs:
+                numbered[symbol] = (to, before)
+                before += self.size[to]
+                height = max(height, self.height[to] + 1)
+            self.final.append(final)
+            self.size.append(before)
+            self.height.append(height)
+            self.arcs.append(numbered)
+        return state
+
+    def add(self, strings: list[str]) -> int:
+        """The start state of a set of strings, given in order without repeats."""
         path: list[list] = [[False, []]]  # the states of the last string: final, (symbol, state) so far
         last = ""
-
-        def closed(final: bool, arcs: list[tuple[str, int]]) -> int:
-            key = (final, *arcs)
-            state = register.get(key)
-            if state is None:
-                state = register[key] = len(self.final)
-                before, numbered = int(final), {}
-                for symbol, to in arcs:
-                    numbered[symbol] = (to, before)
-                    before += self.size[to]
-                self.final.append(final)
-                self.size.append(before)
-                self.arcs.append(numbered)
-            return state
-
-        def close_to(depth: int) -> None:
-            while len(path) > depth + 1:
-                state = closed(*path.pop())
-                path[-1][1].append((last[len(path) - 1], state))
-
-        for string in strings:
+        for string in [*strings, ""]:
             same, limit = 0, min(len(last), len(string))
             while same < limit and last[same] == string[same]:
                 same += 1
-            close_to(same)
+            while len(path) > same + 1:
+                state = self._closed(*path.pop())
+                path[-1][1].append((last[len(path) - 1], state))
             path.extend([False, []] for _ in string[same:])
-            path[-1][0] = True
+            if string or (strings and not strings[0]):
+                path[-1][0] = True
             last = string
-        close_to(0)
-        self.start = closed(*path[0])
-
-
-def _in_both(a: Acceptor, s: int, i: int, b: Acceptor, t: int, j: int, not_first: str = "") -> Iterator[tuple[int, int]]:
-    """Numbers of the strings that both states accept, counted on from i and j; none that begins with ``not_first``."""
-    waiting = [(s, i, t, j, not_first)]
-    while waiting:
-        s, i, t, j, barred = waiting.pop()
-        if a.final[s] and b.final[t]:
-            yield i, j
-        mine, other = a.arcs[s], b.arcs[t]
-        if len(mine) <= len(other):
-            for symbol, (to, n) in mine.items():
-                if symbol in other and symbol != barred:
-                    there, m = other[symbol]
-                    waiting.append((to, i + n, there, j + m, ""))
-        else:
-            for symbol, (there, m) in other.items():
-                if symbol in mine and symbol != barred:
-                    to, n = mine[symbol]
-                    waiting.append((to, i + n, there, j + m, ""))
-
-
-def replaced(a: Acceptor) -> Iterator[tuple[int, int]]:
-    """Numbers of the pairs of strings that differ in one symbol, each pair once."""
-    waiting = [(a.start, 0)]
-    while waiting:
-        state, i = waiting.pop()
-        arcs = list(a.arcs[state].values())
-        for place, (to, n) in enumerate(arcs):
-            if a.size[to] > 1:
-                waiting.append((to, i + n))
-            for there, m in arcs[place + 1 :]:
-                yield from _in_both(a, to, i + n, a, there, i + m)
-
-
-def inserted(long: Acceptor, short: Acceptor) -> Iterator[tuple[int, int]]:
-    """Numbers of the pairs in which the long string is the short one and one symbol more, each pair once.
-
-    The symbol counts as inserted at the end of what the two have in common, so it is not followed by itself.
-    """
-    waiting = [(long.start, 0, short.start, 0)]
-    while waiting:
-        s, i, t, j = waiting.pop()
-        other = short.arcs[t]
-        for symbol, (to, n) in long.arcs[s].items():
-            yield from _in_both(long, to, i + n, short, t, j, symbol)
-            if symbol in other:
-                there, m = other[symbol]
+        return self._closed(*path[0])
+
+    def common(self, s: int, t: int) -> list[tuple[int, int]]:
+        """The numbers, in either state, of the strings that both accept."""
+        if min(self.height[s], self.height[t]) > _DEEP:
+            return list(self._walk(s, t))
+        found = self._common.get((s, t))
+        if found is None:
+            if s == t:
+                found = [(k, k) for k in range(self.size[s])]
+            else:
+                found = [(0, 0)] if self.final[s] and self.final[t] else []
+                mine, other = self.arcs[s], self.arcs[t]
+                for symbol in mine.keys() & other.keys():
+                    (to, n), (there, m) = mine[symbol], other[symbol]
+                    found.extend((i + n, j + m) for i, j in self.common(to, there))
+            self._common[s, t] = found
+        return found
+
+    def _walk(self, s: int, t: int) -> Iterator[tuple[int, int]]:
+        """The same for strings of any length, nothing kept."""
+        waiting = [(s, 0, t, 0)]
+        while waiting:
+            s, i, t, j = waiting.pop()
+            if self.final[s] and self.final[t]:
+                yield i, j
+            mine, other = self.arcs[s], self.arcs[t]
+            for symbol in mine.keys() & other.keys():
+                (to, n), (there, m) = mine[symbol], other[symbol]
                 waiting.append((to, i + n, there, j + m))
 
+    def replaced(self, start: int) -> Iterator[tuple[int, int]]:
+        """Numbers of the pairs of a set's strings that differ in one symbol, each pair once."""
+        waiting = [(start, 0)]
+        while waiting:
+            state, base = waiting.pop()
+            if self.height[state] <= _DEEP:
+                for i, j in self._replaced_in(state):
+                    yield base + i, base + j
+                continue
+            arcs = list(self.arcs[state].values())
+            for place, (to, n) in enumerate(arcs):
+                if self.size[to] > 1:
+                    waiting.append((to, base + n))
+                for there, m in arcs[place + 1 :]:
+                    for i, j in self.common(to, there):
+                        yield base + n + i, base + m + j
+
+    def _replaced_in(self, state: int) -> list[tuple[int, int]]:
+        found = self._replaced.get(state)
+        if found is None:
+            found = self._replaced[state] = []
+            arcs = list(self.arcs[state].values())
+            for place, (to, n) in enumerate(arcs):
+                if self.size[to] > 1:
+                    found.extend((i + n, j + n) for i, j in self._replaced_in(to))
+                for there, m in arcs[place + 1 :]:
+                    found.extend((i + n, j + m) for i, j in self.common(to, there))
+        return found
+
+    def inserted(self, long: int, short: int) -> Iterator[tuple[int, int]]:
+        """Numbers of the pairs in which a string of the first set is one of the second and one symbol more, each pair once.
+
+        The symbol counts as inserted at the end of what the two have in common, so it is not followed by itself.
+        """
+        waiting = [(long, 0, short, 0)]
+        while waiting:
+            s, i, t, j = waiting.pop()
+            if min(self.height[s], self.height[t]) <= _DEEP:
+                for x, y in self._inserted_in(s, t):
+                    yield i + x, j + y
+                continue
+            other = self.arcs[t]
+            for symbol, (to, n) in self.arcs[s].items():
+                for x, y in self._inserted_here(symbol, to, t):
+                    yield i + n + x, j + y
+                if symbol in other:
+                    there, m = other[symbol]
+                    waiting.append((to, i + n, there, j + m))
+
+    def _inserted_here(self, symbol: str, to: int, t: int) -> Iterator[tuple[int, int]]:
+        """The strings behind the symbol that ``t`` has too, without those that begin with it once more."""
+        if self.final[to] and self.final[t]:
+            yield 0, 0
+        further, other = self.arcs[to], self.arcs[t]
+        for after in further.keys() & other.keys():
+            if after != symbol:
+                (a, k), (b, m) = further[after], other[after]
+                for x, y in self.common(a, b):
+                    yield k + x, m + y
+
+    def _inserted_in(self, s: int, t: int) -> list[tuple[int, int]]:
+        found = self._inserted.get((s, t))
+        if found is None:
+            found = self._inserted[s, t] = []
+            other = self.arcs[t]
+            for symbol, (to, n) in self.arcs[s].items():
+                found.extend((n + x, y) for x, y in self._inserted_here(symbol, to, t))
+                if symbol in other:
+                    there, m = other[symbol]
+                    found.extend((n + x, m + y) for x, y in self._inserted_in(to, there))
+        return found
+
 
-def _near(length: int, reverse: bool, group: list[tuple[str, int]]) -> Iterator[tuple[str, int, int, str]]:
+def _near(acceptor: Acceptor, length: int, reverse: bool, group: list[tuple[str, int]]) -> Iterator[tuple[str, int, int, str]]:
     """``(word, number of near words, n of the commonest, the commonest)`` from the pairs of a partition."""
     half = length // 2
     both = []
@@ -270,7 +335,7 @@ def _near(length: int, reverse: bool, group: list[tuple[str, int]]) -> Iterator[
         both.append(sorted(words))
     if not both[0]:
         return
-    short, long = (Acceptor([s for s, _, _ in words]) for words in both)
+    short, long = (acceptor.add([s for s, _, _ in words]) for words in both)
     found: dict[str, list] = {}
 
     def note(word: str, near: str, n: int) -> None:
@@ -282,7 +347,7 @@ def _near(length: int, reverse: bool, group: list[tuple[str, int]]) -> Iterator[
             if (-n, near) < (mine[1], mine[2]):
                 mine[1:] = -n, near
 
-    for pairs, left in ((replaced(short), both[0]), (inserted(long, short), both[1])):
+    for pairs, left in ((acceptor.replaced(short), both[0]), (acceptor.inserted(long, short), both[1])):
         for i, j in pairs:
             (_, x, n), (_, y, m) = left[i], both[0][j]
             if reverse and x[:half] == y[:half]:
@@ -323,10 +388,13 @@ def near_words(words: DataFrame) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "n_near", "near_n", "near"])
 
+        acceptor = Acceptor()
         for (length, reverse, _), group in groupby(rows(batches), key=lambda r: r[:3]):
             members = [(r[3], r[4]) for r in group]
             if len(members) > 1:
-                out.extend(_near(length, reverse, members))
+                if acceptor.is_full():
+                    acceptor = Acceptor()
+                out.extend(_near(acceptor, length, reverse, members))
             if len(out) >= 1 << 14:
                 yield batch()
         if out:

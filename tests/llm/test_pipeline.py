@@ -54,3 +54,20 @@ def test_documents_without_an_id_are_not_lost(spark, docs_of):
     assert Counter(r.doc_id for r in left) == Counter({None: 2, 1: 1, 2: 2})
     texts = {r.text for r in left if r.doc_id is None}
     assert alone in texts and len(texts & {twice, twice + " x"}) == 1
+
+
+def test_of_repeated_rows_one_stays_whatever_their_order(spark, docs_of):
+    text = prose(400, 70, 5000)
+    rows = [(1, text, "en", "z"), (1, text, "en", "a"), (1, text, None, "a"), (2, prose(401, 70, 5000), "en", "b")]
+    left = []
+    for order in ((0, 1, 2, 3), (3, 2, 1, 0), (1, 0, 3, 2)):
+        docs = docs_of([rows[i] for i in order])
+        left.append(sorted(map(str, P.one_of_each(spark, docs.repartition(3), "").collect())))
+    assert left[0] == left[1] == left[2] and len(left[0]) == 2
+
+
+def test_the_mix_has_names_of_its_own(spark, docs_of):
+    docs = docs_of([(i, prose(500 + i, 20), "en", "ab"[i % 2]) for i in range(10)]).selectExpr("*", "'t' AS target", "1 AS __mix_size", "2 AS __sources")
+    mix = P.to_target_weights(spark, docs, "")
+    assert mix.columns == [*docs.columns, "__mix_size_", "source_size", "__mix_target", "taken"]
+    assert {(r.size, r.target, r["__mix_size"], r["__sources"], r["__mix_size_"]) for r in mix.collect()} == {("size", "t", 1, 2, 20)}

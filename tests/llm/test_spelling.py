@@ -5,10 +5,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 from conftest import prose
 
 from billfold.llm import spelling
-from billfold.llm.spelling import Acceptor, inserted, near_words, replaced, spelling_variants, vocabulary
+from billfold.llm.spelling import Acceptor, near_words, spelling_variants, vocabulary
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -68,8 +69,10 @@ def test_acceptor_is_minimal_and_numbers_its_strings():
     rng = random.Random(3)
     for _ in range(50):
         words = strings(rng, 40, 7)
-        a = Acceptor(words)
-        listed, waiting = {}, [(a.start, 0, "")]
+        a = Acceptor()
+        start = a.add(words)
+        assert a.add(words) == start
+        listed, waiting = {}, [(start, 0, "")]
         while waiting:
             s, i, w = waiting.pop()
             if a.final[s]:
@@ -81,17 +84,19 @@ def test_acceptor_is_minimal_and_numbers_its_strings():
         assert len(a.final) == len(rights)  # one state for each set of continuations
 
 
-def test_compositions_give_each_pair_once():
+@pytest.mark.parametrize("deep", [200, 2])
+def test_compositions_give_each_pair_once(monkeypatch, deep):
+    monkeypatch.setattr(spelling, "_DEEP", deep)
     rng = random.Random(5)
+    a = Acceptor()
     for _ in range(100):
         words = strings(rng, 30, 6)
-        a = Acceptor(words)
-        got = [frozenset((words[i], words[j])) for i, j in replaced(a)]
+        got = [frozenset((words[i], words[j])) for i, j in a.replaced(a.add(words))]
         want = {frozenset(p) for p in combinations(words, 2) if len(p[0]) == len(p[1]) and is_near(*p)}
         assert len(got) == len(set(got)) and set(got) == want
         size = rng.randrange(1, 5)
         short, long = [w for w in words if len(w) == size], [w for w in words if len(w) == size + 1]
-        pairs = [(long[i], short[j]) for i, j in inserted(Acceptor(long), Acceptor(short))]
+        pairs = [(long[i], short[j]) for i, j in a.inserted(a.add(long), a.add(short))]
         assert len(pairs) == len(set(pairs)) and set(pairs) == {(x, y) for x in long for y in short if is_near(x, y)}
 
 
