@@ -197,50 +197,59 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-_BLOCKS = (
-    "block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "digest array<string>, places binary, pairs array<bigint>, n array<bigint>"
-)
-_BLOCK_KINDS = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), pa.binary(), *[pa.list_(pa.int64())] * 2]
+_DOCS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, digest string, places binary"
+_BLOCKS = f"block bigint, {_DOCS}, pair bigint, n bigint"
+_NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
+_KINDS = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in _BLOCKS.split(", ")]
+_DOC_ROWS, _PAIR_ROWS = 256, 1 << 16  # handed back to Spark at once
+
+
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(rows, k) for c, k in zip(_NAMES, _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
-    """A row for each block of texts: its documents, the distinct pairs of ids linked in it, how often each is.
+    """Two kinds of rows of each block of texts: its documents, and the distinct pairs of ids linked in it with their counts.
 
-    ``places`` has, document by document, the places of its links' pairs among the block's.
+    ``places`` has the places of a document's links among the block's pairs, sorted, as differences.
     """
-    names = [c.split()[0] for c in _BLOCKS.split(", ")]
-
-    def row(found: list[tuple[int | None, tuple | None]]) -> pa.RecordBatch:
-        none = (0, 0, 0, "", np.zeros(0, np.int64))
-        aligned = [(i, *(f or none)) for i, f in found]
-        of_docs = [f[-1] for f in aligned]
-        n_links = np.array([len(x) for x in of_docs], np.int64)
-        seen, pairs = pd.factorize(np.concatenate(of_docs))
+
+    def rows(found: list[tuple[int | None, tuple | None]]) -> Iterator[pa.RecordBatch]:
+        uid = int.from_bytes(os.urandom(8), "big") >> 1
+        aligned = [(i, *(f or (0, 0, 0, "", np.zeros(0, np.int64)))) for i, f in found]
+        n_links = np.array([len(f[-1]) for f in aligned], np.int64)
+        seen, pairs = pd.factorize(np.concatenate([f[-1] for f in aligned]))
         order = np.argsort(pairs)
-        rank = np.empty(len(pairs), np.int64)
-        rank[order] = np.arange(len(pairs))
+        rank = np.empty(len(pairs), np.int32)
+        rank[order] = np.arange(len(pairs), dtype=np.int32)
         place, pairs = rank[seen], pairs[order]
+        del seen
         n = np.bincount(place, minlength=len(pairs))
-        uid = int.from_bytes(os.urandom(8), "big") >> 1
-        columns = [uid, *([f[k] for f in aligned] for k in range(4)), n_links, [f[4] for f in aligned], _planes(place), pairs, n]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, _BLOCK_KINDS, strict=True)], names)
+        steps = [_planes(np.diff(np.sort(p), prepend=np.int32(0))) for p in np.split(place, np.cumsum(n_links)[:-1])]
+        for at in range(0, len(aligned), _DOC_ROWS):
+            part = slice(at, at + _DOC_ROWS)
+            columns = {c: [f[k] for f in aligned[part]] for k, c in enumerate(("doc_id", "n_a", "n_b", "n_groups", "digest"))}
+            size = len(columns["doc_id"])
+            yield _batch(size, block=[uid] * size, **columns, n_links=n_links[part], places=steps[part])
+        for at in range(0, len(pairs), _PAIR_ROWS):
+            part = pairs[at : at + _PAIR_ROWS]
+            yield _batch(len(part), block=np.full(len(part), uid), pair=part, n=n[at : at + _PAIR_ROWS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(a_path, b_path)
         waiting: list[tuple[int | None, tuple | None]] = []
         size = 0
-        for batch in batches:
-            for part in W.sliced(iter([batch]), "text", size=1 << 18):
-                texts = [t or "" for t in part["text"].to_pylist()]
-                for doc_id, text, b_ids in zip(part["doc_id"].to_pylist(), texts, align.b.encode(texts), strict=True):
-                    waiting.append((doc_id, align(text, b_ids) if text else None))
-                    size += len(text)
-                    if size >= block:
-                        yield row(waiting)
-                        waiting, size = [], 0
+        for part in W.sliced(batches, "text", size=1 << 18):
+            texts = [t or "" for t in part["text"].to_pylist()]
+            for doc_id, text, b_ids in zip(part["doc_id"].to_pylist(), texts, align.b.encode(texts), strict=True):
+                waiting.append((doc_id, align(text, b_ids) if text else None))
+                size += len(text)
+                if size >= block:
+                    yield from rows(waiting)
+                    waiting, size = [], 0
         if waiting:
-            yield row(waiting)
+            yield from rows(waiting)
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCKS)
 
@@ -248,26 +257,18 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str, block: int) -> DataFrame:
 _ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
-def _summed(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+def _summed(docs: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of a block, with the corpus counts of its pairs in the pairs' order."""
     names = [c.split()[0] for c in _ALIGNED.split(", ")]
     kinds = [*[pa.int64()] * 7, pa.string()]
-    if not blocks.num_rows:
+    if not docs.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names)
-    row = blocks.to_pylist()[0]
     order = np.argsort(counts["pair"].to_numpy())
     total, best = counts["total"].to_numpy()[order], counts["best"].to_numpy()[order].astype(np.int64)
-    n_links = np.array(row["n_links"], np.int64)
-    ends = np.cumsum(n_links)
-    place = _from_planes(row["places"])
-    begins = ends - n_links
-
-    def by_doc(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(values[place])])
-        return sums[ends] - sums[begins]
-
-    columns = [*(row[c] for c in ("doc_id", "n_a", "n_b", "n_groups")), n_links, by_doc(best), by_doc(total), row["digest"]]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    places = [np.cumsum(_from_planes(p)) for p in docs["places"].to_pylist()]
+    sums = [np.array([values[p].sum() for p in places], np.int64) for values in (best, total)]
+    columns = [*(docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, docs["digest"]]
+    return pa.table([c.cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> DataFrame:
@@ -284,13 +285,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Da
     as B has ids, and only these are broadcast. Memory: a block's links and one text's tokens.
     """
     found = stored(_blocks(docs, a_path, b_path, block))
-    asked = found.select("block", F.explode(F.arrays_zip("pairs", "n")).alias("p")).select(F.col("block").alias("asker"), F.col("p.pairs").alias("pair"), "p.n")
+    asked = found.where(F.col("pair").isNotNull()).select(F.col("block").alias("asker"), "pair", "n")
     counts = stored(asked.groupBy("pair").agg(F.sum("n").alias("total")))
     b_id = F.pmod("pair", F.lit(b_size(b_path)))
     highest = counts.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("highest"))
     counts = counts.withColumn("b_id", b_id).join(F.broadcast(highest), "b_id")
     answered = asked.join(counts.select("pair", "total", (F.col("total") == F.col("highest")).alias("best")), "pair").select("asker", "pair", "total", "best")
-    rows = found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "places")
+    rows = found.where(F.col("pair").isNull()).drop("pair", "n")
     return rows.groupBy("block").cogroup(answered.groupBy("asker")).applyInArrow(_summed, _ALIGNED)
 
 
@@ -302,7 +303,7 @@ def b_size(path: str) -> int:
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> DataFrame:
     """``(a_id, b_id, n)``: how often each pair of ids is linked in all texts."""
     size = F.lit(b_size(b_path))
-    asked = stored(_blocks(docs, a_path, b_path, block).select("pairs", "n")).select(F.explode(F.arrays_zip("pairs", "n")).alias("p"))
-    counts = asked.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.n").alias("n"))
+    asked = _blocks(docs, a_path, b_path, block).where(F.col("pair").isNotNull())
+    counts = asked.groupBy("pair").agg(F.sum("n").alias("n"))
     return counts.select(F.floor(F.col("pair") / size).alias("a_id"), F.pmod("pair", size).alias("b_id"), "n")
 
