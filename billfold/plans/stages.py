@@ -6,20 +6,22 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
-from billfold.functions.text import table_rows
+from billfold.functions.text import is_blank, table_rows
 from billfold.operators import layout, tables
 from billfold.operators.cleaning import CLEANED_SCHEMA, clean_rows, split_summary
 from billfold.operators.fields import invoice_records, row_counts, stamp_rows, with_fields
 from billfold.operators.merge import evolve_schema, skip_seen
 from billfold.operators.reconcile import reconcile, reconcile_cleaned
 from billfold.sources.files import failure_reason, is_unread, split_failures
-from billfold.sources.store import BillingStore, dump_text, export_json, export_tables
+from billfold.sources.commits import Conflict
+from billfold.sources.store import BillingStore, Transaction, dump_text, export_json, export_tables
 
 _ROW = ("invoice_number", "file_name", "row_number", "raw_text", "cols", "file_path")
 
@@ -97,30 +99,80 @@ def page_rows(words: DataFrame, cells: DataFrame) -> DataFrame:
     return grid.select(*columns).unionByName(lines.select(*columns))
 
 
-def first_pages(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """doc_id, page_num: the first page of each document that will give rows.
+def page_evidence(words: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, page_num, gives_rows, page_confidence, word_confidence of every page, from one pass over both.
 
-    Known before any line is put together: a page gives rows if it has a large enough
-    cell or a word that is not blank.
+    Known before any line is put together: a page gives rows if it has a large enough cell or a
+    word that is not blank. Its confidence is that of its cells, of its words where it has
+    none; ``word_confidence`` is the mean over all words, missing values as they are.
     """
-    kept = layout.keep_words(words)
+    confidence = F.col("conf").try_cast("double") if "conf" in words.columns else F.lit(K.DEFAULT_CONFIDENCE)
+    known = F.when(~F.isnan(confidence), confidence)
+    gives = ~is_blank(F.col("text"))
     if _reads_layout(words):
-        kept = kept.dropna(subset=list(layout.LAYOUT_KEYS))
-    pages = layout.keep_cells(cells).select(*_PAGE).unionByName(kept.select(*_PAGE))
-    return pages.groupBy("doc_id").agg(F.min("page_num").alias("page_num"))
+        gives = reduce(and_, (F.col(c).isNotNull() for c in layout.LAYOUT_KEYS), gives)
+    of_words = words.select(
+        *_PAGE, gives.alias("gives"), F.lit(False).alias("is_cell"), known.alias("conf"),
+        F.lit(None).cast("double").alias("cell_sum"), F.lit(None).cast("bigint").alias("cell_n"),
+    )
+    confs = F.col("confs") if "confs" in cells.columns else F.array().cast("array<double>")
+    read = F.filter(F.transform(confs, lambda c: c.try_cast("double")), lambda c: c.isNotNull() & ~F.isnan(c))
+    of_cells = layout.keep_cells(cells).select(
+        *_PAGE, F.lit(True).alias("gives"), F.lit(True).alias("is_cell"), F.lit(None).cast("double").alias("conf"),
+        F.aggregate(read, F.lit(0.0), lambda total, c: total + c).alias("cell_sum"),
+        F.greatest(F.size(read), F.lit(0)).cast("bigint").alias("cell_n"),
+    )
+    conf = F.col("conf")
+    pages = of_words.unionByName(of_cells).groupBy(*_PAGE).agg(
+        F.max("gives").alias("gives_rows"),
+        F.max("is_cell").alias("has_cells"),
+        F.avg(F.when(conf != K.NO_CONFIDENCE, conf) if "conf" in words.columns else conf).alias("line_confidence"),
+        F.avg(conf).alias("word_confidence"),
+        F.sum("cell_sum").alias("cell_sum"),
+        F.sum("cell_n").alias("cell_n"),
+    )
+    in_cells = F.when(F.col("cell_n") > 0, F.col("cell_sum") / F.col("cell_n"))
+    return pages.select(
+        *_PAGE, "gives_rows", F.when(F.col("has_cells"), in_cells).otherwise(F.col("line_confidence")).alias("page_confidence"),
+        "word_confidence",
+    )
 
 
-def page_confidences(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """doc_id, page_num, page_confidence: from the cells where a page has any, else the words."""
-    kept = layout.keep_cells(cells)
-    pages = kept.select(*_PAGE).distinct()
-    if "confs" not in cells.columns:
-        kept = kept.withColumn("confs", F.array().cast("array<double>"))
-    in_cells = layout.page_confidence(
-        kept.select(*_PAGE, F.explode_outer("confs").alias("conf")), drop_missing=False
+TABLES, PAGE, TEXT = 1, 2, 3  # where the rows of a PDF or image file come from, first come first
+
+
+def row_sources(docs: DataFrame, pages: PageInputs) -> DataFrame:
+    """``docs`` with ``source``, the page rows come from and the confidences, all worked out from counts.
+
+    PDF: rows of the text layer's tables; without any, the rows of the first page image
+    that has some; without any, rows parsed from the whole text. Image: rows of its one
+    page, else from the text. A document's confidence is the mean over the pages up to the one its rows come
+    from; where tables give the rows, no page is looked at.
+    """
+    tabled = pages.page_tables.where(F.size(tables.table_body()) > 0).select("doc_id").distinct()
+    first = F.min(F.when(F.col("gives_rows"), F.col("page_num"))).over(Window.partitionBy("doc_id"))
+    reached = F.col("first").isNull() | (F.col("page_num") <= F.col("first"))
+    evidence = (
+        page_evidence(pages.words, pages.cells)
+        .withColumn("first", first)
+        .groupBy("doc_id")
+        .agg(
+            F.first("first").alias("page_num"),
+            F.avg(F.when(reached, F.col("page_confidence"))).alias("read_confidence"),
+            F.avg("word_confidence").alias("word_confidence"),
+        )
+    )
+    by_table = F.col("tabled").isNotNull() & F.col("ext").isin(*K.PDF_EXTENSIONS)
+    source = F.when(by_table, TABLES).when(F.col("page_num").isNotNull(), PAGE).otherwise(TEXT)
+    read = F.when(F.col("source") != TABLES, F.col("read_confidence"))
+    of_words = F.when(F.col("ext").isin(*K.IMAGE_EXTENSIONS), F.col("word_confidence"))
+    return (
+        docs.join(tabled.withColumn("tabled", F.lit(True)), "doc_id", "left")
+        .join(evidence, "doc_id", "left")
+        .withColumn("source", source)
+        .withColumn("avg_confidence", F.coalesce(read, of_words))
+        .drop("tabled", "read_confidence", "word_confidence")
     )
-    on_lines = layout.page_confidence(words.join(pages, _PAGE, "left_anti"))
-    return in_cells.unionByName(on_lines)
 
 
 def _extract_pages(
@@ -128,57 +180,32 @@ def _extract_pages(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with text, count and confidence; their rows) of PDF and image files.
 
-    PDF: rows of the text layer's tables; without any, the rows of the first page image
-    that has some; without any, rows parsed from the whole text. Image: rows of its one
-    page, else from the text. Pages that cannot matter are dropped before their words
-    are put together.
+    One staged frame has, for each document, where its rows come from, its text and its
+    fields, and the rows parsed from the text where that is the source. Tables, words and cells are then
+    cut down to the documents and pages that were chosen before anything is put together.
     """
-    pdf = docs.where(F.col("ext").isin(*K.PDF_EXTENSIONS))
-    images = docs.where(F.col("ext").isin(*K.IMAGE_EXTENSIONS))
-    ids, pdf_ids, image_ids = (d.select("doc_id") for d in (docs, pdf, images))
-
-    of_tables = stage(tables.flatten_page_tables(pages.page_tables.join(pdf_ids, "doc_id", "left_semi")))
-    with_tables = of_tables.select("doc_id").distinct()
-    read = ids.join(with_tables, "doc_id", "left_anti")
-    words = pages.words.join(read, "doc_id", "left_semi")
-    cells = pages.cells.join(read, "doc_id", "left_semi")
-    first = stage(first_pages(words, cells))
-    of_pages = stage(
-        page_rows(pages.words.join(first, _PAGE, "left_semi"), pages.cells.join(first, _PAGE, "left_semi"))
-    )
-    reached = of_pages.select("doc_id", F.col("page_num").alias("__last")).distinct()
+    is_pdf = F.col("ext").isin(*K.PDF_EXTENSIONS)
+    placed = row_sources(docs.drop("text"), pages)
+    layer = tables.assemble_pages(pages.page_text)
+    with_layer = placed.join(layer, "doc_id", "left").withColumn("text", F.when(is_pdf, F.col("text")))
+    texts = tables.append_fallback_text(with_layer, pages.ocr_pages, F.col("source") == TABLES)
+    parsed = F.when(F.col("source") == TEXT, table_rows(F.col("text")))
+    read = stage(with_fields(texts).withColumn("text_rows", parsed))
 
-    base = pdf.drop("text").join(tables.assemble_pages(pages.page_text), "doc_id", "left")
-    pdf_text = tables.append_fallback_text(base, pages.ocr_pages, with_tables)
-    image_text = tables.append_fallback_text(
-        images.withColumn("text", F.lit("")), pages.ocr_pages, image_ids.limit(0)
-    )
-    texts = stage(with_fields(pdf_text.unionByName(image_text.select(*pdf_text.columns))))
+    def of_tables(own: DataFrame) -> DataFrame:
+        return tables.flatten_page_tables(pages.page_tables.join(own.select("doc_id"), "doc_id", "left_semi"))
 
-    columns = ("doc_id", "row_number", "raw_text", "cols")
-    without_rows = texts.select("doc_id", "text").join(
-        with_tables.unionByName(reached.select("doc_id")), "doc_id", "left_anti"
-    )
-    of_text = tables.document_rows(without_rows)
-    rows = reduce(DataFrame.unionByName, (df.select(*columns) for df in (of_tables, of_pages, of_text)))
+    def of_pages(own: DataFrame) -> DataFrame:
+        page = own.select(*_PAGE)
+        return page_rows(pages.words.join(page, _PAGE, "left_semi"), pages.cells.join(page, _PAGE, "left_semi"))
 
-    by_doc = (
-        page_confidences(words, cells)
-        .join(reached, "doc_id", "left")
-        .where(F.col("__last").isNull() | (F.col("page_num") <= F.col("__last")))
-        .groupBy("doc_id")
-        .agg(F.avg("page_confidence").alias("avg_confidence"))
-    )
-    all_words = layout.avg_confidence(
-        pages.words.join(image_ids, "doc_id", "left_semi"), drop_missing=False
-    ).withColumnRenamed("avg_confidence", "__all")
-    measured = (
-        texts.join(by_doc, "doc_id", "left")
-        .join(all_words, "doc_id", "left")
-        .withColumn("avg_confidence", F.coalesce("avg_confidence", "__all"))
-        .drop("__all")
-        .join(row_counts(texts, rows), "doc_id", "left")
-    )
+    def of_text(own: DataFrame) -> DataFrame:
+        return tables.numbered_rows(own, "text_rows", "doc_id")
+
+    columns = ("doc_id", "row_number", "raw_text", "cols")
+    sources = [lambda own, build=build: build(own).select(*columns) for build in (of_tables, of_pages, of_text)]
+    rows = stage(tables.choose_row_source(sources, read).drop("source"))
+    measured = read.drop("text_rows", "page_num", "source").join(row_counts(read, rows), "doc_id", "left")
     return measured, rows
 
 
@@ -259,10 +286,9 @@ def run_stages(
 
     Every stage reads what the one before has written, so a lost executor costs one
     task, a failed stage stops the rest, and a skipped stage uses the stored table.
-    Rows go in before invoices: the invoice is what marks a file as done, so a run that
-    breaks between the two does the file again. Cleaning and splitting take the batches that
-    are not cleaned or split yet, and the one just ingested; reconciliation takes the invoices that these
-    batches touch.
+    Each stage is one commit: what a run that breaks has written is not seen. Cleaning and
+    splitting take the batches that are newer than their results, and the one just ingested;
+    reconciliation takes the invoices that these batches touch or have touched before.
     """
     o = options or RunOptions()
     out: dict[str, DataFrame] = {}
@@ -277,18 +303,10 @@ def run_stages(
         if o.export_path:
             export_tables({n: out[n] for n in ("invoices", "rows")}, o.export_path, o.export_format)
     if not o.skip_clean:
-        store.ensure("rows", "cleaned")
-        if new := _pending(store, "rows", "cleaned", added):
-            store.write_batches("cleaned", clean_rows(store.read_batches("rows", new), "batch"))
-            added |= new
+        _clean_new(store, added)
         out["cleaned"] = store.read("cleaned")
     if not o.skip_post:
-        store.ensure("cleaned", "items", "totals", "verification")
-        if new := _pending(store, "cleaned", "reconciled", added):
-            items, totals = split_summary(store.read_batches("cleaned", new), "batch")
-            store.write_batches("items", items)
-            store.write_batches("totals", totals)
-            _reconcile_touched(store, new)
+        _postprocess_new(store, added)
         out["items"], out["totals"] = store.read("items"), store.read("totals")
         out["verification"] = store.read("verification")
         if o.json_path:
@@ -296,50 +314,113 @@ def run_stages(
     return out
 
 
+_ATTEMPTS = 5
+
+
+def _again(attempt: Callable[[], None]) -> None:
+    """Runs it once more, on the version that is there by then, where another run has got in between."""
+    for left in range(_ATTEMPTS - 1, -1, -1):
+        try:
+            return attempt()
+        except Conflict:
+            if not left:
+                raise
+
+
 def _pending(store: BillingStore, source: str, target: str, added: set[str]) -> set[str]:
-    """Batches of the source that the target lacks, or that this run has written."""
-    there = store.batches(source)
-    return (there - store.batches(target)) | (there & added)
+    """Batches of the source that the target has not or has from before, or that this run has written."""
+    there, done = store.versions_of_batches(source), store.versions_of_batches(target)
+    return {b for b, version in there.items() if b in added or b not in done or done[b] < version}
 
 
-def _reconcile_touched(store: BillingStore, batches: set[str]) -> None:
-    """Verification rows anew for the invoices of these batches; the others stay as they are.
+def _clean_new(store: BillingStore, added: set[str]) -> None:
+    def attempt() -> None:
+        if new := _pending(store, "rows", "cleaned", added):
+            with store.transaction() as changes:
+                changes.write_batches("cleaned", clean_rows(changes.read_batches("rows", new), "batch"), new)
+            added.update(new)
+
+    _again(attempt)
+
 
-    The batches are marked as done last: a run that breaks before takes them again.
+def _postprocess_new(store: BillingStore, added: set[str]) -> None:
+    """Items, totals and verification of the new batches, in one commit.
+
+    The invoices whose verification is worked out anew are those the batches have rows of, and those they
+    had rows of before: a batch that was run again may have lost some.
     """
-    touched = store.stage(
-        store.read_batches("items", batches)
-        .select("invoice_number")
-        .unionByName(store.read_batches("totals", batches).select("invoice_number"))
-        .where(F.col("invoice_number").isNotNull())
-        .distinct()
-    )
-    items, totals = (store.read(n).join(touched, "invoice_number", "left_semi") for n in ("items", "totals"))
-    others = store.read("verification").join(touched, "invoice_number", "left_anti")
-    store.replace("verification", others.unionByName(reconcile(items, totals)))
-    store.write_batches("reconciled", store.spark.createDataFrame([(True, b) for b in sorted(batches)], "done boolean, batch string"))
-    store.drop_staged()
+
+    def attempt() -> None:
+        new = _pending(store, "cleaned", "items", added)
+        if not new:
+            return
+        with store.transaction() as changes:
+            first = not changes.state.parts("verification")
+            rows = changes.read_batches("cleaned", new)
+            items, totals = split_summary(rows, "batch")
+            changes.write_batches("items", items, new)
+            changes.write_batches("totals", totals, new)
+            buckets = store.verification_buckets(changes.state)
+            changes.set(verification_buckets=buckets)
+            if first and new >= store.batches("items") | store.batches("cleaned"):
+                verified, touched = reconcile_cleaned(rows), {str(b) for b in range(buckets)}
+            else:
+                verified, touched = _verified_anew(store, changes, new, buckets, first)
+            bucketed = verified.withColumn("batch", bucket_of(buckets)).hint("rebalance", "batch")
+            changes.write_batches("verification", bucketed, touched)
+        store.drop_staged()
+
+    _again(attempt)
+
+
+def bucket_of(buckets: int) -> Column:
+    """The bucket of the verification that an invoice number lies in."""
+    return F.pmod(F.xxhash64("invoice_number"), F.lit(buckets)).cast("string")
+
+
+def _verified_anew(
+    store: BillingStore, changes: Transaction, batches: set[str], buckets: int, everything: bool
+) -> tuple[DataFrame, set[str]]:
+    """The whole contents of those buckets of the verification that the batches touch, and the buckets.
+
+    Only the touched buckets are read and written; the driver learns their numbers.
+    """
+    if everything:
+        verified = reconcile(changes.read("items"), changes.read("totals"))
+        return verified, {str(b) for b in range(buckets)}
+    sides = [changes.read_batches(n, batches, before) for n in ("items", "totals") for before in (True, False)]
+    numbers = reduce(DataFrame.unionByName, (s.select("invoice_number") for s in sides))
+    touched = store.stage(numbers.where(F.col("invoice_number").isNotNull()).distinct().withColumn("bucket", bucket_of(buckets)))
+    of = {r.bucket for r in touched.select("bucket").distinct().collect()}
+    touched = touched.select("invoice_number")
+    items, totals = (changes.read(n).join(touched, "invoice_number", "left_semi") for n in ("items", "totals"))
+    others = changes.read_batches("verification", of).drop("batch").join(touched, "invoice_number", "left_anti")
+    return others.unionByName(reconcile(items, totals)), of
 
 
 def ingest(
     store: BillingStore, docs: DataFrame, pages: PageInputs | None = None, options: RunOptions | None = None
 ) -> None:
-    """Adds one batch of documents to the stored invoices, rows and failures.
+    """Adds one batch of documents to the stored invoices, rows and failures, in one commit.
 
     The documents are staged first, with hash and text but without their bytes: files are
     read once, and the check against the stored hashes reads a column of the staged table.
     """
     o = options or RunOptions()
     batch = o.batch or uuid.uuid4().hex
-    store.ensure("invoices", "rows", "failures")
-    known = store.read("invoices", without_batch=batch)
     docs = store.stage(docs)
-    fresh = skip_seen(docs, known, o.force or known.isEmpty())
-    found = extract(fresh, pages, o.min_confidence, o.run_ts, store.stage)
-    if o.debug_path:
-        dump_text(found.texts, o.debug_path, batch)
-    rows = found.rows.withColumn("raw_text", tables.raw_text_or_cells(F.col("raw_text"), F.col("cols")))
-    store.add_ignore("rows", rows, batch)
-    store.add_ignore("failures", found.failures, batch)
-    store.add_ignore("invoices", found.invoices, batch)
+
+    def attempt() -> None:
+        with store.transaction() as changes:
+            known = changes.read("invoices", without_batch=batch)
+            fresh = skip_seen(docs, known, o.force or known.isEmpty())
+            found = extract(fresh, pages, o.min_confidence, o.run_ts, store.stage)
+            if o.debug_path:
+                dump_text(found.texts, o.debug_path, batch)
+            rows = found.rows.withColumn("raw_text", tables.raw_text_or_cells(F.col("raw_text"), F.col("cols")))
+            changes.add_ignore("rows", rows, batch)
+            changes.add_ignore("failures", found.failures, batch)
+            changes.add_ignore("invoices", found.invoices, batch)
+
+    _again(attempt)
     store.drop_staged()

@@ -10,6 +10,7 @@ from billfold.functions.text import is_blank
 
 # Largest file read into one row; Spark's own limit for binary values is 2 GB.
 MAX_FILE_BYTES = 2**31 - 1024
+SPLIT_LINES = 1 << 14  # of a part of a file that is read in parts
 FAILURE_COLUMNS = ("file", "error")
 
 
@@ -76,6 +77,31 @@ def read_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of any size in parts of whole lines: the file columns, split_no, text.
+
+    Spark reads a large file in blocks; the lines of a block, at most ``SPLIT_LINES`` at a time, are a
+    part, told by where the block begins. A file whose lines are not all valid UTF-8 is Latin-1 as a
+    whole. Lines end in a line feed; what else ends lines stays inside them.
+    """
+    line, at = F.col("value"), F.monotonically_increasing_id()
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), at.alias("at")
+    )
+    is_utf8 = lines.groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"))
+    decoded = F.when(F.col("is_utf8"), line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1"))
+    part = F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) / SPLIT_LINES)
+    placed = F.array_sort(F.collect_list(F.struct("at", "line")))
+    text = F.array_join(F.transform(placed, lambda x: x["line"]), "\n")
+    return (
+        lines.join(is_utf8, "path")
+        .select("path", "at", (F.col("block") + part).alias("split_no"), F.regexp_replace(decoded, "\r", "\n").alias("line"))
+        .groupBy("path", "split_no")
+        .agg(text.alias("text"))
+        .select(*file_columns(F.col("path")), "split_no", "text")
+    )
+
+
 def failure_reason(ext: Column, text: Column, unread: Column | None = None) -> Column:
     """Why a document cannot be processed, or null. ``unread``: its bytes were too many for one value."""
     reason = F.when(~ext.isin(*K.SUPPORTED_EXTENSIONS), F.concat(F.lit("Unsupported extension "), ext))

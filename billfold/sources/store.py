@@ -1,17 +1,20 @@
-"""The tables of a billing store: parquet folders with one sub-folder per batch."""
+"""The tables of a billing store: parquet folders by batch, made visible by the commit log."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from billfold.operators.cleaning import CLEANED_SCHEMA
 from billfold.operators.fields import INVOICE_SCHEMA, ROW_SCHEMA
 from billfold.operators.merge import evolve_schema, new_rows
 from billfold.operators.reconcile import nest_by_invoice
+from billfold.sources.commits import Change, CommitLog, State
 
 KEYS = {
     "invoices": ["file_hash"],
@@ -28,10 +31,11 @@ TABLES = {
     "file_name string, row_number int",
     "verification": "invoice_number string, items_sum double, parsed_subtotal double, parsed_tax double, "
     "parsed_total double, difference_items_vs_subtotal double, mismatch_flag boolean",
-    "reconciled": "done boolean",  # which batches are split and in the verification
+    "reconciled": "done boolean",
 }
 _FIRST_BATCH = "none"
 _VERSION = "version-"
+VERIFICATION_BUCKETS = 32
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -48,14 +52,18 @@ def scratch_folder(spark: SparkSession) -> str:
 class BillingStore:
     """Named tables under one folder.
 
-    A batch is written to its own sub-folder in overwrite mode, so a batch that is run
-    again after a failure replaces itself and adds nothing twice.
+    A table is made of batches; a batch that is written again replaces itself. What belongs together is
+    written in one ``transaction`` and becomes visible at once, or not at all. Folders of
+    older stores and of other writers, ``<table>/batch=<name>``, are read as they lie, with
+    the columns they have.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, verification_buckets: int = VERIFICATION_BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
         self.staged: list[str] = []
+        self.log = CommitLog(spark, self.root)
+        self._buckets = verification_buckets
 
     def path(self, name: str, batch: str | None = None) -> str:
         return f"{self.root}/{name}" + (f"/batch={batch}" if batch else "")
@@ -71,46 +79,81 @@ class BillingStore:
 
         Leaves out one batch if named.
         """
-        df = self._with_batch(name)
-        if versions := self._versions(name):
-            df = df.where(F.col("batch") == versions[-1])
-        if without_batch is not None:
-            df = df.where(F.col("batch") != without_batch)
-        return df.drop("batch")
+        return self._read(self.log.state(), name, lambda batch: batch != without_batch).drop("batch")
+
+    def read_batches(self, name: str, batches: Iterable[str]) -> DataFrame:
+        """Some batches of a table, with the column ``batch``; only their folders are read."""
+        return self._read(self.log.state(), name, set(batches).__contains__)
 
-    def _with_batch(self, name: str) -> DataFrame:
-        return self.spark.read.schema(f"{TABLES[name]}, batch string").parquet(self.path(name))
+    def _read(self, state: State, name: str, wanted: Callable[[str], bool]) -> DataFrame:
+        """The wanted batches of a version of the store, with the column ``batch``."""
+        parts = state.parts(name)
+        folders = [f"{self.root}/{p.folder}" for b, p in parts.items() if p.folder and wanted(b)]
+        unlogged = self._unlogged(name)
+        if versions := self._versions(name):
+            unlogged = {b: f for b, f in unlogged.items() if b == versions[-1]}
+        beside = [f for b, f in unlogged.items() if b not in parts and wanted(b)]
+        schema = self._schema(state, name, beside)
+        frames = []
+        for paths, inner in ((folders, "commit string, batch string"), (beside, "batch string")):
+            if paths:
+                reader = self.spark.read.option("basePath", self.path(name)).schema(f"{schema}, {inner}")
+                frames.append(reader.parquet(*paths).drop("commit"))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], f"{schema}, batch string")
+
+    def _schema(self, state: State, name: str, beside: Iterable[str] = ()) -> str:
+        """The fixed columns, those added later, and those only folders outside the log have."""
+        added = dict(state.columns.get(name, {}))
+        known = {c.split(" ")[0].lower() for c in TABLES[name].split(", ")} | {c.lower() for c in added} | {"batch"}
+        if beside := list(beside):
+            found = self.spark.read.option("basePath", self.path(name)).option("mergeSchema", True).parquet(*beside)
+            added |= {f.name: f.dataType.simpleString() for f in found.schema.fields if f.name.lower() not in known}
+        return ", ".join([TABLES[name], *(f"`{c}` {t}" for c, t in added.items())])
 
     def _paths(self, pattern: str) -> list:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(pattern)
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
         return [f.getPath() for f in found or ()]
 
+    def _unlogged(self, name: str) -> dict[str, str]:
+        """Folders by batch that lie beside those of the log."""
+        found = {p.getName().removeprefix("batch="): p.toString() for p in self._paths(f"{self.path(name)}/batch=*")}
+        return {b: f for b, f in found.items() if b != _FIRST_BATCH}
+
     def batches(self, name: str) -> set[str]:
-        """The batches of a table, from its folders' names; none if there is no table."""
-        return {p.getName().removeprefix("batch=") for p in self._paths(f"{self.path(name)}/batch=*")} - {_FIRST_BATCH}
+        """The batches of a table, also those that have no rows; none if there is no table."""
+        return set(self.versions_of_batches(name))
+
+    def versions_of_batches(self, name: str) -> dict[str, int]:
+        """The version of the store that each batch of a table is of, -1 for those outside the log."""
+        logged = {b: p.version for b, p in self.log.state().parts(name).items()}
+        return dict.fromkeys(self._unlogged(name), -1) | logged
 
     def _versions(self, name: str) -> list[str]:
         """The versions of a replaced table that were written to their end, oldest first."""
         done = self._paths(f"{self.path(name)}/batch={_VERSION}*/_SUCCESS")
         return sorted(p.getParent().getName().removeprefix("batch=") for p in done)
 
-    def read_batches(self, name: str, batches: Iterable[str]) -> DataFrame:
-        """Some batches of a table, with the column ``batch``; only their folders are read."""
-        return self._with_batch(name).where(F.col("batch").isin(*batches))
-
-    def write_batches(self, name: str, df: DataFrame) -> None:
-        """Replaces those batches of a table that ``df``, with a column ``batch``, has rows of."""
-        columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
-        typed = evolve_schema(df, TABLES[name]).select(*columns, "batch")
-        writer = typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch").parquet(self.path(name))
+    def transaction(self) -> Transaction:
+        """Changes that become visible together: ``with store.transaction() as changes: ...``."""
+        return Transaction(self)
 
     def write(self, name: str, df: DataFrame, batch: str) -> None:
         """Replaces one batch of a table."""
-        columns = [c.strip().split(" ")[0] for c in TABLES[name].split(", ")]
-        typed = evolve_schema(df, TABLES[name]).select(*columns)
-        typed.write.mode("overwrite").parquet(self.path(name, batch))
+        with self.transaction() as changes:
+            changes.write(name, df, batch)
+
+    def add_columns(self, name: str, ddl: str) -> None:
+        """Adds columns to a table for good; rows stored before have nulls there. Ones it has stay as they are."""
+        state = self.log.state()
+        have = {f.name.lower() for f in T.StructType.fromDDL(self._schema(state, name)).fields}
+        new = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(ddl).fields if f.name.lower() not in have}
+        if new:
+            self.log.commit(state, Change(columns={name: new}))
+
+    def verification_buckets(self, state: State) -> int:
+        """The number of buckets is that of the first run of a store."""
+        return state.settings.get("verification_buckets", self._buckets)
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Replaces a whole table; an empty frame leaves an empty, typed table.
@@ -121,18 +164,10 @@ class BillingStore:
         """
         there = self._versions(name)
         number = int(there[-1].removeprefix(_VERSION)) + 1 if there else 0
-        self.write(name, df, f"{_VERSION}{number:012d}")
+        typed = evolve_schema(df, TABLES[name]).select(*T.StructType.fromDDL(TABLES[name]).names)
+        typed.write.mode("overwrite").parquet(self.path(name, f"{_VERSION}{number:012d}"))
         for old in there[:-1]:
-            self._delete(self.path(name, old))
-
-    def add_ignore(self, name: str, df: DataFrame, batch: str) -> None:
-        """Insert-or-ignore of one batch, keyed like the table; the first file path wins.
-
-        No key column is null: a document without a hash is a failure before it is extracted.
-        """
-        stored = self.read(name, without_batch=batch)
-        order = ["file_path"] if "file_path" in df.columns else KEYS[name]
-        self.write(name, new_rows(stored, df, KEYS[name], order, null_keys=False), batch)
+            self.log.delete(self.path(name, old))
 
     def stage(self, df: DataFrame, name: str = "staging") -> DataFrame:
         """Writes an intermediate frame and reads it back: computed once, lineage cut."""
@@ -144,11 +179,88 @@ class BillingStore:
     def drop_staged(self) -> None:
         """Deletes what this object has staged; for the end of a run, when nothing reads it any more."""
         while self.staged:
-            self._delete(self.staged.pop())
+            self.log.delete(self.staged.pop())
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+class Transaction:
+    """Reads one version of a store with its own changes on top, and commits these as the next one.
+
+    Data are written as they come, into folders that nobody reads. Leaving the block commits;
+    an exception in it leaves the store as it was. A commit fails with ``Conflict`` if a table that was read
+    whole, or a batch that is replaced, has changed in the meantime.
+    """
+
+    def __init__(self, store: BillingStore):
+        self.store = store
+        self.state = store.log.state()
+        self.change = Change()
+        self._read: set[str | tuple[str, str]] = set()
+        self._folder = f"commit={uuid.uuid4().hex}"
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is not None:
+            self.discard()
+            return
+        try:
+            self.commit()
+        except Exception:
+            self.discard()
+            raise
+
+    def commit(self) -> State:
+        return self.store.log.commit(self.state, self.change, self._read)
+
+    def discard(self) -> None:
+        """Deletes what was written; a run that dies leaves it, unread."""
+        for table in self.change.folders:
+            self.store.log.delete(f"{self.store.path(table)}/{self._folder}")
+
+    def _now(self) -> State:
+        return self.state.after(self.change, self.state.version)
+
+    def read(self, name: str, without_batch: str | None = None) -> DataFrame:
+        self._read.add(name)
+        return self.store._read(self._now(), name, lambda batch: batch != without_batch).drop("batch")
+
+    def read_batches(self, name: str, batches: Iterable[str], before: bool = False) -> DataFrame:
+        """Some batches with the column ``batch``; ``before``: as they were when the transaction began."""
+        batches = set(batches)
+        self._read.update((name, b) for b in batches)
+        return self.store._read(self.state if before else self._now(), name, batches.__contains__)
+
+    def write(self, name: str, df: DataFrame, batch: str) -> None:
+        """Replaces one batch of a table; columns that the table lacks are left out."""
+        folder = f"{name}/{self._folder}/batch={batch}"
+        self._typed(name, df).write.mode("overwrite").parquet(f"{self.store.root}/{folder}")
+        self.change.folders.setdefault(name, {})[batch] = folder
+
+    def write_batches(self, name: str, df: DataFrame, batches: Iterable[str]) -> None:
+        """Replaces these batches of a table by what ``df``, with a column ``batch``, has of each: maybe nothing."""
+        top = f"{name}/{self._folder}"
+        typed = self._typed(name, df, "batch")
+        typed.write.mode("append").partitionBy("batch").parquet(f"{self.store.root}/{top}")
+        written = {p.getName().removeprefix("batch=") for p in self.store._paths(f"{self.store.root}/{top}/batch=*")}
+        of = self.change.folders.setdefault(name, {})
+        of.update({b: f"{top}/batch={b}" if b in written else None for b in batches})
+
+    def add_ignore(self, name: str, df: DataFrame, batch: str) -> None:
+        """Insert-or-ignore of one batch, keyed like the table; the first file path wins.
+
+        No key column is null: a document without a hash is a failure before it is extracted.
+        """
+        stored = self.read(name, without_batch=batch)
+        order = ["file_path"] if "file_path" in df.columns else KEYS[name]
+        self.write(name, new_rows(stored, df, KEYS[name], order, null_keys=False), batch)
+
+    def set(self, **settings: int) -> None:
+        self.change.settings.update(settings)
+
+    def _typed(self, name: str, df: DataFrame, *more: str) -> DataFrame:
+        schema = T.StructType.fromDDL(self.store._schema(self._now(), name))
+        return evolve_schema(df, schema).select(*schema.names, *more)
 
 
 def export_tables(tables: Mapping[str, DataFrame], path: str, file_format: str = "parquet") -> None:
@@ -188,3 +300,19 @@ def export_json(items: DataFrame, totals: DataFrame, verification: DataFrame, pa
 def dump_text(texts: DataFrame, path: str, batch: str) -> None:
     """The raw texts of a batch with their file stems (a debugging aid); other batches stay as they are."""
     texts.select("file_stem", "text").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+
+def export_texts(texts: DataFrame, path: str) -> None:
+    """Each raw text as a file of its own, in a folder of its stem: ``file_stem=<stem>/part-...txt``.
+
+    Texts that share a stem are files of one folder. Every file ends in one line end more than its
+    text has; ``read_texts`` takes it off.
+    """
+    columns = texts.select("file_stem", F.coalesce("text", F.lit("")).alias("value"))
+    columns.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("file_stem").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_stem, text)`` of exported texts."""
+    found = spark.read.schema("value string, file_stem string").text(path, wholetext=True)
+    return found.select("file_stem", F.regexp_replace("value", r"\n\z", "").alias("text"))
