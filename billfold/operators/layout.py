@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.functions import constants as K
-from billfold.functions.text import is_blank
+from billfold.functions.text import bind, is_blank
 from billfold.operators.grouping import number_rows
 
 LAYOUT_KEYS = ("page_num", "block_num", "par_num", "line_num")
@@ -43,78 +43,58 @@ def number_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _line_starts(
-    positions: DataFrame, keys: Sequence[str], y: str, tolerance: float, settle: Callable
-) -> DataFrame:
-    """For every distinct position ``y`` of a page: the position its line starts at.
+_PAGE = ("doc_id", "page_num")
 
-    A position joins the open line if it lies within the tolerance of the line's centre,
-    and the centre then moves halfway to it; otherwise it opens a new line. That depends
-    on the order, so it is a fold. It runs on distinct positions with their word counts
-    (``settle`` moves the centre once per word), cut into segments first: the centre is
+
+def _lines(boxes: DataFrame, y: Column, fields: Sequence[str], tolerance: float, mean: Callable) -> DataFrame:
+    """doc_id, page_num, line_start, line: the boxes that form a line, from the top of the page down.
+
+    A box joins the open line if its position ``y`` lies within the tolerance of the line's centre,
+    and the centre then moves to the ``mean`` of both; otherwise it opens a new line. That depends
+    on the order, so it is a fold. The page is cut into segments first: the centre is
     a mean of earlier positions and never above the previous one, so a gap beyond the
-    tolerance always starts a line. A segment holds a few pixel rows, not a page.
+    tolerance always starts a line. A segment carries its boxes (``line`` has ``fields``, in page order), a few
+    pixel rows of a page; the fold notes where in it lines open, and each line is a slice of it.
+    The boxes are shuffled once, to their page.
     """
-    down = Window.partitionBy(*keys).orderBy(y)
-    gap = F.col(y) - F.lag(y).over(down) > tolerance
+    down = Window.partitionBy(*_PAGE).orderBy("__y")
+    gap = F.col("__y") - F.lag("__y").over(down) > tolerance
+    placed = boxes.select(*_PAGE, y.alias("__y"), F.struct(*fields).alias("__box")).where(F.col("__y").isNotNull())
     segments = (
-        positions.withColumn("__cut", F.coalesce(gap, F.lit(True)).cast("int"))
-        .withColumn("__segment", F.sum("__cut").over(down))
-        .groupBy(*keys, "__segment")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("y"), F.col("n").alias("n")))).alias("ys"))
+        placed.withColumn("__cut", F.coalesce(gap, F.lit(True)).cast("int"))
+        .withColumn("__segment", F.sum("__cut").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*_PAGE, "__segment")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("__y").alias("y"), F.col("__box").alias("box")))).alias("boxes"))
     )
 
-    def step(state: Column, p: Column) -> Column:
-        joins = F.abs(p["y"] - state["centre"]) <= F.lit(tolerance)  # null centre: opens
+    def step(state: Column, b: Column) -> Column:
+        joins = F.abs(b["y"] - state["centre"]) <= F.lit(tolerance)  # null centre: opens
         opens = F.coalesce(~joins, F.lit(True))
-        centre = F.when(opens, settle(p["y"], p["y"], p["n"] - 1)).otherwise(
-            settle(state["centre"], p["y"], p["n"])
-        )
-        starts = F.when(opens, F.concat(state["starts"], F.array(p["y"]))).otherwise(state["starts"])
-        return F.struct(centre.alias("centre"), starts.alias("starts"))
+        centre = F.when(opens, b["y"]).otherwise(mean(state["centre"], b["y"]))
+        starts = F.when(opens, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"])
+        return F.struct(centre.alias("centre"), (state["i"] + 1).alias("i"), starts.alias("starts"))
 
-    y_type = positions.schema[y].dataType
+    y_type = placed.schema["__y"].dataType
     zero = F.struct(
-        F.lit(None).cast(y_type).alias("centre"), F.array().cast(f"array<{y_type.simpleString()}>").alias("starts")
-    )
-    starts = F.aggregate("ys", zero, step)["starts"]
-    # line ranges: each start reaches up to the next one
-    ranges = F.zip_with(
-        starts,
-        F.slice(starts, 2, F.size(starts)),
-        lambda s, e: F.struct(s.alias("start"), e.alias("next")),
+        F.lit(None).cast(y_type).alias("centre"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts")
     )
+    last = F.aggregate("boxes", zero, step, lambda state: F.concat(state["starts"], F.array(state["i"])))
+    ranges = bind(
+        last,
+        lambda at: F.zip_with(
+            F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1),
+            lambda start, stop: F.struct(start.alias("start"), stop.alias("stop")),
+        ),
+    )
     return (
-        segments.select(*keys, "ys", F.explode(ranges).alias("line"))
+        segments.select(*_PAGE, "boxes", F.explode(ranges).alias("r"))
+        .select(*_PAGE, F.slice("boxes", F.col("r.start") + 1, F.col("r.stop") - F.col("r.start")).alias("boxes"))
         .select(
-            *keys,
-            F.col("line.start").alias("line_start"),
-            F.explode(
-                F.filter(
-                    "ys",
-                    lambda p: (p["y"] >= F.col("line.start"))
-                    & F.coalesce(p["y"] < F.col("line.next"), F.lit(True)),
-                )
-            ).alias("p"),
+            *_PAGE,
+            F.get("boxes", F.lit(0))["y"].alias("line_start"),
+            F.transform("boxes", lambda b: b["box"]).alias("line"),
         )
-        .select(*keys, "line_start", F.col("p.y").alias(y))
-    )
-
-
-# A centre that meets the same position again and again converges; doubles halve to a
-# fixed point within 1,100 steps (the whole exponent range), integers within 64.
-def _settle_mean(centre: Column, y: Column, n: Column) -> Column:
-    times = F.least(n, F.lit(1100)).cast("int")
-    moved = F.aggregate(F.array_repeat(y, times), centre, lambda c, v: (c + v) / 2)
-    return F.when((n <= 0) | (centre == y), centre).otherwise(moved)
-
-
-def _settle_whole_mean(centre: Column, y: Column, n: Column) -> Column:
-    times = F.least(n, F.lit(64)).cast("int")
-    moved = F.aggregate(
-        F.array_repeat(y, times), centre, lambda c, v: F.floor((c + v) / 2).cast("int")
     )
-    return F.when((n <= 0) | (centre == y), centre).otherwise(moved)
 
 
 def lines_from_centres(words: DataFrame, threshold: float = K.LINE_CENTRE_TOLERANCE) -> DataFrame:
@@ -122,16 +102,10 @@ def lines_from_centres(words: DataFrame, threshold: float = K.LINE_CENTRE_TOLERA
 
     Out: doc_id, page_num, line_start (centre of the line's first word), raw_text.
     """
-    page = ["doc_id", "page_num"]
-    kept = keep_words(words).withColumn("y", F.col("top") + F.col("height") / F.lit(2.0))
-    counted = kept.groupBy(*page, "y").agg(F.count("*").alias("n"))
-    starts = _line_starts(counted, page, "y", float(threshold), _settle_mean)
-    return (
-        # the starts grow with the pages, while their estimated size does not show it
-        kept.join(starts.hint("merge"), [*page, "y"], "inner")
-        .groupBy(*page, "line_start")
-        .agg(_joined_by_left().alias("raw_text"))
-    )
+    centre = F.col("top") + F.col("height") / F.lit(2.0)
+    lines = _lines(keep_words(words), centre, ("left", "word_idx", "text"), float(threshold), lambda c, y: (c + y) / 2)
+    text = F.array_join(F.transform(F.array_sort("line"), lambda w: w["text"]), " ")
+    return lines.select(*_PAGE, "line_start", text.alias("raw_text"))
 
 
 def number_lines_by_position(lines: DataFrame) -> DataFrame:
@@ -151,21 +125,14 @@ def rows_from_cells(cells: DataFrame, y_tol: int = K.CELL_ROW_TOLERANCE) -> Data
     Cells of a row are sorted by ``x``; ``raw_text`` joins the non-blank ones, ``cols``
     keeps all. Out: doc_id, page_num, line_start, raw_text, cols.
     """
-    page = ["doc_id", "page_num"]
-    counted = cells.groupBy(*page, "y").agg(F.count("*").alias("n"))
-    starts = _line_starts(counted, page, "y", y_tol, _settle_whole_mean)
-    placed = F.array_sort(F.collect_list(F.struct("x", "y", "w", "h", "text")))
-    cols = F.transform(placed, lambda c: F.coalesce(c["text"], F.lit("")))
-    return (
-        cells.join(starts.hint("merge"), [*page, "y"], "inner")
-        .groupBy(*page, "line_start")
-        .agg(cols.alias("cols"))
-        .select(
-            *page,
-            "line_start",
-            F.array_join(F.filter("cols", lambda t: ~is_blank(t)), K.CELL_SEPARATOR).alias("raw_text"),
-            "cols",
-        )
+    halfway = lambda c, y: F.floor((c + y) / 2).cast("int")
+    lines = _lines(cells, F.col("y"), ("x", "y", "w", "h", "text"), y_tol, halfway)
+    cols = F.transform(F.array_sort("line"), lambda c: F.coalesce(c["text"], F.lit("")))
+    return lines.select(*_PAGE, "line_start", cols.alias("cols")).select(
+        *_PAGE,
+        "line_start",
+        F.array_join(F.filter("cols", lambda t: ~is_blank(t)), K.CELL_SEPARATOR).alias("raw_text"),
+        "cols",
     )
 
 
