@@ -276,29 +276,53 @@ def folded_row_cells(line: Column) -> Column:
     return _cells(line, re.escape(K.CELL_SEPARATOR), line)
 
 
-def table_rows(text: Column) -> Column:
+_HEADER = "(?:" + "|".join(map(re.escape, _needed(K.HEADER_WORDS))) + ")"
+
+
+def _cut_at_footers(text: Column) -> Column:
+    """The text's tidied lines, cut at footer lines. A line with a header word is never a footer."""
+    starts = "|".join(re.escape(s) for s in K.FOOTER_STARTS)
+    footer = rf"(?dim)^(?:{starts})(?!{K.WORD})(?<!{_HEADER})(?![^\n]*{_HEADER})[^\n]*$"
+    return F.split(_lines_joined(text), footer, -1)
+
+
+def table_rows(text: Column, opened: Column | None = None) -> Column:
     """array<string>: the line items of one document, in order.
 
     A header line opens the table and is dropped itself, a footer line closes it, and
     lines with a digit are rows while it is open. The lines come from one text cell, so
     the state is worked out inside that row, without a shuffle: the text is cut at its
     footer lines, a segment's table is what follows its first header line, and its rows
-    are the lines there with a digit and without a header word. A line with a header
-    word is never a footer. The place in the array is the row number.
+    are the lines there with a digit and without a header word. The place in the array is the row
+    number. ``opened`` says whether a table is open where the text begins, for a text that is a part of
+    a document; its first segment is then all table.
     """
-    header = "(?:" + "|".join(map(re.escape, _needed(K.HEADER_WORDS))) + ")"
-    starts = "|".join(re.escape(s) for s in K.FOOTER_STARTS)
-    footer = rf"(?dim)^(?:{starts})(?!{K.WORD})(?<!{header})(?![^\n]*{header})[^\n]*$"
-    after_header = rf"(?is){header}[^\n]*\n(.*)"
+    after_header = rf"(?is){_HEADER}[^\n]*\n(.*)"
     with_digit = rf"(?dm)^(?=[^\n]*{K.DIGIT})[^\n]+"
+    began = F.lit(False) if opened is None else opened
 
-    def rows_after_header(segment: Column) -> Column:
-        lines = F.regexp_extract_all(
-            F.regexp_extract(segment, after_header, 1), F.lit(with_digit), F.lit(0)
-        )
+    def rows_in(table: Column) -> Column:
+        lines = F.regexp_extract_all(table, F.lit(with_digit), F.lit(0))
         return F.filter(lines, lambda line: ~is_header_line(line))
 
-    segments = F.split(_lines_joined(text), footer, -1)
-    rows = F.transform(segments, rows_after_header)
+    def rows_of_segment(segment: Column, i: Column) -> Column:
+        behind = F.regexp_extract(segment, after_header, 1)
+        return rows_in(behind if opened is None else F.when((i == 0) & began, segment).otherwise(behind))
+
+    rows = F.transform(_cut_at_footers(text), rows_of_segment)
     none = F.array().cast("array<string>")
-    return F.when(is_header_line(text), F.flatten(rows)).otherwise(none)
+    return F.when(is_header_line(text) | began, F.flatten(rows)).otherwise(none)
+
+
+def table_state(text: Column) -> Column:
+    """What a part of a document does to the table: true leaves it open, false closed, null as it was.
+
+    These are functions of the state before, and one after the other they make such a function again:
+    the last of them that is not null.
+    """
+    segments = _cut_at_footers(text)
+    state = bind(
+        segments,
+        lambda s: F.when(is_header_line(F.element_at(s, -1)), F.lit(True)).when(F.size(s) > 1, F.lit(False)),
+    )
+    return F.when(contains_any(F.lower(text), (*K.HEADER_WORDS, *K.FOOTER_STARTS)), state)

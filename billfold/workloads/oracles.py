@@ -397,12 +397,17 @@ SELECT s_name AS file_name, s_suppkey::VARCHAR AS file_hash, NULL::VARCHAR AS fi
        NULL::VARCHAR AS salesperson, NULL::BIGINT AS table_data_count, NULL::VARCHAR AS raw_text_preview,
        NULL::DOUBLE AS avg_confidence, NULL::BOOLEAN AS low_confidence_flag
 FROM supplier"""
+O["s12_store_evolves"] = """
+SELECT s_name AS file_name, s_suppkey::VARCHAR AS file_hash, NULL::VARCHAR AS file_path, s_nationkey::BIGINT AS s_nationkey,
+       NULL::BIGINT AS c_nationkey FROM supplier
+UNION ALL SELECT c_name, c_custkey::VARCHAR, NULL, NULL, c_nationkey::BIGINT FROM customer"""
 O["s13_skip_seen"] = f"""WITH {_STORED}
 SELECT doc_no, file_name, file_hash FROM files WHERE file_hash NOT IN (SELECT file_hash FROM stored)"""
 O["s14_stored_invoices"] = f"WITH {FILES} SELECT DISTINCT file_hash FROM files WHERE {_SOLID}"
 O["st1_stream_invoices"] = O["s14_stored_invoices"]
 O["st2_replayed_rows"] = f"""WITH {table_rows('documents', 'doc_id')}
 SELECT 'doc_' || doc_id || '.txt' AS file_name, row_number, raw_text FROM table_rows"""
+O["st2_broken_epoch"] = O["st2_replayed_rows"]
 
 _NESTED = f"""WITH {SPLIT}{verified('split_items', 'split_totals')},
 i AS (SELECT invoice_number, file_name, count(*) AS n_items, string_agg(description, '~' ORDER BY row_number, description) AS items
@@ -491,6 +496,7 @@ SELECT invoice_number FROM split_items UNION SELECT invoice_number FROM split_to
 
 O["w1_document_rows"] = f"""WITH {table_rows('documents', 'doc_id')}
 {cells('table_rows', 'doc_id, row_number, raw_text')}"""
+O["w1_split_document"] = O["w1_document_rows"]
 O["w1_invoice_rows"] = f"""WITH {INVOICES}, {table_rows('texts', 'o_orderkey')}
 {cells('table_rows', "'order_' || doc_id AS doc_id, row_number, raw_text")}"""
 O["w2_keep_first"] = f"WITH {FILES} SELECT file_hash, min(doc_no) AS doc_no FROM files GROUP BY file_hash"
@@ -619,6 +625,19 @@ run_totals AS (
   SELECT invoice_number, 'tax' AS type, amount AS parsed_amount, file_name, row_number FROM full_rows WHERE is_summary)
 {verified('run_items', 'run_totals')}{VERIFICATION}"""
 O["invoice_verification"] = O["p1_run_stages"]
+O["s15_exported_rows"] = O["p2_extract_rows"]
+O["s16_rerun_batch"] = _CLEANED_ROWS + """
+SELECT doc_id::VARCHAR AS invoice_number, raw_text AS description, qty, rate, amount,
+       'order_' || doc_id || '.txt' AS file_name, row_number
+FROM read_rows WHERE doc_id % 3 <> 0"""
+O["s17_rerun_verification"] = f"SELECT * FROM ({O['p1_run_stages']}) WHERE invoice_number::BIGINT % 3 <> 0"
+_FULL_ROWS = O["p1_run_stages"][: O["p1_run_stages"].index(",\nrun_items AS")]
+O["s17_stored_items"] = _FULL_ROWS + """
+SELECT invoice_number, raw_text AS description, amount, file_name, row_number FROM full_rows WHERE NOT is_summary"""
+O["s17_stored_totals"] = _FULL_ROWS + """
+SELECT invoice_number, 'tax' AS type, raw_text AS raw, amount AS parsed_amount, file_name, row_number
+FROM full_rows WHERE is_summary"""
+O["s19_text_files"] = "SELECT 'doc_' || doc_id AS file_stem, coalesce(text, '') AS text FROM documents"
 
 # Scanned orders: of every eight 0-2 have page tables, 3-4 cells, 5-6 words only, 7 is an image.
 _SCANNED = INVOICES + f""", scan_words AS MATERIALIZED (

@@ -17,7 +17,7 @@ from billfold.functions import text as T
 from billfold.operators import cleaning, fields, grouping, layout, merge, reconcile, tables
 from billfold.plans import stages
 from billfold.sources import files
-from billfold.sources.store import BillingStore, scratch_folder
+from billfold.sources.store import BillingStore, export_tables, export_texts, read_texts, scratch_folder
 from billfold.streaming.ingest import ingest_stream
 from billfold.workloads import fixtures as X
 
@@ -203,6 +203,79 @@ def s14_stored_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("invoices").select("file_hash")
 
 
+@query
+def s12_store_evolves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a file of an older, other width beside the log, and a column that is added later."""
+    store = BillingStore(spark, scratch_folder(spark))
+    old = X.table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("file_name"), F.col("s_suppkey").cast("string").alias("file_hash"), "s_nationkey"
+    )
+    old.write.parquet(store.path("invoices", "old"))
+    store.add_columns("invoices", "c_nationkey int")
+    new = X.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("file_name"), F.col("c_custkey").cast("string").alias("file_hash"),
+        F.col("c_nationkey").cast("int").alias("c_nationkey"), F.lit(1).alias("not_a_column"),
+    )
+    store.write("invoices", new, "new")
+    found = store.read("invoices").select("file_name", "file_hash", "file_path", "s_nationkey", "c_nationkey")
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("s_nationkey", "c_nationkey")})
+
+
+def _hashed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.invoice_texts(spark, sf_dir).withColumn("file_hash", files.content_hash(F.col("text")))
+
+
+@query
+def s15_exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows as CSV files, read again."""
+    folder = scratch_folder(spark)
+    export_tables({"rows": stages.extract(_hashed_texts(spark, sf_dir)).rows}, folder, "csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/rows")
+    return back.select("invoice_number", "file_name", F.col("row_number").cast("int").alias("row_number"), "raw_text")
+
+
+def _rerun(spark: SparkSession, sf_dir: str) -> BillingStore:
+    """Two batches through all stages, then the first again with other documents; a third of the orders each."""
+    store = BillingStore(spark, scratch_folder(spark))
+    docs = store.stage(_hashed_texts(spark, sf_dir).withColumn("m", F.substring("doc_id", 7, 20).cast("bigint") % 3))
+    for batch, third in (("one", 0), ("two", 1), ("one", 2)):
+        stages.run_stages(store, docs.where(F.col("m") == third).drop("m"), options=stages.RunOptions(batch=batch))
+    return store
+
+
+@query
+def s16_rerun_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned table after a batch was run again: nothing is left of its first run."""
+    return _rerun(spark, sf_dir).read("cleaned")
+
+
+@query
+def s17_rerun_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification(_rerun(spark, sf_dir).read("verification"))
+
+
+@query
+def s17_stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = BillingStore(spark, scratch_folder(spark))
+    stages.run_stages(store, _hashed_texts(spark, sf_dir))
+    return store.read("items").select("invoice_number", "description", "amount", "file_name", "row_number")
+
+
+@query
+def s17_stored_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = BillingStore(spark, scratch_folder(spark))
+    stages.run_stages(store, _hashed_texts(spark, sf_dir))
+    return store.read("totals").select("invoice_number", "type", "raw", "parsed_amount", "file_name", "row_number")
+
+
+@query
+def s19_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a file of its own, read again."""
+    folder = scratch_folder(spark)
+    export_texts(X.document_files(spark, sf_dir), folder)
+    return read_texts(spark, folder)
+
+
 @query
 def s18_nested_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = stages.postprocess(X.cleaned_rows(spark, sf_dir))
@@ -390,6 +463,17 @@ def w1_document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "row_number", "raw_text", joined("cols").alias("cells"))
 
 
+@query
+def w1_split_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in parts of three lines; the rows are those of the whole."""
+    lines = F.split("text", "\n", -1)
+    parts = F.transform(
+        F.sequence(F.lit(1), F.size(lines), F.lit(3)), lambda s: F.array_join(F.slice(lines, s, F.lit(3)), "\n")
+    )
+    splits = documents(spark, sf_dir).select("doc_id", F.posexplode(parts).alias("split_no", "text"))
+    return tables.split_rows(splits).select("doc_id", "row_number", "raw_text", joined("cols").alias("cells"))
+
+
 @query
 def w1_invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.document_rows(X.invoice_texts(spark, sf_dir).select("doc_id", "text"))
@@ -802,3 +886,16 @@ def st2_replayed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream twice; the rows are those of one run."""
     rows = _stream_invoices(spark, sf_dir, runs=2).read("rows")
     return rows.select("file_name", "row_number", "raw_text")
+
+
+@query
+def st2_broken_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An epoch that dies after it has written its rows, is run, and is replayed: rows of one run."""
+    store = BillingStore(spark, scratch_folder(spark))
+    docs = X.document_files(spark, sf_dir).drop("doc_no")
+    stages.ingest(store, docs.where(F.col("doc_id").cast("bigint") % 2 == 0), options=stages.RunOptions(batch="epoch-0"))
+    dead = store.transaction()  # never committed
+    dead.write("rows", store.read("rows").withColumn("raw_text", F.lit("of a run that died")), "epoch-1")
+    for _ in range(2):
+        stages.ingest(store, docs, options=stages.RunOptions(batch="epoch-1"))
+    return store.read("rows").select("file_name", "row_number", "raw_text")

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from billfold.operators import cleaning, fields, grouping, merge, tables
+from billfold.sources import files
 
 
 def test_page_tables(spark):
@@ -113,3 +116,38 @@ def test_row_counts(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
     rows = spark.createDataFrame([("a",), ("a",)], "doc_id string")
     assert sorted(map(tuple, fields.row_counts(docs, rows).collect())) == [("a", 2), ("b", 0)]
+
+
+def test_rows_of_parts_are_those_of_the_whole(spark):
+    rng = random.Random(2)
+    kinds = ["Item 3 | 4 | 5", "Qty and rate", "plain words", "7 apples", "Balance Due 9", "balance due", "", "  ", "Total 3", "x 1 2 y"]
+    docs = [(f"d{i}", [rng.choice(kinds) for _ in range(rng.randrange(60))]) for i in range(60)]
+    whole = spark.createDataFrame([(d, "\n".join(ls)) for d, ls in docs], "doc_id string, text string")
+    want = sorted(tuple(r) for r in tables.document_rows(whole).select("doc_id", "row_number", "raw_text", "cols").collect())
+    assert len(want) > 300
+    for size in (1, 4, 100):
+        parts = [(d, at * 10, "\n".join(ls[at : at + size])) for d, ls in docs for at in range(0, len(ls), size)]
+        rng.shuffle(parts)
+        splits = spark.createDataFrame(parts, "doc_id string, split_no bigint, text string").repartition(3)
+        assert sorted(tuple(r) for r in tables.split_rows(splits).select("doc_id", "row_number", "raw_text", "cols").collect()) == want
+
+
+def test_files_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SPLIT_LINES", 50)
+    lines = [f"Item {i}" if i % 97 == 0 else f"Pen é {i} | {i % 5} | 9.90" if i % 61 else "Balance Due" for i in range(3000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "latin.txt").write_bytes("\r\n".join(lines[:700]).encode("latin-1"))
+    (tmp_path / "one.txt").write_text("Item\nPen 1", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        splits = files.read_splits(spark, str(tmp_path))
+        whole = files.read_documents(files.scan_files(spark, str(tmp_path)))
+        got = tables.split_rows(splits).withColumn("name", F.substring_index("doc_id", "/", -1))
+        rows = sorted(tuple(r) for r in got.select("name", "row_number", "raw_text").collect())
+        parts = {r.file_name: r.n for r in splits.groupBy("file_name").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = tables.document_rows(whole.select("file_name", "text")).select("file_name", "row_number", "raw_text")
+    assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) > 1000
+    assert parts["long.txt"] > 15 and parts["latin.txt"] > 3 and parts["one.txt"] == 1
