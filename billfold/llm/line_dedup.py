@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billfold.llm import words as W
@@ -23,6 +23,7 @@ from billfold.llm.tables import dealt_join, free_names, stored, text_key
 
 MIN_WORDS = 25  # what is whole units of a passage of over 50 words, its cut borders taken off
 _KEY = ["doc_id", "text_key"]
+_DIGEST = 10
 _MARKS = np.frombuffer(b".!?", np.uint8)
 
 
@@ -49,20 +50,30 @@ def cut_units(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, number, points[place[first]] - before, points[end[last]] - before, n_words, digest
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, unit_no, start, end, n_words, digest)``; places count code points."""
+def telling(docs: DataFrame) -> Column:
+    """What tells rows of one id apart: a hash of the text, or 0 for all where every row has an id of its own."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return F.lit(0).cast("bigint") if n == ids else text_key("text")
+
+
+def units(docs: DataFrame, key: Column) -> DataFrame:
+    """``(doc_id, text_key, unit_no, start, end, n_words, digest)``; places count code points.
+
+    Digests are cut to ten bytes.
+    """
     names = ["doc_id", "text_key", "unit_no", "start", "end", "n_words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.sliced(batches, "text"):
             row, number, start, end, n_words, digest = cut_units(*W.text_bytes(part["text"]))
             ids = [part[c].take(pa.array(row)) for c in _KEY]
-            numbers = [pa.array(number, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, end, n_words))]
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digest), [None, pa.py_buffer(digest.tobytes())])
+            numbers = [pa.array(c.astype(np.int32)) for c in (number, start, end, n_words)]
+            cut = np.ascontiguousarray(digest.view(np.uint8).reshape(-1, 16)[:, :_DIGEST])
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_DIGEST), len(cut), [None, pa.py_buffer(cut)])
             yield pa.RecordBatch.from_arrays([*ids, *numbers, packed.cast(pa.binary())], names)
 
-    schema = "doc_id bigint, text_key bigint, unit_no int, start bigint, end bigint, n_words bigint, digest binary"
-    return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, text_key bigint, unit_no int, start int, end int, n_words int, digest binary"
+    return docs.select("doc_id", key.alias("text_key"), "text").mapInArrow(run, schema)
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -70,27 +81,31 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``(doc_id, text_key, start, end, n_words, run_words, kept_doc_id, kept_start)``, ``run_words`` those of its whole run, for ``docs(doc_id, text)``;
     a null or empty text has no unit, other columns are not looked at. Rows alike in id and text
-    are one document: each stands for both, and neither repeats the other.
+    are one document: each stands for both, and neither repeats the other. ``text_key`` tells texts of one id
+    apart, and is 0 where all ids differ.
 
     The earliest occurrence is a partial aggregate on the digest; a digest that a third of all
     units share sends one row per task. Only digests that occur twice are joined to the units, and
     the units of very frequent ones are dealt out for that.
     """
-    found = stored(units(docs))
+    return _repeated(docs, telling(docs), min_words)
+
+
+def _repeated(docs: DataFrame, key: Column, min_words: int) -> DataFrame:
+    found = stored(units(docs, key))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1"))
     later = dealt_join(found, first.drop("n"), "digest", first, found.count()).where(~rank.eqNullSafe(F.col("first")))
-    later = later.dropDuplicates([*_KEY, "unit_no"])
+    later = later.select(*_KEY, "unit_no", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
     in_text = Window.partitionBy(*_KEY).orderBy("unit_no")
-    run = F.col("unit_no") - F.row_number().over(in_text)
-    runs = later.withColumn("run", run)
+    before = F.lag("unit_no").over(in_text)
+    once = later.withColumn("before", before).where("before is null or before <> unit_no").drop("before")  # rows given twice
+    runs = once.withColumn("run", F.col("unit_no") - F.row_number().over(in_text))
     words = F.sum("n_words").over(Window.partitionBy(*_KEY, "run"))
-    return (
-        runs.withColumn("run_words", words)
-        .where(F.col("run_words") >= min_words)
-        .select(*_KEY, "start", "end", "n_words", "run_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
-    )
+    places = (F.col(c).cast("bigint").alias(c) for c in ("start", "end", "n_words", "run_words"))
+    found = runs.withColumn("run_words", words).where(F.col("run_words") >= min_words)
+    return found.select(*_KEY, *places, "kept_doc_id", F.col("kept_start").cast("bigint").alias("kept_start"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | None = None) -> DataFrame:
@@ -98,11 +113,12 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | N
 
     A text without any removal is returned as it is; a document of which no word is left goes.
     """
-    spans = repeated_units(docs, min_words).groupBy(*_KEY).agg(
+    own = telling(docs)
+    spans = _repeated(docs, own, min_words).groupBy(*_KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
     id_, key, gone = free_names(docs, "id", "key", "spans")
-    keyed = docs.withColumns({id_: F.col("doc_id"), key: text_key("text")})
+    keyed = docs.withColumns({id_: F.col("doc_id"), key: own})
     on = keyed[id_].eqNullSafe(spans["doc_id"]) & (keyed[key] == spans["text_key"])
     joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), F.col("spans").alias(gone))
 
