@@ -237,7 +237,8 @@ def s15_exported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rerun(spark: SparkSession, sf_dir: str) -> BillingStore:
     """Two batches through all stages, then the first again with other documents; a third of the orders each."""
     store = BillingStore(spark, scratch_folder(spark))
-    docs = store.stage(_hashed_texts(spark, sf_dir).withColumn("m", F.substring("doc_id", 7, 20).cast("bigint") % 3))
+    inputs = BillingStore(spark, scratch_folder(spark))  # a run drops what its own store has staged
+    docs = inputs.stage(_hashed_texts(spark, sf_dir).withColumn("m", F.substring("doc_id", 7, 20).cast("bigint") % 3))
     for batch, third in (("one", 0), ("two", 1), ("one", 2)):
         stages.run_stages(store, docs.where(F.col("m") == third).drop("m"), options=stages.RunOptions(batch=batch))
     return store
