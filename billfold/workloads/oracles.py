@@ -234,24 +234,26 @@ def _escaped(k: str) -> str:
     return k.replace("#", r"\#")
 
 
-def value_after(text: str, keywords: Sequence[str]) -> str:
-    low, raw = f"lower({text})", []
+def value_after(text: str, keywords: Sequence[str], low: str | None = None) -> str:
+    """``low`` may name a column that has the text in lower case."""
+    low, raw = low or f"lower({text})", []
     for k in keywords:
         before = rf"(?:^|{NOT_W})" + _escaped(k)
         if k[-1].isalnum():
             p = rf"{before}(?:(?:{S}+[:\-]?{S}*|[:\-]{S}*)([^\n]+)|([^{K.WORD_SET}\n][^\n]*))"
-            got = f"(regexp_extract({low}, '{p}', 1) || regexp_extract({low}, '{p}', 2))"
+            got = f"regexp_extract({low}, '{p}', 1) || regexp_extract({low}, '{p}', 2)"
         else:
             got = rf"regexp_extract({low}, '{before}({W}[^\n]*)', 1)"
-        raw.append(f"CASE WHEN contains({low}, '{k}') AND {got} <> '' THEN {strip(got)} END")
+        raw.append(f"CASE WHEN contains({low}, '{k}') THEN {got} ELSE '' END")
     signs = "' :' || chr(9) || '-'"
     after = ", ".join(
         f"CASE WHEN contains(lower(l), '{k}') THEN trim(substr(l, instr(lower(l), '{k}') + {len(k)}), {signs}) ELSE '' END"
         for k in keywords
     )
     lines = f"string_split_regex({text}, '{K.LINE_END}')"
+    first = strip(f"list_filter([{', '.join(raw)}], lambda v: v <> '')[1]")
     second = f"list_filter(flatten(list_transform({lines}, lambda l: [{after}])), lambda v: v <> '')[1]"
-    return f"coalesce({', '.join(raw)}, {second}, '')"
+    return f"CASE WHEN {has_word(low, keywords)} THEN coalesce({first}, {second}, '') ELSE '' END"
 
 
 STREETS = "|".join(K.STREET_WORDS)
@@ -272,8 +274,9 @@ def place(text: str) -> str:
     )
 
 
-def address(text: str) -> str:
-    parts = (value_after(text, K.ADDRESS_KEYWORDS), street(text), box(text), place(text))
+def address(text: str, labelled: str | None = None) -> str:
+    """``labelled``, here and below: a column that has the labelled value already."""
+    parts = (labelled or value_after(text, K.ADDRESS_KEYWORDS), street(text), box(text), place(text))
     return "coalesce(" + ", ".join(f"nullif({p}, '')" for p in parts) + ", '')"
 
 
@@ -284,9 +287,10 @@ def clean_number(raw: str) -> str:
     return f"coalesce(nullif({kept}, ''), {cut})"
 
 
-def invoice_number(text: str, stem: str) -> str:
+def invoice_number(text: str, stem: str, labelled: str | None = None) -> str:
+    labelled = labelled or value_after(text, K.INVOICE_NUMBER_KEYWORDS)
     bare = rf"regexp_extract({text}, '(?i)(?:^|{NOT_W})(INV[\-{K.SPACE_SET}_]*{D}+)(?:{NOT_W}|$)', 1)"
-    return f"""coalesce(nullif({clean_number(value_after(text, K.INVOICE_NUMBER_KEYWORDS))}, ''),
+    return f"""coalesce(nullif({clean_number(labelled)}, ''),
       CASE WHEN {bare} <> '' THEN {clean_number(bare)} END, 'INV_' || {stem})"""
 
 
@@ -443,24 +447,29 @@ SELECT l_orderkey::VARCHAR AS invoice_number, 'order_' || l_orderkey || '.txt' A
        CASE WHEN l_partkey % 11 <> 0 THEN 'Part P' || l_partkey || ' | ' ELSE '' END
          || qty || ' | ' || rate_text || ' | ' || amount_text AS raw_text
 FROM items WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"""
-O["f8_invoice_records"] = f"""WITH {INVOICES}, {table_rows('texts', 'o_orderkey')},
-counts AS (SELECT doc_id AS o_orderkey, count(*) AS n FROM table_rows GROUP BY 1)
-SELECT doc_id || '.txt' AS file_name, '/in/' || doc_id || '.txt' AS file_path, '2024-01-01 00:00:00' AS extraction_date,
-       {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from, {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to,
-       {address('text')} AS address, {invoice_number('text', 'doc_id')} AS invoice_number,
-       {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson, coalesce(n, 0) AS table_data_count,
-       substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview, sha256(text) AS file_hash,
+
+
+def records(source: str, key: str, stem: str, file_name: str, file_path: str, where: str = "TRUE") -> str:
+    """The invoice records of a table of texts: its values first, one each, then what is made of them."""
+    values = {
+        "invoice_from": K.SELLER_KEYWORDS, "invoice_to": K.BUYER_KEYWORDS, "salesperson": K.SALESPERSON_KEYWORDS,
+        "addressed": K.ADDRESS_KEYWORDS, "numbered": K.INVOICE_NUMBER_KEYWORDS,
+    }
+    told = ",\n       ".join(f"{value_after('text', words, 'low')} AS {name}" for name, words in values.items())
+    return f"""counts AS (SELECT doc_id AS key, count(*) AS n FROM table_rows GROUP BY 1),
+lowered AS MATERIALIZED (SELECT *, {key} AS key, lower(text) AS low FROM {source} WHERE {where}),
+told AS MATERIALIZED (SELECT *, {told} FROM lowered)
+SELECT {file_name} AS file_name, {file_path} AS file_path, '2024-01-01 00:00:00' AS extraction_date, invoice_from, invoice_to,
+       {address('text', 'addressed')} AS address, {invoice_number('text', stem, 'numbered')} AS invoice_number, salesperson,
+       coalesce(n, 0) AS table_data_count, substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview, sha256(text) AS file_hash,
        NULL::DOUBLE AS avg_confidence, FALSE AS low_confidence_flag
-FROM texts LEFT JOIN counts USING (o_orderkey)"""
+FROM told LEFT JOIN counts USING (key)"""
+
+
+O["f8_invoice_records"] = f"""WITH {INVOICES}, {table_rows('texts', 'o_orderkey')},
+{records('texts', 'o_orderkey', 'doc_id', "doc_id || '.txt'", "'/in/' || doc_id || '.txt'")}"""
 O["f8_document_records"] = f"""WITH {FILES}, {table_rows('documents', 'doc_id')},
-counts AS (SELECT doc_id AS doc_no, count(*) AS n FROM table_rows GROUP BY 1)
-SELECT file_name, file_path, '2024-01-01 00:00:00' AS extraction_date,
-       {value_after('text', K.SELLER_KEYWORDS)} AS invoice_from, {value_after('text', K.BUYER_KEYWORDS)} AS invoice_to,
-       {address('text')} AS address, {invoice_number('text', 'file_stem')} AS invoice_number,
-       {value_after('text', K.SALESPERSON_KEYWORDS)} AS salesperson, coalesce(n, 0) AS table_data_count,
-       substr(text, 1, {K.PREVIEW_LENGTH}) AS raw_text_preview, sha256(text) AS file_hash,
-       NULL::DOUBLE AS avg_confidence, FALSE AS low_confidence_flag
-FROM files LEFT JOIN counts USING (doc_no) WHERE {_SOLID}"""
+{records('files', 'doc_no', 'file_stem', 'file_name', 'file_path', _SOLID)}"""
 
 O["a1_lines_from_words"] = f"""WITH {KEPT_WORDS}
 SELECT doc_id, line_num, string_agg(text, ' ' ORDER BY "left", word_idx) AS raw_text FROM kept GROUP BY doc_id, line_num"""
