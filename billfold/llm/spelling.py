@@ -30,7 +30,7 @@ MODULUS = 97  # one occurrence in so many loses a code point
 MIN_LENGTH, MIN_COUNT = 5, 3
 BLOCK = 8 << 20  # bytes of texts whose words are counted at once
 FLUSH = 1 << 18  # distinct words a task holds before it hands their counts on
-STATES = 1 << 18  # states, and pairs of them, that an acceptor holds before the next partition gets a new one
+STATES = 1 << 18  # states, pairs of them and pairs of strings that an acceptor holds before the next partition gets a new one
 _DEEP = 200  # symbols; what longer strings have in common is walked, not kept
 _SHORT = 64  # bytes of the words that are hashed as arrays; longer ones are looked at one by one
 
@@ -187,9 +187,10 @@ class Acceptor:
         self._common: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._replaced: dict[int, list[tuple[int, int]]] = {}
         self._inserted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self._held = 0  # pairs of strings in these
 
     def is_full(self) -> bool:
-        return len(self.final) + len(self._common) + len(self._inserted) > STATES
+        return len(self.final) + len(self._common) + len(self._inserted) + self._held > STATES
 
     def _closed(self, final: bool, arcs: list[tuple[str, int]]) -> int:
         key = (final, *arcs)
@@ -239,6 +240,7 @@ class Acceptor:
                     (to, n), (there, m) = mine[symbol], other[symbol]
                     found.extend((i + n, j + m) for i, j in self.common(to, there))
             self._common[s, t] = found
+            self._held += len(found)
         return found
 
     def _walk(self, s: int, t: int) -> Iterator[tuple[int, int]]:
@@ -280,6 +282,7 @@ class Acceptor:
                     found.extend((i + n, j + n) for i, j in self._replaced_in(to))
                 for there, m in arcs[place + 1 :]:
                     found.extend((i + n, j + m) for i, j in self.common(to, there))
+            self._held += len(found)
         return found
 
     def inserted(self, long: int, short: int) -> Iterator[tuple[int, int]]:
@@ -323,6 +326,7 @@ class Acceptor:
                 if symbol in other:
                     there, m = other[symbol]
                     found.extend((n + x, m + y) for x, y in self._inserted_in(to, there))
+            self._held += len(found)
         return found
 
 
