@@ -88,24 +88,28 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     units share sends one row per task. Only digests that occur twice are joined to the units, and
     the units of very frequent ones are dealt out for that.
     """
-    return _repeated(docs, telling(docs), min_words)
+    return _repeated(docs, telling(docs), min_words).drop("unit_no")
 
 
-def _repeated(docs: DataFrame, key: Column, min_words: int) -> DataFrame:
-    found = stored(units(docs, key))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
+def _repeated(docs: DataFrame, key: Column, min_words: int, places: bool = True) -> DataFrame:
+    """The same with ``unit_no``; without ``places`` the units are only numbered, their places are not carried along."""
+    carried = ["start", "end"] if places else []
+    kept = ["kept_doc_id", "kept_start"] if places else []
+    found = stored(units(docs, key).select(*_KEY, "unit_no", *carried, "n_words", "digest"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start" if places else "unit_no")
     first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1"))
     later = dealt_join(found, first.drop("n"), "digest", first, found.count()).where(~rank.eqNullSafe(F.col("first")))
-    later = later.select(*_KEY, "unit_no", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    if places:
+        later = later.withColumns({"kept_doc_id": F.col("first.doc_id"), "kept_start": F.col("first.start").cast("bigint")})
+    later = later.select(*_KEY, "unit_no", *carried, "n_words", *kept)
     in_text = Window.partitionBy(*_KEY).orderBy("unit_no")
     before = F.lag("unit_no").over(in_text)
     once = later.withColumn("before", before).where("before is null or before <> unit_no").drop("before")  # rows given twice
     runs = once.withColumn("run", F.col("unit_no") - F.row_number().over(in_text))
     words = F.sum("n_words").over(Window.partitionBy(*_KEY, "run"))
-    places = (F.col(c).cast("bigint").alias(c) for c in ("start", "end", "n_words", "run_words"))
     found = runs.withColumn("run_words", words).where(F.col("run_words") >= min_words)
-    return found.select(*_KEY, *places, "kept_doc_id", F.col("kept_start").cast("bigint").alias("kept_start"))
+    return found.select(*_KEY, "unit_no", *(F.col(c).cast("bigint").alias(c) for c in (*carried, "n_words", "run_words")), *kept)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | None = None) -> DataFrame:
@@ -114,19 +118,22 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, length: str | N
     A text without any removal is returned as it is; a document of which no word is left goes.
     """
     own = telling(docs)
-    spans = _repeated(docs, own, min_words).groupBy(*_KEY).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
-    )
-    id_, key, gone = free_names(docs, "id", "key", "spans")
+    numbers = _repeated(docs, own, min_words, places=False).groupBy(*_KEY).agg(F.sort_array(F.collect_list("unit_no")).alias("units"))
+    id_, key, gone = free_names(docs, "id", "key", "units")
     keyed = docs.withColumns({id_: F.col("doc_id"), key: own})
-    on = keyed[id_].eqNullSafe(spans["doc_id"]) & (keyed[key] == spans["text_key"])
-    joined = keyed.join(spans.select(*_KEY, "spans"), on, "left").select(*(keyed[c] for c in docs.columns), F.col("spans").alias(gone))
+    on = keyed[id_].eqNullSafe(numbers["doc_id"]) & (keyed[key] == numbers["text_key"])
+    joined = keyed.join(numbers, on, "left").select(*(keyed[c] for c in docs.columns), F.col("units").alias(gone))
 
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.sliced(batches, "text"):
-            spans_of = part[gone].to_pylist()
+            numbers_of = part[gone].to_pylist()
+            touched = [i for i, numbers in enumerate(numbers_of) if numbers]
+            row, _, start, end, _, _ = cut_units(*W.text_bytes(part["text"].take(pa.array(touched, pa.int64()))))
+            spans_of: list[list[dict] | None] = [None] * part.num_rows
+            for i, first in zip(touched, np.searchsorted(row, np.arange(len(touched))).tolist(), strict=True):
+                spans_of[i] = [{"start": int(start[first + k]), "end": int(end[first + k])} for k in numbers_of[i]]
             texts = [t if g is None else cut(t, g) for t, g in zip(part["text"].to_pylist(), spans_of, strict=True)]
             columns = {c: part[c] for c in names} | {"text": pa.array(texts, part["text"].type)}
             if length:
