@@ -35,3 +35,24 @@ def test_a_text_file_has_no_checksum_file(spark, tmp_path):
     export_texts(spark.createDataFrame([("a", "x\n"), ("b", None)], "file_stem string, text string"), str(tmp_path / "out"))
     assert not list((tmp_path / "out").glob("file_stem=*/.*.crc"))
     assert sorted(map(tuple, read_texts(spark, str(tmp_path / "out")).collect())) == [("a", "x\n"), ("b", "")]
+
+
+def test_keep_first_reads_its_rows_once(spark, tmp_path):
+    rows = [("a", 1, 2), ("a", 1, 1), ("a", None, 3), ("a", None, 3), (None, None, 4)]
+    spark.createDataFrame(rows, "k string, m int, n int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    first = grouping.keep_first(df, ["k", "m"], ["n"])
+    assert first.columns == df.columns and plan(first).count("Relation [") == 1
+    assert sorted(map(str, first.collect())) == sorted(
+        map(str, spark.createDataFrame([rows[1], *rows[2:]], df.schema).collect())
+    )
+
+
+def test_inserted_rows_are_parsed_once(spark, tmp_path, monkeypatch):
+    seen = []
+    real = merge.merge_ignore
+    monkeypatch.setattr(Q.merge, "merge_ignore", lambda stored, rows, *a: seen.append((stored, rows)) or real(stored, rows, *a))
+    got = Q.s11_insert_rows(spark, line_items(spark, tmp_path)).collect()
+    assert all("Generate" not in plan(df) for df in seen[0])
+    rows = {(r.file_name, r.row_number): r.raw_text for r in got}
+    assert len(got) == len(rows) == 10 and rows["order_3.txt", 1] == "old" and rows["order_1.txt", 1] == "Part P11 | 3 | 4.11 | 12.34"
