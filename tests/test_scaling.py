@@ -56,3 +56,12 @@ def test_inserted_rows_are_parsed_once(spark, tmp_path, monkeypatch):
     assert all("Generate" not in plan(df) for df in seen[0])
     rows = {(r.file_name, r.row_number): r.raw_text for r in got}
     assert len(got) == len(rows) == 10 and rows["order_3.txt", 1] == "old" and rows["order_1.txt", 1] == "Part P11 | 3 | 4.11 | 12.34"
+
+
+def test_low_segments_need_no_fold(spark):
+    rows = [("d", 1, x, y, 5, 9, t) for x, y, t in ((0, 0, "a"), (9, 10, "b"), (5, 30, "c"), (1, 40, "d"), (2, 46, "e"), (3, None, "z"))]
+    cells = spark.createDataFrame(rows, "doc_id string, page_num int, x int, y int, w int, h int, text string")
+    lines = layout.rows_from_cells(cells)
+    assert re.search(r"<= 10\) THEN array\(0, size\(boxes", plan(lines))
+    # centres 30, 35; 46 is eleven below the last one
+    assert sorted((r.line_start, r.raw_text) for r in lines.collect()) == [(0, "a | b"), (30, "d | c"), (46, "e")]
