@@ -65,3 +65,13 @@ def test_low_segments_need_no_fold(spark):
     assert re.search(r"<= 10\) THEN array\(0, size\(boxes", plan(lines))
     # centres 30, 35; 46 is eleven below the last one
     assert sorted((r.line_start, r.raw_text) for r in lines.collect()) == [(0, "a | b"), (30, "d | c"), (46, "e")]
+
+
+def test_words_are_gathered_by_column(spark):
+    rows = [("d", 1, 1, 1, 1, i, left, t) for i, left, t in ((2, 5, "c"), (1, 5, "b"), (0, 9, "d"), (4, None, "a"), (None, 5, "x"))]
+    words = spark.createDataFrame(
+        rows, "doc_id string, page_num int, block_num int, par_num int, line_num int, word_idx int, left int, text string"
+    )
+    lines = layout.lines_from_words(words)
+    assert not re.search(r"collect_list\((named_)?struct", plan(lines))
+    assert [r.raw_text for r in lines.collect()] == ["a x b c d"]
