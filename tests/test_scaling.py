@@ -75,3 +75,15 @@ def test_words_are_gathered_by_column(spark):
     lines = layout.lines_from_words(words)
     assert not re.search(r"collect_list\((named_)?struct", plan(lines))
     assert [r.raw_text for r in lines.collect()] == ["a x b c d"]
+
+
+def test_nested_rows_are_shuffled_without_their_keys(spark):
+    cleaned = spark.createDataFrame(
+        [("N", "b", 1.0, 2.0, 2.0, "f", 2), ("N", "a", None, 1.0, 1.0, "f", 1), ("N", "Total", None, None, 3.0, "f", 3)],
+        "invoice_number string, description string, qty double, rate double, amount double, file_name string, row_number int",
+    )
+    nested = reconcile.nest_by_invoice(*stages.postprocess(cleaned))
+    assert "struct(invoice_number" not in below_aggregate(nested.select("items", "totals"))
+    (row,) = nested.collect()
+    assert [tuple(i) for i in row["items"]] == [("N", "a", None, 1.0, 1.0, "f", 1), ("N", "b", 1.0, 2.0, 2.0, "f", 2)]
+    assert [tuple(t) for t in row["totals"]] == [("N", "total", "Total", 3.0, "f", 3)]
