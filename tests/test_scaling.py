@@ -98,3 +98,18 @@ def test_input_is_gathered_as_numbers(spark, tmp_path):
     texts = X.invoice_texts(spark, folder)
     text = texts.where(F.col("doc_id") == "order_2").first().text
     assert text.split("\n")[4:6] == ["Part P21 | 3 | 4.11 | 12.34", "Part P22 | 3 | 8.22 | 24.68"]
+
+
+def test_boxes_of_a_page_become_rows_once(spark, tmp_path):
+    words = [("d", p, 1, b, n, i, i, 0, 9, t, 1.0) for p in (1, 2) for b in (2, 1) for n in (2, 1) for i, t in enumerate(("p", f"{b}{n}"))]
+    schema = "doc_id string, page_num int, block_num int, par_num int, line_num int, word_idx int, left int, top int, height int, text string, conf double"
+    spark.createDataFrame(words, schema).write.parquet(f"{tmp_path}/words")
+    cells = [("d", 3, x, y, 50, 50, f"c{x}") for y in (3000, 0, 40) for x in (1, 0)] + [(None, 3, 0, 0, 50, 50, "lost")]
+    spark.createDataFrame(cells, "doc_id string, page_num int, x int, y int, w int, h int, text string").write.parquet(f"{tmp_path}/cells")
+    rows = stages.page_rows(spark.read.parquet(f"{tmp_path}/words"), spark.read.parquet(f"{tmp_path}/cells"))
+    assert plan(rows).count("Relation [") == 2
+    got = sorted((r.page_num, r.row_number, r.raw_text) for r in rows.collect())
+    lines = [(p, i, f"p {at}") for p in (1, 2) for i, at in enumerate(("11", "12", "21", "22"), 1)]
+    assert got == lines + [(3, i, "c0 | c1") for i in (1, 2, 3)]
+    places = spark.read.parquet(f"{tmp_path}/words").drop("block_num", "par_num", "line_num")
+    assert plan(stages.page_rows(places, spark.read.parquet(f"{tmp_path}/cells"))).count("Relation [") == 2
