@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from billfold.functions import text as T
 from billfold.operators import grouping, layout, merge, reconcile
 from billfold.plans import stages
 from billfold.sources.store import export_texts, read_texts
@@ -113,3 +114,13 @@ def test_boxes_of_a_page_become_rows_once(spark, tmp_path):
     assert got == lines + [(3, i, "c0 | c1") for i in (1, 2, 3)]
     places = spark.read.parquet(f"{tmp_path}/words").drop("block_num", "par_num", "line_num")
     assert plan(stages.page_rows(places, spark.read.parquet(f"{tmp_path}/cells"))).count("Relation [") == 2
+
+
+def test_texts_are_split_at_single_characters(spark):
+    texts = ["Qty | Rate\n\fPen | 2 | 3 \nrate 5\nTotal 9\n8 lost\r\nItem\n\tInk 7\n", "Item\nA 1\nbalance due\nAmount\nB 2", " ", None, "no 5"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = docs.select("i", T.table_rows(F.col("text")).alias("rows"))
+    text = plan(rows.select("i", F.transform("rows", T.folded_row_cells)))
+    singles = text.count(", \f, -1)") + text.count(",  , -1)")
+    assert 0 < text.count("split(") == singles  # other patterns are compiled for every value
+    assert [r.rows for r in rows.orderBy("i").collect()] == [["Pen | 2 | 3", "8 lost", "Ink 7"], ["A 1", "B 2"], [], [], []]
