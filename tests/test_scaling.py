@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from billfold.functions import text as T
 from billfold.operators import grouping, layout, merge, reconcile
 from billfold.plans import stages
+from billfold.sources import text_files
 from billfold.sources.store import export_texts, read_texts
 from billfold.workloads import fixtures as X
 from billfold.workloads import queries as Q
@@ -38,6 +39,36 @@ def test_a_text_file_has_no_checksum_file(spark, tmp_path):
     assert sorted(map(tuple, read_texts(spark, str(tmp_path / "out")).collect())) == [("a", "x\n"), ("b", "")]
 
 
+def test_text_files_are_made_and_read_by_tasks(spark, tmp_path):
+    """In the layout of Spark's writer, without Hadoop's calls and their process for the mode of each file."""
+    rows = [("two words", "a"), ("two words", "b\n"), ("x=y/z %41", ""), ("", "no stem"), (None, None), ("\u00e4\u4e2d", "\u00e4"), ("c", "\n")]
+    texts = spark.createDataFrame(rows, "file_stem string, text string").repartition(3)
+    export_texts(texts, str(tmp_path / "out"))
+    export_texts(texts, f"file://{tmp_path}/out")  # a second export replaces the first
+    texts.selectExpr("file_stem", "coalesce(text, '') as value").write.partitionBy("file_stem").text(str(tmp_path / "spark"))
+    ours, sparks = ({p.name for p in (tmp_path / d).glob("*=*") if p.name.isascii()} for d in ("out", "spark"))
+    assert len(ours) == 4 and ours == {name for name in sparks if "?" not in name}  # a JVM may have no name for other letters
+    assert sorted(p.name for p in (tmp_path / "out").glob("[_.]*")) == ["_SUCCESS"]
+    back = read_texts(spark, str(tmp_path / "out"))
+    assert "MapInArrow" in plan(back) and plan(back).split()[-2] == "LocalRelation"
+    want = [(stem or None, text or "") for stem, text in rows]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(want, key=str)
+    export_texts(texts.where("false"), str(tmp_path / "out"))
+    assert read_texts(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_moving_text_files_can_be_taken_up_again(tmp_path):
+    for draft, stem in (("7", "a"), ("7", "b"), ("8", "a")):
+        (tmp_path / "_temporary" / draft / f"file_stem={stem}").mkdir(parents=True)
+        (tmp_path / "_temporary" / draft / f"file_stem={stem}" / f"part-{draft}.txt").write_text(draft)
+    text_files._publish(f"{tmp_path}/_temporary/7")
+    for draft in ("7", "8"):
+        text_files._publish(f"{tmp_path}/_temporary/{draft}")
+    assert sorted(f"{p.parent.name}/{p.name}" for p in tmp_path.glob("file_stem=*/*")) == [
+        "file_stem=a/part-7.txt", "file_stem=a/part-8.txt", "file_stem=b/part-7.txt"
+    ]
+
+
 def test_keep_first_reads_its_rows_once(spark, tmp_path):
     rows = [("a", 1, 2), ("a", 1, 1), ("a", None, 3), ("a", None, 3), (None, None, 4)]
     spark.createDataFrame(rows, "k string, m int, n int").write.parquet(str(tmp_path / "t"))
