@@ -8,7 +8,7 @@ from billfold.functions import text as T
 from billfold.operators import grouping, layout, merge, reconcile
 from billfold.plans import stages
 from billfold.sources import text_files
-from billfold.sources.store import export_texts, read_texts
+from billfold.sources.store import BillingStore, Transaction, export_texts, read_texts
 from billfold.workloads import fixtures as X
 from billfold.workloads import queries as Q
 
@@ -155,3 +155,52 @@ def test_texts_are_split_at_single_characters(spark):
     singles = text.count(", \f, -1)") + text.count(",  , -1)")
     assert 0 < text.count("split(") == singles  # other patterns are compiled for every value
     assert [r.rows for r in rows.orderBy("i").collect()] == [["Pen | 2 | 3", "8 lost", "Ink 7"], ["A 1", "B 2"], [], [], []]
+
+
+def test_rows_with_keys_of_their_own_are_not_shuffled(spark, tmp_path):
+    store = BillingStore(spark, str(tmp_path))
+    schema = "k string, n int, p string"
+    stored = store.stage(spark.createDataFrame([("a", 1, "old"), ("z", None, "old"), ("y", 1, "old"), ("y", 1, "old")], schema))
+    rows = [("a", 1, "p"), ("b", 1, "q"), ("b", 1, "p"), ("b", 2, "p"), ("c", None, "p"), ("c", None, "q"), ("z", None, "p"), (None, None, "p"), ("d", 3, "p")]
+    incoming = store.stage(spark.createDataFrame(rows, schema))
+    want = merge.new_rows(stored, incoming, ["k", "n"], ["p"], null_keys=False)
+    got = merge.new_rows(stored, incoming, ["k", "n"], ["p"], null_keys=False, stage=store.stage)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {(r.k, r.n, r.p) for r in got.collect()} >= {("b", 1, "p"), ("b", 2, "p"), ("d", 3, "p")}
+    shared = merge.shared_keys(stored, incoming, ["k", "n"])
+    assert shared.columns == ["__key"] and shared.count() == 4  # of a 1, b 1, c and z
+    alone = merge.new_rows(stored.where("k = 'y'"), incoming.where("k = 'b' and n = 2 or k = 'd'"), ["k", "n"], ["p"], False, store.stage)
+    assert "Window" not in plan(alone) and "Join" not in plan(alone) and alone.count() == 2
+
+
+def test_known_hashes_are_staged_before_the_texts_meet_them(spark, tmp_path):
+    store = BillingStore(spark, str(tmp_path))
+    docs, known = (store.stage(spark.createDataFrame([(h, h) for h in hashes], "file_hash string, text string")) for hashes in ("aabc", "bcx"))
+    fresh = merge.skip_seen(docs, known, stage=store.stage)
+    assert plan(fresh).count("Join") == 1 and [r.text for r in fresh.collect()] == ["a", "a"]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().shuffleManager().shuffleBlockResolver().getStoredShuffles()
+    before = held().size()
+    kept = spark.range(1000).repartition(3)
+    BillingStore(spark, str(tmp_path)).write("failures", kept.selectExpr("string(id) as file", "'e' as error"), "b")
+    assert held().size() <= before and kept.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == was
+
+
+def test_an_ingest_deletes_its_texts_before_it_writes_rows(spark, tmp_path, monkeypatch):
+    store, seen = BillingStore(spark, str(tmp_path)), []
+    real = Transaction.add_ignore
+    monkeypatch.setattr(Transaction, "add_ignore", lambda self, *a: seen.append(list(tmp_path.glob("staged_documents/*"))) or real(self, *a))
+    stages.ingest(store, X.invoice_texts(spark, line_items(spark, tmp_path / "in")).withColumn("file_hash", F.sha2("text", 256)))
+    assert seen == [[], [], []] and store.read("invoices").count() == 3 and store.read("rows").count() == 10
+
+
+def test_items_are_shuffled_as_numbers_and_once(spark, tmp_path):
+    texts = X.invoice_texts(spark, line_items(spark, tmp_path))
+    below = below_aggregate(texts)
+    assert "concat_ws" not in below and plan(texts).index("l_orderkey") < plan(texts).index("o_custkey")
+    got = {r.doc_id: r.text.split("\n")[4:-3] for r in texts.collect()}
+    assert got["order_1"] == ["Part P11 | 3 | 4.11 | 12.34", "Part P22 | 2 | 2.50 | 5.00", "Part P12 | 3 | 8.22 | 24.68"]
