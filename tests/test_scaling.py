@@ -8,7 +8,7 @@ from billfold.functions import text as T
 from billfold.operators import grouping, layout, merge, reconcile
 from billfold.plans import stages
 from billfold.sources import text_files
-from billfold.sources.store import BillingStore, Transaction, export_texts, read_texts
+from billfold.sources.store import BillingStore, Transaction, export_tables, export_texts, read_texts
 from billfold.workloads import fixtures as X
 from billfold.workloads import queries as Q
 
@@ -186,6 +186,10 @@ def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     before = held().size()
     kept = spark.range(1000).repartition(3)
     BillingStore(spark, str(tmp_path)).write("failures", kept.selectExpr("string(id) as file", "'e' as error"), "b")
+    rows = spark.createDataFrame([("b", 1, ["x", None]), ("a", 2, []), ("a", 1, None)], "invoice_number string, row_number int, cols array<string>")
+    export_tables({"rows": rows.repartition(3)}, str(tmp_path / "out"), "csv")
+    lines = [line for p in sorted((tmp_path / "out" / "rows").glob("*.csv")) for line in p.read_text().splitlines()[1:]]
+    assert lines == ["a,1,", "a,2,[]", 'b,1,"[""x"",null]"']
     assert held().size() <= before and kept.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == was
 
