@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from billfold.functions import text as T
-from billfold.operators import grouping, layout, merge, reconcile
+from billfold.operators import grouping, layout, merge, reconcile, tables
 from billfold.plans import stages
 from billfold.sources import text_files
 from billfold.sources.store import BillingStore, Transaction, export_tables, export_texts, read_texts
@@ -208,3 +208,18 @@ def test_items_are_shuffled_as_numbers_and_once(spark, tmp_path):
     assert "concat_ws" not in below and plan(texts).index("l_orderkey") < plan(texts).index("o_custkey")
     got = {r.doc_id: r.text.split("\n")[4:-3] for r in texts.collect()}
     assert got["order_1"] == ["Part P11 | 3 | 4.11 | 12.34", "Part P22 | 2 | 2.50 | 5.00", "Part P12 | 3 | 8.22 | 24.68"]
+
+
+def test_page_tables_are_read_once(spark, tmp_path):
+    rows = [("d", 2, 1, [["h"], ["c"]]), ("d", 1, 2, [["h"], ["b"]]), ("d", 1, None, [["h"], ["a"], [None]]), ("d", None, 1, [["h"], ["x"]]), (None, 1, 1, [["h"], ["y"]])]
+    spark.createDataFrame(rows, "doc_id string, page_no int, table_no int, rows array<array<string>>").write.parquet(str(tmp_path / "t"))
+    flat = tables.flatten_page_tables(spark.read.parquet(str(tmp_path / "t")))
+    assert plan(flat).count("Relation [") == 1 and "Join" not in plan(flat)
+    assert sorted((r.doc_id, r.row_number, r.raw_text) for r in flat.collect()) == [("d", 1, "a"), ("d", 2, ""), ("d", 3, "b"), ("d", 4, "c")]
+
+
+def test_words_of_scans_are_dealt_out_as_texts(spark, tmp_path):
+    docs, pages = Q._page_inputs(spark, line_items(spark, tmp_path / "in"), BillingStore(spark, str(tmp_path / "store")))
+    own = docs.select("doc_id", F.lit(1).alias("page_num")).hint("shuffle_hash")
+    met = pages.words.join(own, ["doc_id", "page_num"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert met.index("ShuffledHashJoin") < met.index("Generate") < met.index("Exchange") and "SortMergeJoin" not in met
