@@ -215,7 +215,7 @@ def test_page_tables_are_read_once(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, page_no int, table_no int, rows array<array<string>>").write.parquet(str(tmp_path / "t"))
     flat = tables.flatten_page_tables(spark.read.parquet(str(tmp_path / "t")))
     assert plan(flat).count("Relation [") == 1 and "Join" not in plan(flat)
-    assert sorted((r.doc_id, r.row_number, r.raw_text) for r in flat.collect()) == [("d", 1, "a"), ("d", 2, ""), ("d", 3, "b"), ("d", 4, "c")]
+    assert sorted((r.doc_id, r.row_number, r.raw_text) for r in flat.collect()) == [("d", 2, "a"), ("d", 3, ""), ("d", 4, "b"), ("d", 5, "c")]
 
 
 def test_words_of_scans_are_dealt_out_as_texts(spark, tmp_path):
